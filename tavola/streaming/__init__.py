@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload loads its two tables in one replace-load and answers batch
+questions over them; it has no stream source, watermark or stateful
+operator, so nothing here is built.
+"""
