@@ -10,9 +10,8 @@ cleaning pipeline is one narrow stage plus the one shuffle of the de-duplication
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Category labels used by the stored tables and the queries.
@@ -29,27 +28,29 @@ DEFAULT_RATING_CUTS: tuple[tuple[float, str], ...] = ((3.0, "Low"), (4.0, "Avera
 DEFAULT_RATING_TOP = "Good"
 
 
-def rating_from_text(c: str | Column) -> Column:
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal for ``value``."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rating_from_text_sql(c: str) -> str:
     """``"4.1/5"`` -> 4.1, ``"4.1 /5"`` -> 4.1, ``"NEW"`` / ``"-"`` -> NULL."""
-    c = F.col(c) if isinstance(c, str) else c
-    head = F.trim(F.split(c.cast("string"), "/").getItem(0))
-    return head.try_cast("double")
+    return f"try_cast(trim(split(CAST({c} AS STRING), '/')[0]) AS DOUBLE)"
 
 
-def cost_from_text(c: str | Column) -> Column:
+def cost_from_text_sql(c: str) -> str:
     """``"1,200"`` -> 1200; text that is not a whole number -> NULL."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.regexp_replace(c.cast("string"), ",", "")).try_cast("int")
+    return f"try_cast(trim(replace(CAST({c} AS STRING), ',', '')) AS INT)"
 
 
 def parse_rating(df: DataFrame, col: str = "rate") -> DataFrame:
     """Rating text to double, non-numeric to NULL."""
-    return df.withColumn(col, rating_from_text(col))
+    return df.withColumn(col, F.expr(rating_from_text_sql(f"`{col}`")))
 
 
 def parse_cost(df: DataFrame, col: str = "approx_cost_for_two") -> DataFrame:
     """Cost text with thousands separators to int."""
-    return df.withColumn(col, cost_from_text(col))
+    return df.withColumn(col, F.expr(cost_from_text_sql(f"`{col}`")))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -66,36 +67,32 @@ def drop_missing(df: DataFrame, subset: Sequence[str] = ("rate", "approx_cost_fo
     return df.na.drop(how="any", subset=list(subset))
 
 
-def _bucket(conditions: list[tuple[Column, str]], top: str, value: Column) -> Column:
-    expr = reduce(lambda acc, cl: acc.when(cl[0], cl[1]),
-                  conditions[1:], F.when(conditions[0][0], conditions[0][1]))
-    return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(expr.otherwise(top))
-
-
-def price_category(cost: str | Column = "approx_cost_for_two",
-                   cuts: Sequence[tuple[int, str]] = DEFAULT_PRICE_CUTS,
-                   top: str = DEFAULT_PRICE_TOP) -> Column:
-    cost = F.col(cost) if isinstance(cost, str) else cost
-    return _bucket([(cost <= F.lit(b), label) for b, label in cuts], top, cost)
+def price_category_sql(cost: str = "approx_cost_for_two",
+                       cuts: Sequence[tuple[int, str]] = DEFAULT_PRICE_CUTS,
+                       top: str = DEFAULT_PRICE_TOP) -> str:
+    """SQL CASE for the price category of the expression ``cost``."""
+    whens = " ".join(f"WHEN {cost} <= {int(b)} THEN {sql_string(label)}" for b, label in cuts)
+    return f"CASE WHEN {cost} IS NULL THEN CAST(NULL AS STRING) {whens} ELSE {sql_string(top)} END"
 
 
-def rating_category(rate: str | Column = "rate",
-                    cuts: Sequence[tuple[float, str]] = DEFAULT_RATING_CUTS,
-                    top: str = DEFAULT_RATING_TOP) -> Column:
-    rate = F.col(rate) if isinstance(rate, str) else rate
-    return _bucket([(rate < F.lit(float(b)), label) for b, label in cuts], top, rate)
+def rating_category_sql(rate: str = "rate",
+                        cuts: Sequence[tuple[float, str]] = DEFAULT_RATING_CUTS,
+                        top: str = DEFAULT_RATING_TOP) -> str:
+    """SQL CASE for the rating category of the expression ``rate``."""
+    whens = " ".join(f"WHEN {rate} < {float(b)!r}D THEN {sql_string(label)}" for b, label in cuts)
+    return f"CASE WHEN {rate} IS NULL THEN CAST(NULL AS STRING) {whens} ELSE {sql_string(top)} END"
 
 
 def add_price_category(df: DataFrame, cuts: Sequence[tuple[int, str]] = DEFAULT_PRICE_CUTS,
                        top: str = DEFAULT_PRICE_TOP, col: str = "approx_cost_for_two") -> DataFrame:
     """Derive ``price_category`` from the cost; NULL cost gives NULL."""
-    return df.withColumn("price_category", price_category(col, cuts, top))
+    return df.withColumn("price_category", F.expr(price_category_sql(f"`{col}`", cuts, top)))
 
 
 def add_rating_category(df: DataFrame, cuts: Sequence[tuple[float, str]] = DEFAULT_RATING_CUTS,
                         top: str = DEFAULT_RATING_TOP, col: str = "rate") -> DataFrame:
     """Derive ``rating_category`` from the rating; NULL rate gives NULL."""
-    return df.withColumn("rating_category", rating_category(col, cuts, top))
+    return df.withColumn("rating_category", F.expr(rating_category_sql(f"`{col}`", cuts, top)))
 
 
 def clean_listings(raw: DataFrame,

@@ -1,20 +1,21 @@
 """Listing explorer: the parameterised filter (E1), its option lists
 (E2-E4) and its summary figures (E5).
 
-The filter is built from Column predicates, never from SQL text, so any
-option value (including one with a quote in it) is compared literally. All
-predicates reach the Parquet scan as pushed filters.
+The filter is one Column predicate; every option value enters it as a
+literal value, never as query text, so any value (including one with a
+quote in it) is compared literally. The predicates reach the Parquet scan
+as pushed filters.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions.exact import r0, r2
+from tavola.functions.sql import asc, count_all, desc
 
 # The option meaning "no predicate", and the explorer defaults
 # and ranges (minimum rating 1.8-4.9 step 0.1, maximum cost 40-6000 step 100).
@@ -50,18 +51,19 @@ class ListingFilter:
     max_cost: int = DEFAULT_MAX_COST
 
     def predicate(self) -> Column:
-        """The conjunction: rated, rate >= min, cost <= max, plus each chosen equality."""
-        preds = [
-            F.col("rate").isNotNull(),
-            F.col("rate") >= F.lit(float(self.min_rate)),
-            F.col("approx_cost_for_two") <= F.lit(int(self.max_cost)),
-        ]
+        """The conjunction: rated, rate >= min, cost <= max, plus each chosen equality.
+
+        The bounds are numbers formatted by ``float`` / ``int``; option values
+        are compared as ``F.lit`` values, never spliced into query text.
+        """
+        pred = F.expr(f"rate IS NOT NULL AND rate >= {float(self.min_rate)!r}D "
+                      f"AND approx_cost_for_two <= {int(self.max_cost)}")
         for f in fields(self):
             if f.name in _EQUALITY:
                 value = getattr(self, f.name)
                 if value is not None and value != ALL:
-                    preds.append(F.col(_EQUALITY[f.name]) == F.lit(value))
-        return reduce(lambda a, b: a & b, preds)
+                    pred = pred & (F.col(_EQUALITY[f.name]) == F.lit(str(value)))
+        return pred
 
 
 def _filtered(r: DataFrame, flt: ListingFilter | None) -> DataFrame:
@@ -75,24 +77,16 @@ def e1_filter_listings(r: DataFrame, flt: ListingFilter | None = None) -> DataFr
     caller that shows a page applies its own limit.
     """
     return (_filtered(r, flt)
-            .select(F.col("name").alias("Restaurant"),
-                    F.col("location").alias("Location"),
-                    F.col("rest_type").alias("Type"),
-                    F.col("cuisines").alias("Cuisines"),
-                    F.col("rate").alias("Rating"),
-                    F.col("votes").alias("Votes"),
-                    F.col("approx_cost_for_two").alias("Cost_for_Two"),
-                    F.col("price_category").alias("Price_Category"),
-                    F.col("rating_category").alias("Rating_Category"),
-                    F.col("online_order").alias("Online_Order"),
-                    F.col("book_table").alias("Table_Booking"),
-                    F.col("listed_type").alias("Listed_In"))
-            .orderBy(F.col("Rating").desc_nulls_last(), F.col("Votes").desc_nulls_last(),
-                     F.col("Restaurant").asc_nulls_first(), F.col("Location").asc_nulls_first()))
+            .selectExpr("name AS Restaurant", "location AS Location", "rest_type AS Type",
+                        "cuisines AS Cuisines", "rate AS Rating", "votes AS Votes",
+                        "approx_cost_for_two AS Cost_for_Two", "price_category AS Price_Category",
+                        "rating_category AS Rating_Category", "online_order AS Online_Order",
+                        "book_table AS Table_Booking", "listed_type AS Listed_In")
+            .orderBy(desc("Rating"), desc("Votes"), asc("Restaurant"), asc("Location")))
 
 
 def _options(r: DataFrame, col: str) -> DataFrame:
-    return r.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    return r.where(f"`{col}` IS NOT NULL").selectExpr(f"`{col}`").distinct().orderBy(asc(col))
 
 
 def e2_location_options(r: DataFrame) -> DataFrame:
@@ -113,8 +107,8 @@ def e4_listed_type_options(r: DataFrame) -> DataFrame:
 def e5_filter_summary(r: DataFrame, flt: ListingFilter | None = None) -> DataFrame:
     """E5: count and mean rating / cost / votes of E1's rows; no row when E1 is empty."""
     return (_filtered(r, flt)
-            .agg(F.count(F.lit(1)).alias("Total_Restaurants"),
-                 r2("rate").alias("Avg_Rating"),
-                 r0("approx_cost_for_two").alias("Avg_Cost_for_Two"),
-                 r0("votes").alias("Avg_Votes"))
-            .where(F.col("Total_Restaurants") > 0))
+            .agg(count_all("Total_Restaurants"),
+                 r2("rate", "Avg_Rating"),
+                 r0("approx_cost_for_two", "Avg_Cost_for_Two"),
+                 r0("votes", "Avg_Votes"))
+            .where("Total_Restaurants > 0"))

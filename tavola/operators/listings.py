@@ -16,9 +16,10 @@ first ascending, last descending.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tavola.functions.exact import exact_avg, r0, r2
+from tavola.functions.sql import asc, count_all, desc, e, not_null
+from tavola.operators.cleaning import sql_string
 
 # Thresholds and limits of the questions.
 HIGH_RATED_LOCATION_MIN_AVG = 4          # D2, on the raw average, strict
@@ -42,23 +43,8 @@ SUCCESS_MIN_COUNT = 10                   # Q14
 SUCCESS_LIMIT = 20                       # Q14
 
 
-def _count() -> Column:
-    return F.count(F.lit(1))
-
-
-def _asc(name: str) -> Column:
-    return F.col(name).asc_nulls_first()
-
-
-def _desc(name: str) -> Column:
-    return F.col(name).desc_nulls_last()
-
-
-def _not_null(*cols: str) -> Column:
-    cond = F.col(cols[0]).isNotNull()
-    for c in cols[1:]:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+def _key(col: str, alias: str) -> Column:
+    return e(f"`{col}`", alias)
 
 
 # --------------------------------------------------------------------------
@@ -67,38 +53,36 @@ def _not_null(*cols: str) -> Column:
 
 def d1_count_by_price(r: DataFrame) -> DataFrame:
     """Restaurants per price category; the NULL category is a group too."""
-    return (r.groupBy("price_category").agg(_count().alias("Total_Restaurants"))
-             .select(F.col("price_category").alias("Price_Category"), "Total_Restaurants")
-             .orderBy(_desc("Total_Restaurants"), _asc("Price_Category")))
+    return (r.groupBy(_key("price_category", "Price_Category"))
+             .agg(count_all("Total_Restaurants"))
+             .orderBy(desc("Total_Restaurants"), asc("Price_Category")))
 
 
 def d2_high_rated_locations(r: DataFrame, min_avg: float = HIGH_RATED_LOCATION_MIN_AVG) -> DataFrame:
     """Locations whose unrounded average rating is above ``min_avg``."""
-    return (r.where(_not_null("rate"))
-             .groupBy("location")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"),
-                  exact_avg("rate").alias("_avg"))
-             .where(F.col("_avg") > F.lit(min_avg))
-             .select(F.col("location").alias("Location"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Location")))
+    return (r.where(not_null("rate"))
+             .groupBy(_key("location", "Location"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"),
+                  exact_avg("rate", "_avg"))
+             .where(f"_avg > {float(min_avg)!r}BD")
+             .drop("_avg")
+             .orderBy(desc("Avg_Rating"), asc("Location")))
 
 
 def d3_top_rated(r: DataFrame, limit: int = TOP_RATED_LIMIT) -> DataFrame:
     """The ``limit`` highest rated listings with their rating segment."""
-    return (r.where(_not_null("rate"))
-             .select(F.col("name").alias("Restaurant"), F.col("rate").alias("Rate"),
-                     F.col("rating_category").alias("Rating_Segment"))
-             .orderBy(_desc("Rate"), _asc("Restaurant"), _asc("Rating_Segment"))
+    return (r.where(not_null("rate"))
+             .selectExpr("name AS Restaurant", "rate AS Rate", "rating_category AS Rating_Segment")
+             .orderBy(desc("Rate"), asc("Restaurant"), asc("Rating_Segment"))
              .limit(limit))
 
 
 def d4_rating_by_price(r: DataFrame) -> DataFrame:
     """Average rating per price category; the NULL category is kept."""
-    return (r.where(_not_null("rate"))
-             .groupBy("price_category")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .select(F.col("price_category").alias("Price_Category"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Price_Category")))
+    return (r.where(not_null("rate"))
+             .groupBy(_key("price_category", "Price_Category"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .orderBy(desc("Avg_Rating"), asc("Price_Category")))
 
 
 # --------------------------------------------------------------------------
@@ -107,30 +91,27 @@ def d4_rating_by_price(r: DataFrame) -> DataFrame:
 
 def q1_best_locations(r: DataFrame, limit: int = BEST_LOCATIONS_LIMIT) -> DataFrame:
     """Q1: locations with the highest average rating."""
-    return (r.where(_not_null("rate", "location"))
-             .groupBy("location")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .select(F.col("location").alias("Location"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Location"))
+    return (r.where(not_null("rate", "location"))
+             .groupBy(_key("location", "Location"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .orderBy(desc("Avg_Rating"), asc("Location"))
              .limit(limit))
 
 
 def q2_saturated_locations(r: DataFrame, limit: int = SATURATED_LOCATIONS_LIMIT) -> DataFrame:
     """Q2: locations with the most listings; unrated listings count, the average skips them."""
-    return (r.where(_not_null("location"))
-             .groupBy("location")
-             .agg(_count().alias("Restaurant_Count"), r2("rate").alias("Avg_Rating"))
-             .select(F.col("location").alias("Location"), "Restaurant_Count", "Avg_Rating")
-             .orderBy(_desc("Restaurant_Count"), _asc("Location"))
+    return (r.where(not_null("location"))
+             .groupBy(_key("location", "Location"))
+             .agg(count_all("Restaurant_Count"), r2("rate", "Avg_Rating"))
+             .orderBy(desc("Restaurant_Count"), asc("Location"))
              .limit(limit))
 
 
 def _avg_by_one(r: DataFrame, key: str, alias: str, extra_not_null: tuple[str, ...] = ()) -> DataFrame:
-    return (r.where(_not_null("rate", *extra_not_null))
-             .groupBy(key)
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .select(F.col(key).alias(alias), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc(alias)))
+    return (r.where(not_null("rate", *extra_not_null))
+             .groupBy(_key(key, alias))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .orderBy(desc("Avg_Rating"), asc(alias)))
 
 
 def q3_online_order_effect(r: DataFrame) -> DataFrame:
@@ -150,33 +131,30 @@ def q5_price_satisfaction(r: DataFrame) -> DataFrame:
 
 def q6_price_by_segment(r: DataFrame) -> DataFrame:
     """Q6: listings and average rating per (price category, rating category)."""
-    return (r.where(_not_null("price_category", "rating_category"))
-             .groupBy("price_category", "rating_category")
-             .agg(_count().alias("Num_Restaurants"), r2("rate").alias("Avg_Rating"))
-             .select(F.col("price_category").alias("Price_Category"),
-                     F.col("rating_category").alias("Rating_Category"),
-                     "Num_Restaurants", "Avg_Rating")
-             .orderBy(_asc("Price_Category"), _desc("Avg_Rating"), _asc("Rating_Category")))
+    return (r.where(not_null("price_category", "rating_category"))
+             .groupBy(_key("price_category", "Price_Category"),
+                      _key("rating_category", "Rating_Category"))
+             .agg(count_all("Num_Restaurants"), r2("rate", "Avg_Rating"))
+             .orderBy(asc("Price_Category"), desc("Avg_Rating"), asc("Rating_Category")))
 
 
 def q7_common_cuisines(r: DataFrame, limit: int = COMMON_CUISINES_LIMIT) -> DataFrame:
     """Q7: the most frequent cuisine combinations (whole strings)."""
-    return (r.where(_not_null("cuisines"))
-             .groupBy("cuisines").agg(_count().alias("Num_Restaurants"))
-             .select(F.col("cuisines").alias("Cuisine"), "Num_Restaurants")
-             .orderBy(_desc("Num_Restaurants"), _asc("Cuisine"))
+    return (r.where(not_null("cuisines"))
+             .groupBy(_key("cuisines", "Cuisine"))
+             .agg(count_all("Num_Restaurants"))
+             .orderBy(desc("Num_Restaurants"), asc("Cuisine"))
              .limit(limit))
 
 
 def q8_best_cuisines(r: DataFrame, min_count: int = BEST_CUISINES_MIN_COUNT,
                      limit: int = BEST_CUISINES_LIMIT) -> DataFrame:
     """Q8: best rated cuisine combinations with at least ``min_count`` listings."""
-    return (r.where(_not_null("rate", "cuisines"))
-             .groupBy("cuisines")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .where(F.col("Num_Restaurants") >= min_count)
-             .select(F.col("cuisines").alias("Cuisine"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Cuisine"))
+    return (r.where(not_null("rate", "cuisines"))
+             .groupBy(_key("cuisines", "Cuisine"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .where(f"Num_Restaurants >= {int(min_count)}")
+             .orderBy(desc("Avg_Rating"), asc("Cuisine"))
              .limit(limit))
 
 
@@ -185,83 +163,77 @@ def q9_niche_cuisines(r: DataFrame, count_range: tuple[int, int] = NICHE_CUISINE
                       limit: int = NICHE_CUISINES_LIMIT) -> DataFrame:
     """Q9: rare cuisine combinations (count in range) rated ``min_avg`` or more (unrounded)."""
     lo, hi = count_range
-    return (r.where(_not_null("rate", "cuisines"))
-             .groupBy("cuisines")
-             .agg(_count().alias("Num_Restaurants"), r2("rate").alias("Avg_Rating"),
-                  exact_avg("rate").alias("_avg"))
-             .where(F.col("Num_Restaurants").between(lo, hi) & (F.col("_avg") >= F.lit(min_avg)))
-             .select(F.col("cuisines").alias("Cuisine"), "Num_Restaurants", "Avg_Rating")
-             .orderBy(_desc("Avg_Rating"), _asc("Cuisine"))
+    return (r.where(not_null("rate", "cuisines"))
+             .groupBy(_key("cuisines", "Cuisine"))
+             .agg(count_all("Num_Restaurants"), r2("rate", "Avg_Rating"),
+                  exact_avg("rate", "_avg"))
+             .where(f"Num_Restaurants BETWEEN {int(lo)} AND {int(hi)} "
+                    f"AND _avg >= {float(min_avg)!r}BD")
+             .drop("_avg")
+             .orderBy(desc("Avg_Rating"), asc("Cuisine"))
              .limit(limit))
 
 
-def cost_bracket(cost: str | Column = "approx_cost_for_two") -> Column:
+def cost_bracket_sql(cost: str = "approx_cost_for_two") -> str:
     """Q10's bracket of a cost. Fractional costs between brackets fall to the top label."""
-    cost = F.col(cost) if isinstance(cost, str) else cost
-    low, mid, high, top = COST_BRACKET_LABELS
-    return (F.when(cost <= 300, low)
-             .when(cost.between(301, 700), mid)
-             .when(cost.between(701, 1500), high)
-             .otherwise(top))
+    low, mid, high, top = (sql_string(label) for label in COST_BRACKET_LABELS)
+    return (f"CASE WHEN {cost} <= 300 THEN {low} "
+            f"WHEN {cost} BETWEEN 301 AND 700 THEN {mid} "
+            f"WHEN {cost} BETWEEN 701 AND 1500 THEN {high} ELSE {top} END")
 
 
 def q10_cost_vs_rating(r: DataFrame) -> DataFrame:
     """Q10: average rating and cost per cost bracket."""
-    return (r.where(_not_null("rate", "approx_cost_for_two"))
-             .withColumn("Cost_Bracket", cost_bracket())
-             .groupBy("Cost_Bracket")
-             .agg(r2("rate").alias("Avg_Rating"), r0("approx_cost_for_two").alias("Avg_Cost"),
-                  _count().alias("Num_Restaurants"))
-             .orderBy(F.col("Avg_Cost").asc_nulls_first(), _asc("Cost_Bracket")))
+    return (r.where(not_null("rate", "approx_cost_for_two"))
+             .groupBy(e(cost_bracket_sql(), "Cost_Bracket"))
+             .agg(r2("rate", "Avg_Rating"), r0("approx_cost_for_two", "Avg_Cost"),
+                  count_all("Num_Restaurants"))
+             .orderBy(asc("Avg_Cost"), asc("Cost_Bracket")))
 
 
 def q11_premium_locations(r: DataFrame, categories: tuple[str, ...] = PREMIUM_PRICE_CATEGORIES,
                           min_avg: float = PREMIUM_MIN_AVG, min_count: int = PREMIUM_MIN_COUNT,
                           limit: int = PREMIUM_LIMIT) -> DataFrame:
     """Q11: locations for premium onboarding; HAVING on the rounded average."""
-    return (r.where(_not_null("rate") & F.col("price_category").isin(*categories))
-             .groupBy("location")
-             .agg(r2("rate").alias("Avg_Rating"), r0("approx_cost_for_two").alias("Avg_Cost"),
-                  _count().alias("Num_Restaurants"))
-             .where((F.col("Avg_Rating") >= min_avg) & (F.col("Num_Restaurants") >= min_count))
-             .select(F.col("location").alias("Location"), "Avg_Rating", "Avg_Cost", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _desc("Avg_Cost"), _asc("Location"))
+    in_list = ", ".join(sql_string(c) for c in categories)
+    return (r.where(f"{not_null('rate')} AND price_category IN ({in_list})")
+             .groupBy(_key("location", "Location"))
+             .agg(r2("rate", "Avg_Rating"), r0("approx_cost_for_two", "Avg_Cost"),
+                  count_all("Num_Restaurants"))
+             .where(f"Avg_Rating >= {float(min_avg)!r}D AND Num_Restaurants >= {int(min_count)}")
+             .orderBy(desc("Avg_Rating"), desc("Avg_Cost"), asc("Location"))
              .limit(limit))
 
 
 def q12_demand_low_rating(r: DataFrame, min_count: int = BUSY_MIN_COUNT,
                           max_avg: float = BUSY_MAX_AVG) -> DataFrame:
     """Q12: busy locations whose rounded average is below ``max_avg``."""
-    return (r.where(_not_null("rate"))
-             .groupBy("location")
-             .agg(_count().alias("Num_Restaurants"), r2("rate").alias("Avg_Rating"))
-             .where((F.col("Num_Restaurants") >= min_count) & (F.col("Avg_Rating") < max_avg))
-             .select(F.col("location").alias("Location"), "Num_Restaurants", "Avg_Rating")
-             .orderBy(_desc("Num_Restaurants"), _asc("Location")))
+    return (r.where(not_null("rate"))
+             .groupBy(_key("location", "Location"))
+             .agg(count_all("Num_Restaurants"), r2("rate", "Avg_Rating"))
+             .where(f"Num_Restaurants >= {int(min_count)} AND Avg_Rating < {float(max_avg)!r}D")
+             .orderBy(desc("Num_Restaurants"), asc("Location")))
 
 
 def q13_feature_bundle(r: DataFrame) -> DataFrame:
     """Q13: average rating per (online ordering, table booking)."""
-    return (r.where(_not_null("rate"))
-             .groupBy("online_order", "book_table")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .select(F.col("online_order").alias("Online_Order"),
-                     F.col("book_table").alias("Table_Booking"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Online_Order"), _asc("Table_Booking")))
+    return (r.where(not_null("rate"))
+             .groupBy(_key("online_order", "Online_Order"), _key("book_table", "Table_Booking"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .orderBy(desc("Avg_Rating"), asc("Online_Order"), asc("Table_Booking")))
 
 
 def q14_success_factors(r: DataFrame, min_count: int = SUCCESS_MIN_COUNT,
                         limit: int = SUCCESS_LIMIT) -> DataFrame:
     """Q14: best (price category, online ordering, table booking) combinations."""
-    return (r.where(_not_null("rate", "price_category"))
-             .groupBy("price_category", "online_order", "book_table")
-             .agg(r2("rate").alias("Avg_Rating"), _count().alias("Num_Restaurants"))
-             .where(F.col("Num_Restaurants") >= min_count)
-             .select(F.col("price_category").alias("Price_Category"),
-                     F.col("online_order").alias("Online_Order"),
-                     F.col("book_table").alias("Table_Booking"), "Avg_Rating", "Num_Restaurants")
-             .orderBy(_desc("Avg_Rating"), _asc("Price_Category"), _asc("Online_Order"),
-                      _asc("Table_Booking"))
+    return (r.where(not_null("rate", "price_category"))
+             .groupBy(_key("price_category", "Price_Category"),
+                      _key("online_order", "Online_Order"),
+                      _key("book_table", "Table_Booking"))
+             .agg(r2("rate", "Avg_Rating"), count_all("Num_Restaurants"))
+             .where(f"Num_Restaurants >= {int(min_count)}")
+             .orderBy(desc("Avg_Rating"), asc("Price_Category"), asc("Online_Order"),
+                      asc("Table_Booking"))
              .limit(limit))
 
 
@@ -275,14 +247,11 @@ def q15_top_per_price(r: DataFrame) -> DataFrame:
     shuffle join. A ``rank()`` window instead would sort every listing
     inside a handful of partitions, one per category.
     """
-    base = r.where(_not_null("rate", "price_category")).select(
-        "price_category", "name", "location", "rate", "votes", "approx_cost_for_two")
-    best = base.groupBy("price_category").agg(F.max("rate").alias("rate"))
-    return (base.join(best, on=["price_category", "rate"], how="inner")
-                .select(F.col("price_category").alias("Price_Category"),
-                        F.col("name").alias("Restaurant"),
-                        F.col("location").alias("Location"),
-                        F.col("rate").alias("Rating"),
-                        F.col("votes").alias("Votes"),
-                        F.col("approx_cost_for_two").alias("Cost_for_Two"))
-                .orderBy(_asc("Price_Category"), _desc("Votes"), _asc("Restaurant"), _asc("Location")))
+    base = r.where(not_null("rate", "price_category")).selectExpr(
+        "price_category AS Price_Category", "name AS Restaurant", "location AS Location",
+        "rate AS Rating", "votes AS Votes", "approx_cost_for_two AS Cost_for_Two")
+    best = base.groupBy("Price_Category").agg(e("max(Rating)", "Rating"))
+    return (base.join(best, on=["Price_Category", "Rating"], how="inner")
+                .selectExpr("Price_Category", "Restaurant", "Location", "Rating", "Votes",
+                            "Cost_for_Two")
+                .orderBy(asc("Price_Category"), desc("Votes"), asc("Restaurant"), asc("Location")))

@@ -21,10 +21,11 @@ Plan notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, GroupedData
 
-from tavola.functions.exact import exact_sum, pct2, r2, round2, share2, sum2
+from tavola.functions.exact import exact_sum, pct2, r2, round2, share2_sql, sum2
+from tavola.functions.sql import asc, count_all, desc, e
+from tavola.operators.cleaning import sql_string
 
 # Limits and thresholds of the questions, and the labels.
 TOP_REVENUE_LIMIT = 20            # OQ2
@@ -37,53 +38,41 @@ DISCOUNT_LABELS = ("Yes", "No")                   # OQ3, OQ4: code 1 / anything
 ORDER_TYPE_LABELS = ("Discounted", "Full Price")  # OQ10: code 1 / anything else
 
 
-def _count() -> Column:
-    return F.count(F.lit(1))
+def _label_sql(labels: tuple[str, str]) -> str:
+    return f"CASE WHEN discount_used = 1 THEN {sql_string(labels[0])} ELSE {sql_string(labels[1])} END"
 
 
-def _asc(name: str) -> Column:
-    return F.col(name).asc_nulls_first()
-
-
-def _desc(name: str) -> Column:
-    return F.col(name).desc_nulls_last()
-
-
-def _label(labels: tuple[str, str]) -> Column:
-    return F.when(F.col("discount_used") == 1, labels[0]).otherwise(labels[1])
+def _by_restaurant(o: DataFrame) -> GroupedData:
+    return o.groupBy(e("restaurant_name", "Restaurant"))
 
 
 def oq1_payment_value(o: DataFrame) -> DataFrame:
     """OQ1: orders, revenue and average / min / max order value per payment method."""
-    return (o.groupBy("payment_method")
-             .agg(_count().alias("Total_Orders"),
-                  sum2("order_value").alias("Total_Revenue"),
-                  r2("order_value").alias("Avg_Order_Value"),
-                  round2(F.min("order_value")).alias("Min_Order_Value"),
-                  round2(F.max("order_value")).alias("Max_Order_Value"))
-             .select(F.col("payment_method").alias("Payment_Method"), "Total_Orders",
-                     "Total_Revenue", "Avg_Order_Value", "Min_Order_Value", "Max_Order_Value")
-             .orderBy(_desc("Total_Revenue"), _asc("Payment_Method")))
+    return (o.groupBy(e("payment_method", "Payment_Method"))
+             .agg(count_all("Total_Orders"),
+                  sum2("order_value", "Total_Revenue"),
+                  r2("order_value", "Avg_Order_Value"),
+                  round2("min(order_value)", "Min_Order_Value"),
+                  round2("max(order_value)", "Max_Order_Value"))
+             .orderBy(desc("Total_Revenue"), asc("Payment_Method")))
 
 
 def oq2_top_revenue(o: DataFrame, limit: int = TOP_REVENUE_LIMIT) -> DataFrame:
     """OQ2: restaurants with the highest revenue."""
-    return (o.groupBy("restaurant_name")
-             .agg(_count().alias("Total_Orders"),
-                  sum2("order_value").alias("Total_Revenue"),
-                  r2("order_value").alias("Avg_Order_Value"))
-             .select(F.col("restaurant_name").alias("Restaurant"), "Total_Orders",
-                     "Total_Revenue", "Avg_Order_Value")
-             .orderBy(_desc("Total_Revenue"), _asc("Restaurant"))
-             .limit(limit))
+    return (_by_restaurant(o)
+            .agg(count_all("Total_Orders"),
+                 sum2("order_value", "Total_Revenue"),
+                 r2("order_value", "Avg_Order_Value"))
+            .orderBy(desc("Total_Revenue"), asc("Restaurant"))
+            .limit(limit))
 
 
 def oq3_discount_share(o: DataFrame) -> DataFrame:
     """OQ3: orders with and without a discount and their share of all orders."""
-    g = o.groupBy("discount_used").agg(_count().alias("Total_Orders"))
-    total = g.agg(F.sum("Total_Orders")).scalar()
-    return g.select(_label(DISCOUNT_LABELS).alias("Discount_Used"), "Total_Orders",
-                    pct2("Total_Orders", total).alias("Percentage"))
+    g = o.groupBy("discount_used").agg(count_all("Total_Orders"))
+    total = g.agg(e("sum(Total_Orders)")).scalar()
+    return g.select(e(_label_sql(DISCOUNT_LABELS), "Discount_Used"), e("Total_Orders"),
+                    pct2(e("Total_Orders"), total).alias("Percentage"))
 
 
 def oq4_discount_value(o: DataFrame) -> DataFrame:
@@ -92,54 +81,49 @@ def oq4_discount_value(o: DataFrame) -> DataFrame:
     Sorted by the label, descending (``Yes`` before ``No``), then the raw code.
     """
     return (o.groupBy("discount_used")
-             .agg(_count().alias("Total_Orders"),
-                  r2("order_value").alias("Avg_Order_Value"),
-                  sum2("order_value").alias("Total_Revenue"))
-             .withColumn("Discount_Label", _label(DISCOUNT_LABELS))
-             .orderBy(_desc("Discount_Label"), _desc("discount_used"))
-             .select(F.col("Discount_Label").alias("Discount_Used"), "Total_Orders",
-                     "Avg_Order_Value", "Total_Revenue"))
+             .agg(count_all("Total_Orders"),
+                  r2("order_value", "Avg_Order_Value"),
+                  sum2("order_value", "Total_Revenue"))
+             .orderBy(e(_label_sql(DISCOUNT_LABELS)).desc_nulls_last(), desc("discount_used"))
+             .selectExpr(f"{_label_sql(DISCOUNT_LABELS)} AS Discount_Used", "Total_Orders",
+                         "Avg_Order_Value", "Total_Revenue"))
 
 
 def oq5_payment_share(o: DataFrame) -> DataFrame:
     """OQ5: orders per payment method and their share of all orders."""
-    g = o.groupBy("payment_method").agg(_count().alias("Total_Orders"))
-    total = g.agg(F.sum("Total_Orders")).scalar()
-    return (g.select(F.col("payment_method").alias("Payment_Method"), "Total_Orders",
-                     pct2("Total_Orders", total).alias("Percentage"))
-             .orderBy(_desc("Total_Orders"), _asc("Payment_Method")))
+    g = o.groupBy(e("payment_method", "Payment_Method")).agg(count_all("Total_Orders"))
+    total = g.agg(e("sum(Total_Orders)")).scalar()
+    return (g.select(e("Payment_Method"), e("Total_Orders"),
+                     pct2(e("Total_Orders"), total).alias("Percentage"))
+             .orderBy(desc("Total_Orders"), asc("Payment_Method")))
 
 
 def oq6_most_orders(o: DataFrame, limit: int = MOST_ORDERS_LIMIT) -> DataFrame:
     """OQ6: restaurants with the most orders."""
-    return (o.groupBy("restaurant_name")
-             .agg(_count().alias("Total_Orders"), sum2("order_value").alias("Total_Revenue"))
-             .select(F.col("restaurant_name").alias("Restaurant"), "Total_Orders", "Total_Revenue")
-             .orderBy(_desc("Total_Orders"), _asc("Restaurant"))
-             .limit(limit))
+    return (_by_restaurant(o)
+            .agg(count_all("Total_Orders"), sum2("order_value", "Total_Revenue"))
+            .orderBy(desc("Total_Orders"), asc("Restaurant"))
+            .limit(limit))
 
 
 def oq7_monthly_revenue(o: DataFrame) -> DataFrame:
     """OQ7: orders, revenue and average value per calendar month (months with orders only)."""
-    return (o.withColumn("Month", F.date_format("order_date", MONTH_FORMAT))
-             .groupBy("Month")
-             .agg(_count().alias("Total_Orders"),
-                  sum2("order_value").alias("Total_Revenue"),
-                  r2("order_value").alias("Avg_Order_Value"))
-             .orderBy(_asc("Month")))
+    return (o.groupBy(e(f"date_format(order_date, '{MONTH_FORMAT}')", "Month"))
+             .agg(count_all("Total_Orders"),
+                  sum2("order_value", "Total_Revenue"),
+                  r2("order_value", "Avg_Order_Value"))
+             .orderBy(asc("Month")))
 
 
 def oq8_top_avg_value(o: DataFrame, min_orders: int = TOP_AVG_VALUE_MIN_ORDERS,
                       limit: int = TOP_AVG_VALUE_LIMIT) -> DataFrame:
     """OQ8: restaurants with the highest average order value among those with enough orders."""
-    return (o.groupBy("restaurant_name")
-             .agg(r2("order_value").alias("Avg_Order_Value"), _count().alias("Total_Orders"),
-                  sum2("order_value").alias("Total_Revenue"))
-             .where(F.col("Total_Orders") >= min_orders)
-             .select(F.col("restaurant_name").alias("Restaurant"), "Avg_Order_Value",
-                     "Total_Orders", "Total_Revenue")
-             .orderBy(_desc("Avg_Order_Value"), _asc("Restaurant"))
-             .limit(limit))
+    return (_by_restaurant(o)
+            .agg(r2("order_value", "Avg_Order_Value"), count_all("Total_Orders"),
+                 sum2("order_value", "Total_Revenue"))
+            .where(f"Total_Orders >= {int(min_orders)}")
+            .orderBy(desc("Avg_Order_Value"), asc("Restaurant"))
+            .limit(limit))
 
 
 def oq9_discount_split_top10(o: DataFrame, top: int = SPLIT_TOP_RESTAURANTS) -> DataFrame:
@@ -149,46 +133,44 @@ def oq9_discount_split_top10(o: DataFrame, top: int = SPLIT_TOP_RESTAURANTS) ->
     among the busiest but never matches the selection, so it is dropped after
     the top-k, which is what an ``IN (subquery)`` does.
     """
-    disc, value = F.col("discount_used"), F.col("order_value")
-    per_restaurant = (o.groupBy("restaurant_name")
-                       .agg(_count().alias("_orders"),
-                            sum2(F.when(disc == 1, value).otherwise(F.lit(0.0))).alias("Revenue_With_Discount"),
-                            sum2(F.when(disc == 0, value).otherwise(F.lit(0.0))).alias("Revenue_Without_Discount"),
-                            sum2(value).alias("Total_Revenue"),
-                            F.sum(F.when(disc == 1, 1).otherwise(0)).alias("Discounted_Orders"),
-                            F.sum(F.when(disc == 0, 1).otherwise(0)).alias("Full_Price_Orders")))
-    busiest = (per_restaurant.orderBy(_desc("_orders"), _asc("restaurant_name"))
+    per_restaurant = (_by_restaurant(o)
+                      .agg(count_all("_orders"),
+                           sum2("CASE WHEN discount_used = 1 THEN order_value ELSE 0D END",
+                                "Revenue_With_Discount"),
+                           sum2("CASE WHEN discount_used = 0 THEN order_value ELSE 0D END",
+                                "Revenue_Without_Discount"),
+                           sum2("order_value", "Total_Revenue"),
+                           e("sum(CASE WHEN discount_used = 1 THEN 1 ELSE 0 END)", "Discounted_Orders"),
+                           e("sum(CASE WHEN discount_used = 0 THEN 1 ELSE 0 END)", "Full_Price_Orders")))
+    busiest = (per_restaurant.orderBy(desc("_orders"), asc("Restaurant"))
                              .limit(top)
-                             .where(F.col("restaurant_name").isNotNull()))
-    return (busiest.select(F.col("restaurant_name").alias("Restaurant"), "Revenue_With_Discount",
-                           "Revenue_Without_Discount", "Total_Revenue", "Discounted_Orders",
-                           "Full_Price_Orders")
-                   .orderBy(_desc("Total_Revenue"), _asc("Restaurant")))
+                             .where("Restaurant IS NOT NULL"))
+    return (busiest.drop("_orders")
+                   .orderBy(desc("Total_Revenue"), asc("Restaurant")))
 
 
 def oq10_discount_impact(o: DataFrame) -> DataFrame:
     """OQ10: discounted vs full-price orders with their share of all revenue."""
-    g = (o.groupBy("discount_used")
-          .agg(_count().alias("Total_Orders"),
-               exact_sum("order_value").alias("_revenue"),
-               r2("order_value").alias("Avg_Order_Value")))
     # The total is summed over the grouped rows in one window. Discount codes
     # are 1 / 0 / NULL, so the window holds at most three rows; a scalar
     # subquery here would prune to a different aggregate and scan the orders
     # a second time.
-    total = F.sum("_revenue").over(Window.partitionBy())
-    return (g.withColumn("_total", total)
-             .orderBy(_desc("discount_used"))
-             .select(_label(ORDER_TYPE_LABELS).alias("Order_Type"), "Total_Orders",
-                     F.round("_revenue", 2).cast("double").alias("Total_Revenue"),
-                     "Avg_Order_Value",
-                     share2("_revenue", "_total").alias("Revenue_Percentage")))
+    return (o.groupBy("discount_used")
+             .agg(count_all("Total_Orders"),
+                  exact_sum("order_value", "_revenue"),
+                  r2("order_value", "Avg_Order_Value"))
+             .withColumn("_total", e("sum(_revenue) OVER ()"))
+             .orderBy(desc("discount_used"))
+             .selectExpr(f"{_label_sql(ORDER_TYPE_LABELS)} AS Order_Type", "Total_Orders",
+                         "CAST(round(_revenue, 2) AS DOUBLE) AS Total_Revenue",
+                         "Avg_Order_Value",
+                         f"{share2_sql('_revenue', '_total')} AS Revenue_Percentage"))
 
 
 def oq0_orders_overview(o: DataFrame) -> DataFrame:
     """OQ0: one row of totals over all orders (also over an empty table)."""
-    return o.agg(_count().alias("Total_Orders"),
-                 sum2("order_value").alias("Total_Revenue"),
-                 r2("order_value").alias("Avg_Order_Value"),
-                 F.countDistinct("restaurant_name").alias("Unique_Restaurants"),
-                 F.sum("discount_used").alias("Discounted_Orders"))
+    return o.agg(count_all("Total_Orders"),
+                 sum2("order_value", "Total_Revenue"),
+                 r2("order_value", "Avg_Order_Value"),
+                 e("count(DISTINCT restaurant_name)", "Unique_Restaurants"),
+                 e("sum(discount_used)", "Discounted_Orders"))

@@ -4,72 +4,96 @@ The test data has no restaurant tables, so ``part`` plays the listings
 and ``orders`` plays the orders, through a plain projection (no row is
 dropped or added). NULLs are placed by a rule on the key so that the null
 handling of every query is exercised. The same projection is written once
-more as SQL in ``tavola.plans.oracle``; the two must agree.
+more as DuckDB SQL in ``tavola.plans.oracle``; the two must agree.
 
+The tables are read with their known layout (no footer scan to infer a
+schema) and projected with SQL expression strings, one JVM call per column.
 Only this module knows the test tables; the queries take role-shaped frames.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tavola.operators.cleaning import price_category, rating_category
-from tavola.sources.ingest import encode_discount, parse_order_date
-
-# Order status letter -> payment method.
-PAYMENT_BY_STATUS = (("F", "Card"), ("O", "Cash"), ("P", "UPI"))
-
-# Divisors of the rules that place NULLs.
-NULL_RATE_EVERY = 13
-NULL_COST_EVERY = 89
-NULL_LOCATION_EVERY = 101
-NULL_CUISINES_EVERY = 103
-UNMAPPED_DISCOUNT_EVERY = 97
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def _rate(key: Column) -> Column:
-    brand_no = F.substring("p_brand", 7, 16).cast("int")
-    score = F.least(F.lit(31), (brand_no % 8) * 4 + key % 8)
-    return (F.lit(18) + score) / F.lit(10.0)
-
-
-def _unless(cond: Column, value: Column, type_: str) -> Column:
-    return F.when(cond, F.lit(None).cast(type_)).otherwise(value)
-
-
-def listings_columns() -> dict[str, Column]:
-    """LISTINGS columns as expressions over ``part``, categories excluded."""
-    key = F.col("p_partkey")
-    return {
-        "name": F.concat(F.col("p_name"), F.lit(" "), key.cast("string")),
-        "online_order": F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("No"),
-        "book_table": F.when(F.col("p_size") % 3 == 0, "Yes").otherwise("No"),
-        "rate": _unless(key % NULL_RATE_EVERY == 0, _rate(key), "double"),
-        "votes": ((key * 31) % 1000).cast("int"),
-        "location": _unless(key % NULL_LOCATION_EVERY == 0, F.col("p_brand"), "string"),
-        "rest_type": F.col("p_type"),
-        "dish_liked": F.lit(None).cast("string"),
-        "cuisines": _unless(key % NULL_CUISINES_EVERY == 0,
-                            F.concat(F.col("p_name"), F.lit(", "), F.col("p_type")), "string"),
-        "approx_cost_for_two": _unless(key % NULL_COST_EVERY == 0,
-                                       (F.lit(40) + (key * 37) % 5961).cast("int"), "int"),
-        "listed_type": F.col("p_type"),
-        "listed_city": F.col("p_brand"),
-    }
+from pyspark.sql import DataFrame, SparkSession
+
+from tavola.operators.cleaning import price_category_sql, rating_category_sql
+from tavola.sources.ingest import discount_code_sql
+
+# Layouts of the two provided tables that are read.
+PART_SCHEMA = ("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, "
+               "p_size INT, p_retailprice DOUBLE")
+ORDERS_SCHEMA = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+                 "o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING")
+
+# The rules of the binding (see FIXTURES.md).
+#   rate     = (18 + least(31, (brand number % 8) * 4 + key % 8)) / 10, NULL every 13th key
+#   cost     = 40 + (key * 37) % 5961, NULL every 89th key
+#   location = brand, NULL every 101st key; cuisines NULL every 103rd key
+#   discount = text 'maybe' (unmapped) every 97th order, 'Yes' when key % 10 < 4
+#   payment  = F -> Card, O -> Cash, P -> UPI
+_LISTING_EXPRS = {
+    "name": "concat(p_name, ' ', CAST(p_partkey AS STRING))",
+    "online_order": "CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END",
+    "book_table": "CASE WHEN p_size % 3 = 0 THEN 'Yes' ELSE 'No' END",
+    "rate": ("CASE WHEN p_partkey % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE "
+             "(18 + least(31, (CAST(substring(p_brand, 7) AS INT) % 8) * 4 + p_partkey % 8))"
+             " / 10.0D END"),
+    "votes": "CAST((p_partkey * 31) % 1000 AS INT)",
+    "location": "CASE WHEN p_partkey % 101 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END",
+    "rest_type": "p_type",
+    "dish_liked": "CAST(NULL AS STRING)",
+    "cuisines": ("CASE WHEN p_partkey % 103 = 0 THEN CAST(NULL AS STRING) "
+                 "ELSE concat(p_name, ', ', p_type) END"),
+    "approx_cost_for_two": ("CASE WHEN p_partkey % 89 = 0 THEN CAST(NULL AS INT) "
+                            "ELSE CAST(40 + (p_partkey * 37) % 5961 AS INT) END"),
+    "listed_type": "p_type",
+    "listed_city": "p_brand",
+}
+
+_RAW_ORDER_EXPRS = {
+    "order_id": "o_orderkey",
+    "restaurant_name": "concat('R', CAST(o_custkey AS STRING))",
+    "order_date": "o_orderdate",
+    "order_value": "o_totalprice",
+    "discount_used": ("CASE WHEN o_orderkey % 97 = 0 THEN 'maybe' "
+                      "WHEN o_orderkey % 10 < 4 THEN 'Yes' ELSE 'No' END"),
+    "payment_method": ("CASE o_orderstatus WHEN 'F' THEN 'Card' WHEN 'O' THEN 'Cash' "
+                       "WHEN 'P' THEN 'UPI' END"),
+}
+
+
+# Bound frames are lazy plans over read-only files, so one plan per
+# (session, directory, role) is built and reused; every action still scans
+# the files. This saves rebuilding the same projection for each question.
+_PLANS: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, role: str, build) -> DataFrame:
+    key = (id(spark), sf_dir.rstrip("/"), role)
+    hit = _PLANS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = build()
+    _PLANS[key] = (spark, df)
+    return df
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _project(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{e} AS `{n}`" for n, e in exprs.items()])
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part`` as LISTINGS: one listing per part, categories derived by C5/C6."""
-    cols = listings_columns()
-    return (_read(spark, sf_dir, "part")
-            .select([c.alias(n) for n, c in cols.items()])
-            .withColumn("rating_category", rating_category("rate"))
-            .withColumn("price_category", price_category("approx_cost_for_two")))
+    """``part`` as LISTINGS: one listing per part, categories derived as C5/C6 do."""
+    base = _LISTING_EXPRS["rate"]
+    cost = _LISTING_EXPRS["approx_cost_for_two"]
+    exprs = {**_LISTING_EXPRS,
+             "rating_category": rating_category_sql(f"({base})"),
+             "price_category": price_category_sql(f"({cost})")}
+    return _memo(spark, sf_dir, "listings",
+                 lambda: _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs))
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,49 +103,33 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rating ``4.1`` -> ``"4.1/5"`` (missing -> ``"NEW"``); cost ``1200`` ->
     ``"1,200"`` (missing -> NULL).
     """
-    cols = listings_columns()
-    rate, cost = cols.pop("rate"), cols.pop("approx_cost_for_two")
-    listed_type, listed_city = cols.pop("listed_type"), cols.pop("listed_city")
-    rate_text = F.coalesce(F.concat(F.format_string("%.1f", rate), F.lit("/5")), F.lit("NEW"))
-    cost_text = F.format_number(cost, 0)
-    return _read(spark, sf_dir, "part").select(
-        *[c.alias(n) for n, c in cols.items()],
-        rate_text.alias("rate"),
-        cost_text.alias("approx_cost_for_two"),
-        listed_type.alias("listed_in(type)"),
-        listed_city.alias("listed_in(city)"),
-    )
+    exprs = dict(_LISTING_EXPRS)
+    rate, cost = exprs.pop("rate"), exprs.pop("approx_cost_for_two")
+    exprs["rate"] = f"coalesce(concat(format_string('%.1f', {rate}), '/5'), 'NEW')"
+    exprs["approx_cost_for_two"] = f"format_number({cost}, 0)"
+    exprs["listed_in(type)"] = exprs.pop("listed_type")
+    exprs["listed_in(city)"] = exprs.pop("listed_city")
+    return _memo(spark, sf_dir, "raw_listings",
+                 lambda: _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs))
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as the orders file would read: discount as Yes / No / other text."""
-    key = F.col("o_orderkey")
-    status = F.col("o_orderstatus")
-    payment = F.when(status == PAYMENT_BY_STATUS[0][0], PAYMENT_BY_STATUS[0][1])
-    for letter, method in PAYMENT_BY_STATUS[1:]:
-        payment = payment.when(status == letter, method)
-    discount = (F.when(key % UNMAPPED_DISCOUNT_EVERY == 0, "maybe")
-                 .when(key % 10 < 4, "Yes").otherwise("No"))
-    return _read(spark, sf_dir, "orders").select(
-        key.alias("order_id"),
-        F.concat(F.lit("R"), F.col("o_custkey").cast("string")).alias("restaurant_name"),
-        F.col("o_orderdate").alias("order_date"),
-        F.col("o_totalprice").alias("order_value"),
-        discount.alias("discount_used"),
-        payment.alias("payment_method"),
-    )
+    return _memo(spark, sf_dir, "raw_orders",
+                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), _RAW_ORDER_EXPRS))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as ORDERS (discount encoded by I4)."""
-    return encode_discount(raw_orders(spark, sf_dir))
+    """``orders`` as ORDERS (discount text encoded as I4 does)."""
+    exprs = dict(_RAW_ORDER_EXPRS)
+    exprs["discount_used"] = discount_code_sql(f"({exprs['discount_used']})")
+    return _memo(spark, sf_dir, "orders",
+                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs))
 
 
 def orders_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw orders with the date rendered as text, for the date-parsing step."""
-    return raw_orders(spark, sf_dir).withColumn(
-        "order_date", F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss"))
-
-
-__all__ = ["listings", "orders", "raw_listings", "raw_orders", "orders_date_text",
-           "parse_order_date"]
+    """Raw orders with the date rendered as ISO text, for the date-parsing step."""
+    exprs = dict(_RAW_ORDER_EXPRS)
+    exprs["order_date"] = "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    return _memo(spark, sf_dir, "orders_date_text",
+                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs))

@@ -17,7 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tavola.operators.cleaning import sql_string
 from tavola.sources import schemas
 
 # Text the listings reader treats as missing. This is the
@@ -36,8 +38,25 @@ RENAMES = {"listed_in(type)": "listed_type", "listed_in(city)": "listed_city"}
 DISCOUNT_CODES = {"Yes": 1, "No": 0}
 
 
-def _null_tokens(c: Column) -> Column:
-    return F.when(c.isin(*NULL_TOKENS), F.lit(None).cast("string")).otherwise(c)
+def _null_tokens_sql(name: str) -> str:
+    tokens = ", ".join(sql_string(t) for t in NULL_TOKENS)
+    return f"CASE WHEN `{name}` IN ({tokens}) THEN CAST(NULL AS STRING) ELSE `{name}` END AS `{name}`"
+
+
+def discount_code_sql(c: str) -> str:
+    """SQL for I4: ``Yes`` -> 1, ``No`` -> 0, anything else -> NULL (int)."""
+    yes, no = DISCOUNT_CODES["Yes"], DISCOUNT_CODES["No"]
+    return (f"CAST(CASE WHEN CAST({c} AS STRING) = 'Yes' THEN {yes} "
+            f"WHEN CAST({c} AS STRING) = 'No' THEN {no} END AS INT)")
+
+
+def order_date_sql(c: str) -> str:
+    """SQL for the order date: text -> TIMESTAMP_NTZ in UTC; text not
+    starting ``YYYY-MM-DD`` -> NULL. Offsets such as ``-05:00`` are
+    normalised to UTC (needs the UTC session zone)."""
+    s = f"trim(CAST({c} AS STRING))"
+    return (f"CAST(CASE WHEN {s} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' "
+            f"THEN try_to_timestamp({s}) END AS TIMESTAMP_NTZ)")
 
 
 def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -55,7 +74,7 @@ def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> Da
            .option("nullValue", "")
            .option("mode", "PERMISSIVE")
            .csv(path))
-    return raw.select([_null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return raw.selectExpr(*[_null_tokens_sql(c) for c in raw.columns])
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -64,25 +83,25 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(present) if present else df
 
 
-def _to_int(c: Column) -> Column:
+def _to_int_sql(c: str) -> str:
     # "1200" and "1200.0" (a float column written by pandas) both give 1200.
-    s = F.trim(c.cast("string"))
-    return F.coalesce(s.try_cast("int"), s.try_cast("decimal(20,6)").try_cast("int"))
+    s = f"trim(CAST({c} AS STRING))"
+    return f"coalesce(try_cast({s} AS INT), try_cast(try_cast({s} AS DECIMAL(20,6)) AS INT))"
 
 
 def to_listings_schema(df: DataFrame) -> DataFrame:
     """Cast a renamed listings frame to the LISTINGS schema; absent columns are NULL."""
     out = []
     for field in schemas.LISTINGS.fields:
-        c = F.col(field.name) if field.name in df.columns else F.lit(None)
+        c = f"`{field.name}`" if field.name in df.columns else "NULL"
         if field.name in ("votes", "approx_cost_for_two"):
-            c = _to_int(c)
+            e = _to_int_sql(c)
         elif field.name == "rate":
-            c = F.trim(c.cast("string")).try_cast("double")
+            e = f"try_cast(trim(CAST({c} AS STRING)) AS DOUBLE)"
         else:
-            c = c.cast(field.dataType)
-        out.append(c.alias(field.name))
-    return df.select(out)
+            e = f"CAST({c} AS {field.dataType.simpleString()})"
+        out.append(f"{e} AS `{field.name}`")
+    return df.selectExpr(*out)
 
 
 def load_listings_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -105,33 +124,23 @@ def read_orders(spark: SparkSession, path: str, json_lines: bool = False) -> Dat
 
 def encode_discount(df: DataFrame, col: str = "discount_used") -> DataFrame:
     """I4: ``Yes`` -> 1, ``No`` -> 0, anything else -> NULL (int column)."""
-    c = F.col(col).cast("string")
-    expr = (F.when(c == F.lit("Yes"), F.lit(DISCOUNT_CODES["Yes"]))
-             .when(c == F.lit("No"), F.lit(DISCOUNT_CODES["No"])))
-    return df.withColumn(col, expr.cast("int"))
-
+    return df.withColumn(col, F.expr(discount_code_sql(f"`{col}`")))
 
-def parse_order_date(c: str | Column) -> Column:
-    """Order date text -> TIMESTAMP_NTZ in UTC; text not starting YYYY-MM-DD -> NULL.
 
-    Offsets such as ``-05:00`` are normalised to UTC (needs the UTC session zone).
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    s = F.trim(c.cast("string"))
-    parsed = F.try_to_timestamp(s)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), parsed).cast("timestamp_ntz")
+def parse_order_date(c: str = "order_date") -> Column:
+    """Order date text (column ``c``) -> TIMESTAMP_NTZ, see ``order_date_sql``."""
+    return F.expr(order_date_sql(f"`{c}`"))
 
 
 def to_orders_schema(df: DataFrame) -> DataFrame:
     """Orders file frame -> ORDERS schema (date parsed, discount encoded)."""
-    df = encode_discount(df)
-    return df.select(
-        F.col("order_id").cast("bigint").alias("order_id"),
-        F.col("restaurant_name").cast("string").alias("restaurant_name"),
-        parse_order_date("order_date").alias("order_date"),
-        F.col("order_value").cast("double").alias("order_value"),
-        F.col("discount_used").cast("int").alias("discount_used"),
-        F.col("payment_method").cast("string").alias("payment_method"),
+    return df.selectExpr(
+        "CAST(order_id AS BIGINT) AS order_id",
+        "CAST(restaurant_name AS STRING) AS restaurant_name",
+        f"{order_date_sql('order_date')} AS order_date",
+        "CAST(order_value AS DOUBLE) AS order_value",
+        f"{discount_code_sql('discount_used')} AS discount_used",
+        "CAST(payment_method AS STRING) AS payment_method",
     )
 
 
@@ -150,14 +159,25 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def load_report(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table: ``table_name``, ``row_count``."""
-    parts = [df.select(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+    parts = [df.selectExpr(f"{sql_string(name)} AS table_name", "count(1) AS row_count")
              for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a stored table."""
-    return spark.read.parquet(path)
+def load_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Scan a stored table; with its known schema no footer scan is needed."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
+
+
+def load_listings(spark: SparkSession, path: str) -> DataFrame:
+    """I7 for the stored listings table."""
+    return load_table(spark, path, schemas.LISTINGS)
+
+
+def load_orders(spark: SparkSession, path: str) -> DataFrame:
+    """I7 for the stored orders table."""
+    return load_table(spark, path, schemas.ORDERS)
 
 
 def run_load(spark: SparkSession, listings_csv: str, orders_json: str, out_dir: str,
@@ -170,5 +190,5 @@ def run_load(spark: SparkSession, listings_csv: str, orders_json: str, out_dir:
     orders_path = f"{out_dir.rstrip('/')}/orders"
     write_table(load_listings_csv(spark, listings_csv), listings_path)
     write_table(load_orders_json(spark, orders_json, json_lines), orders_path)
-    return load_report({"restaurants": load_table(spark, listings_path),
-                        "orders": load_table(spark, orders_path)})
+    return load_report({"restaurants": load_listings(spark, listings_path),
+                        "orders": load_orders(spark, orders_path)})
