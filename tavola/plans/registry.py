@@ -89,9 +89,14 @@ def i4_encode_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i3_parse_order_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I3's date step over every order: ISO text back to a timestamp."""
-    return binding.orders_date_text(spark, sf_dir).select(
-        "order_id", ingest.parse_order_date("order_date").alias("order_date"))
+    """I3's date step over every order: ISO text back to a timestamp.
+
+    The parsed value is shown as ``yyyy-MM-dd HH:mm:ss`` text so that the
+    comparison does not depend on how each engine types timestamps.
+    """
+    parsed = ingest.order_date_sql("order_date")
+    return binding.orders_date_text(spark, sf_dir).selectExpr(
+        "order_id", f"date_format({parsed}, 'yyyy-MM-dd HH:mm:ss') AS order_date")
 
 
 def i6_load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
