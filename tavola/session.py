@@ -16,17 +16,22 @@ _REQUIRED = {
     "spark.sql.ansi.enabled": "true",
 }
 
-# Settings for scale: runtime re-planning, partition coalescing, skew
-# splitting and runtime broadcast conversion. Only applied when unset, so a
-# cluster's own values win.
+# Runtime settings for scale: re-planning at stage boundaries, partition
+# coalescing, skew splitting and runtime broadcast conversion. Applied only
+# to keys the submitted configuration does not set, so a cluster's own
+# values win.
 _SCALE_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+# Static settings for a session this module starts itself (local runs, tests).
+_LOCAL_STATIC = {
     "spark.ui.enabled": "false",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -38,14 +43,21 @@ def get_session(master: str | None = None, app_name: str = "tavola",
     ``master`` and ``shuffle_partitions`` are for local runs and tests; on a
     cluster leave them unset so the submitted configuration is kept.
     """
+    extra = dict(extra or {})
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_SCALE_DEFAULTS, **(extra or {})}.items():
-        builder = builder.config(key, value)
+        for key, value in _LOCAL_STATIC.items():
+            builder = builder.config(key, value)
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        extra["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in extra.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for key, value in _SCALE_DEFAULTS.items():
+        if key not in extra and not submitted.contains(key):
+            spark.conf.set(key, value)
     configure(spark)
     return spark
 
