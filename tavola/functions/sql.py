@@ -11,6 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal for ``value`` (backslash and quote escaped)."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def e(sql: str, name: str | None = None) -> Column:
     """Column from SQL expression text, optionally aliased."""
     return F.expr(f"{sql} AS `{name}`" if name else sql)

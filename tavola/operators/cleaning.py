@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.sql import sql_string
+
 # Category labels used by the stored tables and the queries.
 PRICE_LABELS = ("Cheap", "Low", "Moderate", "High", "Very High")
 RATING_LABELS = ("Low", "Average", "Good")
@@ -28,11 +30,6 @@ DEFAULT_RATING_CUTS: tuple[tuple[float, str], ...] = ((3.0, "Low"), (4.0, "Avera
 DEFAULT_RATING_TOP = "Good"
 
 
-def sql_string(value: str) -> str:
-    """A Spark SQL string literal for ``value``."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def rating_from_text_sql(c: str) -> str:
     """``"4.1/5"`` -> 4.1, ``"4.1 /5"`` -> 4.1, ``"NEW"`` / ``"-"`` -> NULL."""
     return f"try_cast(trim(split(CAST({c} AS STRING), '/')[0]) AS DOUBLE)"

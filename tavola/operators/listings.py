@@ -16,10 +16,10 @@ first ascending, last descending.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tavola.functions.exact import exact_avg, r0, r2
-from tavola.functions.sql import asc, count_all, desc, e, not_null
-from tavola.operators.cleaning import sql_string
+from tavola.functions.sql import asc, count_all, desc, e, not_null, sql_string
 
 # Thresholds and limits of the questions.
 HIGH_RATED_LOCATION_MIN_AVG = 4          # D2, on the raw average, strict
@@ -195,8 +195,8 @@ def q11_premium_locations(r: DataFrame, categories: tuple[str, ...] = PREMIUM_PR
                           min_avg: float = PREMIUM_MIN_AVG, min_count: int = PREMIUM_MIN_COUNT,
                           limit: int = PREMIUM_LIMIT) -> DataFrame:
     """Q11: locations for premium onboarding; HAVING on the rounded average."""
-    in_list = ", ".join(sql_string(c) for c in categories)
-    return (r.where(f"{not_null('rate')} AND price_category IN ({in_list})")
+    premium = F.expr(not_null("rate")) & F.col("price_category").isin(*categories)
+    return (r.where(premium)
              .groupBy(_key("location", "Location"))
              .agg(r2("rate", "Avg_Rating"), r0("approx_cost_for_two", "Avg_Cost"),
                   count_all("Num_Restaurants"))

@@ -24,8 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, GroupedData
 
 from tavola.functions.exact import exact_sum, pct2, r2, round2, share2_sql, sum2
-from tavola.functions.sql import asc, count_all, desc, e
-from tavola.operators.cleaning import sql_string
+from tavola.functions.sql import asc, count_all, desc, e, sql_string
 
 # Limits and thresholds of the questions, and the labels.
 TOP_REVENUE_LIMIT = 20            # OQ2

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tavola.operators.cleaning import sql_string
+from tavola.functions.sql import sql_string
 from tavola.sources import schemas
 
 # Text the listings reader treats as missing. This is the
