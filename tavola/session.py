@@ -70,13 +70,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Use the cluster's shared ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests) without one gets a temporary local
+    directory; a cluster without one is left as it is (no query here
+    checkpoints), since a machine-local folder is not reachable from other
+    executors.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        return None
     local = tempfile.mkdtemp(prefix="tavola-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
