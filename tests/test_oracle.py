@@ -33,3 +33,15 @@ def test_queries_run_on_smallest_scale(spark):
     for name, fn in QUERIES.items():
         df = fn(spark, SF_SMALL)
         df.write.format("noop").mode("overwrite").save()
+
+
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_types_match_oracle(spark, duck_oracle, name):
+    spark_types = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in QUERIES[name](spark, SF_ORACLE).schema.fields}
+    rel = duck_oracle.sql(ORACLE[name])
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
