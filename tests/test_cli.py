@@ -22,3 +22,17 @@ def test_cli_list_ask_explore(spark, tmp_path, capsys):
     main(["explore", "--tables", root, "--location", "Brand#1", "--min-rate", "2.0"])
     out = capsys.readouterr().out
     assert "Total_Restaurants" in out and "Brand#1 " in out
+
+
+def test_batch_writes_each_answer(spark, tmp_path):
+    from tavola.operators import listings as L, orders as O
+    from tavola.plans.batch import write_answers
+
+    r, o = binding.listings(spark, SF_SMALL), binding.orders(spark, SF_SMALL)
+    out = str(tmp_path / "answers")
+    secs = write_answers(spark, {"q1": lambda: L.q1_best_locations(r),
+                                 "oq5": lambda: O.oq5_payment_share(o),
+                                 "q15": lambda: L.q15_top_per_price(r)}, out, max_workers=3)
+    assert set(secs) == {"q1", "oq5", "q15"}
+    assert spark.read.parquet(f"{out}/q1").count() == L.q1_best_locations(r).count()
+    assert spark.read.parquet(f"{out}/oq5").count() == 3
