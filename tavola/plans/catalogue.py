@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tavola.operators import explore, listings as L, orders as O
 
@@ -128,6 +128,13 @@ CATALOGUE: dict[str, Question] = {
 }
 
 
+def question_catalogue(spark: SparkSession) -> DataFrame:
+    """The catalogue as a small frame ``id, question, business_value`` (35 rows), by id."""
+    rows = [(q.id, q.question, q.business_value) for q in CATALOGUE.values()]
+    return (spark.createDataFrame(rows, "id STRING, question STRING, business_value STRING")
+                 .orderBy("id"))
+
+
 def answer(question_id: str, listings: DataFrame | None = None,
            orders: DataFrame | None = None) -> DataFrame:
     """Run one catalogued question on the role-shaped table it needs."""

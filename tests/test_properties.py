@@ -101,3 +101,11 @@ def test_catalogue_covers_every_named_question(spark):
     for qid in CATALOGUE:
         df = answer(qid, listings=r, orders=o)
         assert df.columns
+
+
+def test_question_catalogue_frame(spark):
+    from tavola.plans.catalogue import question_catalogue
+
+    df = question_catalogue(spark)
+    assert df.columns == ["id", "question", "business_value"]
+    assert df.count() == 35

@@ -197,3 +197,20 @@ def test_case_sensitive_text(spark):
     got = {x["Online_Order"] for x in L.q3_online_order_effect(r).collect()}
     assert got == {"yes", "Yes"}
     assert explore.e1_filter_listings(r, explore.ListingFilter(online_order="Yes", min_rate=1.8)).count() == 1
+
+
+def test_exact_3_995_rounds_up_and_passes_rounded_having_only(spark):
+    rows = [{"rate": v, "cuisines": "Edge", "location": "Edge", "approx_cost_for_two": 2500}
+            for v in (3.99, 4.0)] * 3
+    r = frames.listings(spark, rows)
+    premium = L.q11_premium_locations(r).collect()
+    assert [(x["Location"], x["Avg_Rating"]) for x in premium] == [("Edge", 4.0)]
+    assert L.q9_niche_cuisines(r).collect() == []
+
+
+def test_rounded_upper_bound_in_q12(spark):
+    # averages 3.895 (rounds to 3.9, not below it) and 3.885 (rounds to 3.89)
+    rows = [{"rate": v, "location": "AtBound"} for v in (3.89, 3.9)] * 10
+    rows += [{"rate": v, "location": "Below"} for v in (3.88, 3.89)] * 10
+    got = [(x["Location"], x["Avg_Rating"]) for x in L.q12_demand_low_rating(frames.listings(spark, rows)).collect()]
+    assert got == [("Below", 3.89)]
