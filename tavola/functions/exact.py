@@ -43,16 +43,33 @@ def _c(x: str | Column) -> Column:
 # string is one JVM call when turned into a Column, however deep the
 # expression.
 
+def whole_sum_sql(x: str) -> str:
+    """BIGINT sum of the integer parts of ``x`` (truncated toward zero)."""
+    return f"sum(CAST({x} AS BIGINT))"
+
+
+def micros_sum_sql(x: str) -> str:
+    """BIGINT sum of the fractional parts of ``x`` in millionths."""
+    return f"sum(CAST(rint((({x}) - CAST({x} AS BIGINT)) * 1000000D) AS BIGINT))"
+
+
+def from_parts_sql(whole: str, micros: str) -> str:
+    """Exact ``decimal(28,6)`` from a whole-part sum and a millionths sum."""
+    return f"CAST((CAST({whole} AS DECIMAL(38,0)) * 1000000 + {micros}) / 1000000 AS {SUM_DECIMAL})"
+
+
+def avg_from_parts_sql(whole: str, micros: str, count: str) -> str:
+    """Unrounded exact average (``decimal(38,16)``) from parts and a count."""
+    return f"try_divide({from_parts_sql(whole, micros)}, CAST({count} AS {COUNT_DECIMAL}))"
+
+
 def exact_sum_sql(x: str) -> str:
     """``SUM(x)`` exact to six places, as ``decimal(28,6)``."""
-    whole = f"CAST({x} AS BIGINT)"
-    micros = f"CAST(rint((({x}) - CAST({x} AS BIGINT)) * 1000000D) AS BIGINT)"
-    return (f"CAST((CAST(sum({whole}) AS DECIMAL(38,0)) * 1000000 + sum({micros}))"
-            f" / 1000000 AS {SUM_DECIMAL})")
+    return from_parts_sql(whole_sum_sql(x), micros_sum_sql(x))
 
 
 def exact_avg_sql(x: str) -> str:
-    return f"try_divide({exact_sum_sql(x)}, CAST(count({x}) AS {COUNT_DECIMAL}))"
+    return avg_from_parts_sql(whole_sum_sql(x), micros_sum_sql(x), f"count({x})")
 
 
 def r2_sql(x: str) -> str:
