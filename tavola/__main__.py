@@ -4,6 +4,7 @@
     python -m tavola list
     python -m tavola ask q11_premium_locations --tables TABLES
     python -m tavola explore --tables TABLES --location BTM --min-rate 4.0 --max-cost 1500
+    python -m tavola report --tables TABLES --out ANSWERS
 
 Results are shown with ``DataFrame.show`` (the first ``--rows`` rows); the
 query itself runs on the cluster.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import argparse
 
 from tavola.operators import explore
+from tavola.plans.batch import write_report
 from tavola.plans.catalogue import CATALOGUE, answer
 from tavola.session import get_session
 from tavola.sources import ingest
@@ -43,6 +45,11 @@ def main(argv: list[str] | None = None) -> None:
     ask.add_argument("--tables", required=True)
     ask.add_argument("--rows", type=int, default=50)
 
+    rep = sub.add_parser("report", help="write every answer as a Parquet table")
+    rep.add_argument("--tables", required=True)
+    rep.add_argument("--out", required=True)
+    rep.add_argument("--workers", type=int, default=4)
+
     exp = sub.add_parser("explore", help="filter listings (E1) with the summary (E5)")
     exp.add_argument("--tables", required=True)
     for name in ("location", "rest_type", "listed_type", "online_order", "book_table",
@@ -68,6 +75,12 @@ def main(argv: list[str] | None = None) -> None:
         if q.business_value:
             print(f"Business value: {q.business_value}")
         answer(args.question, listings=r, orders=o).show(args.rows, truncate=False)
+    elif args.cmd == "report":
+        r, o = _tables(spark, args.tables)
+        secs = write_report(spark, r, o, args.out, args.workers,
+                            summary_path=f"{args.out.rstrip('/')}/_order_summary")
+        for qid, sec in secs.items():
+            print(f"{qid:28s} {sec:7.2f}s")
     elif args.cmd == "explore":
         r, _ = _tables(spark, args.tables)
         flt = explore.ListingFilter(

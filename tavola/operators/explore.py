@@ -9,6 +9,7 @@ as pushed filters.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,10 @@ class ListingFilter:
         The bounds are numbers formatted by ``float`` / ``int``; option values
         are compared as ``F.lit`` values, never spliced into query text.
         """
-        pred = F.expr(f"rate IS NOT NULL AND rate >= {float(self.min_rate)!r}D "
+        min_rate = float(self.min_rate)
+        if not math.isfinite(min_rate):
+            raise ValueError(f"min_rate must be a finite number, got {self.min_rate!r}")
+        pred = F.expr(f"rate IS NOT NULL AND rate >= {min_rate!r}D "
                       f"AND approx_cost_for_two <= {int(self.max_cost)}")
         for f in fields(self):
             if f.name in _EQUALITY:

@@ -39,3 +39,24 @@ def write_answers(spark: SparkSession, answers: dict[str, Callable[[], DataFrame
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
         futures = {name: pool.submit(run, name, build) for name, build in answers.items()}
         return {name: f.result() for name, f in futures.items()}
+
+
+def write_report(spark: SparkSession, listings: DataFrame, orders: DataFrame, out_dir: str,
+                 max_workers: int = 4, summary_path: str | None = None) -> dict[str, float]:
+    """Every catalogued question written as ``out_dir/<id>``.
+
+    Order questions come from one grouping-sets summary of the orders
+    (materialised at ``summary_path``, else checkpointed); listing
+    questions run on their own. All answers are submitted concurrently.
+    """
+    from tavola.plans.catalogue import CATALOGUE
+    from tavola.plans.summary import order_answers
+
+    from_summary = order_answers(orders, summary_path).all()
+    answers: dict[str, Callable[[], DataFrame]] = {}
+    for qid, q in CATALOGUE.items():
+        if qid in from_summary:
+            answers[qid] = (lambda df=from_summary[qid]: df)
+        else:
+            answers[qid] = (lambda run=q.run: run(listings))
+    return write_answers(spark, answers, out_dir, max_workers)

@@ -36,3 +36,28 @@ def test_batch_writes_each_answer(spark, tmp_path):
     assert set(secs) == {"q1", "oq5", "q15"}
     assert spark.read.parquet(f"{out}/q1").count() == L.q1_best_locations(r).count()
     assert spark.read.parquet(f"{out}/oq5").count() == 3
+
+
+def test_cli_report_writes_every_answer(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    ingest.write_table(binding.listings(spark, SF_SMALL), f"{root}/restaurants")
+    ingest.write_table(binding.orders(spark, SF_SMALL), f"{root}/orders")
+    out = str(tmp_path / "answers")
+    main(["report", "--tables", root, "--out", out, "--workers", "4"])
+    from tavola.plans.catalogue import CATALOGUE
+    from tavola.operators import orders as O
+
+    for qid in CATALOGUE:
+        assert spark.read.parquet(f"{out}/{qid}").columns
+    stored = ingest.load_orders(spark, f"{root}/orders")
+    assert (sorted(map(tuple, spark.read.parquet(f"{out}/oq6_most_orders").collect()))
+            == sorted(map(tuple, O.oq6_most_orders(stored).collect())))
+
+
+def test_filter_rejects_non_finite_bound():
+    import pytest
+
+    from tavola.operators.explore import ListingFilter
+
+    with pytest.raises(ValueError):
+        ListingFilter(min_rate=float("nan")).predicate()
