@@ -70,6 +70,8 @@ def materialise(summary: DataFrame, path: str | None = None) -> DataFrame:
     Without: a reliable checkpoint in ``spark.checkpoint.dir``.
     """
     if path is None:
+        if summary.sparkSession.sparkContext.getCheckpointDir() is None:
+            raise ValueError("no spark.checkpoint.dir is set: pass a shared path for the summary")
         return summary.checkpoint(eager=True)
     summary.write.mode("overwrite").partitionBy("gid").parquet(path)
     return summary.sparkSession.read.schema(summary.schema).parquet(path)
