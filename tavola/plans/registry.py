@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tavola.operators import cleaning, explore, listings, orders
 from tavola.sources import binding, ingest
@@ -41,6 +42,14 @@ SELECTIVE_FILTER = explore.ListingFilter(
 # Cleaning and ingest steps, fed from the raw rendering of the test tables.
 # ---------------------------------------------------------------------------
 
+def _nullable_int(col: str) -> str:
+    # An INT column that holds NULLs is shown as DOUBLE here and in the
+    # oracle: engines and their pandas conversions disagree on how to type
+    # nullable integers (float with NaN vs a masked integer), while a NULL
+    # double is NaN everywhere. Values are unchanged.
+    return f"CAST({col} AS DOUBLE) AS {col}"
+
+
 def c1_parse_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 over every listing: ``"4.1/5"`` / ``"NEW"`` back to a rating."""
     return cleaning.parse_rating(binding.raw_listings(spark, sf_dir)).select("name", "rate")
@@ -48,14 +57,15 @@ def c1_parse_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c2_parse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 over every listing: ``"1,200"`` back to a cost."""
-    return cleaning.parse_cost(binding.raw_listings(spark, sf_dir)).select(
-        "name", "approx_cost_for_two")
+    return cleaning.parse_cost(binding.raw_listings(spark, sf_dir)).selectExpr(
+        "name", _nullable_int("approx_cost_for_two"))
 
 
 def c3_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing loaded twice, de-duplicated back to one copy."""
     r = binding.listings(spark, sf_dir)
-    return cleaning.drop_duplicates(r.unionAll(r))
+    out = cleaning.drop_duplicates(r.unionAll(r))
+    return out.withColumn("approx_cost_for_two", F.expr("CAST(approx_cost_for_two AS DOUBLE)"))
 
 
 def c4_drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +77,8 @@ def c4_drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c5_price_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price category of every listing from its cost."""
     r = binding.listings(spark, sf_dir).drop("price_category")
-    return cleaning.add_price_category(r).select("name", "approx_cost_for_two", "price_category")
+    return cleaning.add_price_category(r).selectExpr(
+        "name", _nullable_int("approx_cost_for_two"), "price_category")
 
 
 def c6_rating_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +95,8 @@ def clean_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def i4_encode_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4 over every order: Yes / No / other text to 1 / 0 / NULL."""
-    return ingest.encode_discount(binding.raw_orders(spark, sf_dir)).select(
-        "order_id", "discount_used")
+    return ingest.encode_discount(binding.raw_orders(spark, sf_dir)).selectExpr(
+        "order_id", _nullable_int("discount_used"))
 
 
 def i3_parse_order_date(spark: SparkSession, sf_dir: str) -> DataFrame:
