@@ -62,9 +62,17 @@ def c2_parse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c3_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing loaded twice, de-duplicated back to one copy."""
+    """Every listing loaded twice, de-duplicated back to one copy.
+
+    The second copy comes from the raw text, parsed and categorised again,
+    so it is a different plan with equal rows (a plain self-union would be
+    removed by the optimizer before the de-duplication saw it).
+    """
     r = binding.listings(spark, sf_dir)
-    out = cleaning.drop_duplicates(r.unionAll(r))
+    again = cleaning.add_rating_category(cleaning.add_price_category(
+        cleaning.parse_cost(cleaning.parse_rating(binding.raw_listings(spark, sf_dir)))))
+    again = ingest.to_listings_schema(ingest.normalise_columns(again))
+    out = cleaning.drop_duplicates(r.unionByName(again))
     return out.withColumn("approx_cost_for_two", F.expr("CAST(approx_cost_for_two AS DOUBLE)"))
 
 

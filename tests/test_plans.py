@@ -52,3 +52,10 @@ def test_stored_table_pushdown_and_pruning(spark, tmp_path):
 def test_topk_is_take_ordered(spark):
     plan = _plan(L.q1_best_locations(binding.listings(spark, SF_SMALL)))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_dedup_checks_see_both_copies(spark):
+    queries = entry_module.queries()
+    for name in ("c3_drop_duplicates", "clean_listings"):
+        plan = _plan(queries[name](spark, SF_SMALL))
+        assert plan.count("FileScan") == 2, name
