@@ -36,8 +36,9 @@ def rating_from_text_sql(c: str) -> str:
 
 
 def cost_from_text_sql(c: str) -> str:
-    """``"1,200"`` -> 1200; text that is not a whole number -> NULL."""
-    return f"try_cast(trim(replace(CAST({c} AS STRING), ',', '')) AS INT)"
+    """``"1,200"`` -> 1200, ``"800.0"`` -> 800; text that is not a number -> NULL."""
+    s = f"trim(replace(CAST({c} AS STRING), ',', ''))"
+    return f"coalesce(try_cast({s} AS INT), try_cast(try_cast({s} AS DECIMAL(20,6)) AS INT))"
 
 
 def parse_rating(df: DataFrame, col: str = "rate") -> DataFrame:

@@ -86,10 +86,11 @@ def test_run_load_writes_tables_and_report(spark, tmp_path):
 
 
 def test_rating_and_cost_text(spark):
-    df = spark.createDataFrame([("4.1/5", "1,200"), ("4.1 /5", "800"), ("NEW", None), ("-", "abc")],
+    df = spark.createDataFrame([("4.1/5", "1,200"), ("4.1 /5", "800"), ("NEW", None), ("-", "abc"),
+                                ("3.0/5", "800.0")],
                                "rate string, approx_cost_for_two string")
     got = [tuple(r) for r in cleaning.parse_cost(cleaning.parse_rating(df)).collect()]
-    assert got == [(4.1, 1200), (4.1, 800), (None, None), (None, None)]
+    assert got == [(4.1, 1200), (4.1, 800), (None, None), (None, None), (3.0, 800)]
 
 
 def test_clean_listings_pipeline(spark):
