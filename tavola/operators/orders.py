@@ -106,11 +106,17 @@ def oq6_most_orders(o: DataFrame, limit: int = MOST_ORDERS_LIMIT) -> DataFrame:
 
 
 def oq7_monthly_revenue(o: DataFrame) -> DataFrame:
-    """OQ7: orders, revenue and average value per calendar month (months with orders only)."""
-    return (o.groupBy(e(f"date_format(order_date, '{MONTH_FORMAT}')", "Month"))
+    """OQ7: orders, revenue and average value per calendar month (months with orders only).
+
+    Rows are grouped on the month-truncated timestamp (arithmetic per row);
+    only the resulting months are formatted as text.
+    """
+    return (o.groupBy(e("date_trunc('MONTH', order_date)", "_month"))
              .agg(count_all("Total_Orders"),
                   sum2("order_value", "Total_Revenue"),
                   r2("order_value", "Avg_Order_Value"))
+             .selectExpr(f"date_format(_month, '{MONTH_FORMAT}') AS Month", "Total_Orders",
+                         "Total_Revenue", "Avg_Order_Value")
              .orderBy(asc("Month")))
 
 

@@ -42,7 +42,7 @@ _WITHOUT = "CASE WHEN discount_used = 0 THEN order_value ELSE 0D END"
 def order_summary(o: DataFrame) -> DataFrame:
     """Per grouping set: counts, exact value parts, min / max, discount splits."""
     base = o.selectExpr("restaurant_name", "payment_method", "discount_used",
-                        f"date_format(order_date, '{O.MONTH_FORMAT}') AS month", "order_value")
+                        "date_trunc('MONTH', order_date) AS month", "order_value")
     sets = [[k] for k in KEYS] + [[]]
     return (base.groupingSets(sets, *KEYS)
                 .agg(e("grouping_id()", "gid"),
@@ -157,7 +157,8 @@ class OrderAnswers:
 
     def oq7_monthly_revenue(self) -> DataFrame:
         return (self._set("month")
-                .selectExpr("month AS Month", "n AS Total_Orders", f"{_REVENUE} AS Total_Revenue",
+                .selectExpr(f"date_format(month, '{O.MONTH_FORMAT}') AS Month", "n AS Total_Orders",
+                            f"{_REVENUE} AS Total_Revenue",
                             f"{_AVG} AS Avg_Order_Value")
                 .orderBy(asc("Month")))
 
