@@ -20,6 +20,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tavola.operators import explore, listings as L, orders as O  # noqa: E402
+from tavola.plans.summary import order_summary  # noqa: E402
 from tavola.session import get_session  # noqa: E402
 from tavola.sources import binding, ingest  # noqa: E402
 
@@ -40,6 +41,9 @@ SELECTED = [
      "Total over at most three grouped rows in a window; the sort needs no extra exchange."),
     ("oq0_orders_overview", "orders", O.oq0_orders_overview,
      "COUNT(DISTINCT) with other aggregates: partial aggregation on the distinct key first."),
+    ("order_summary (batch mode)", "orders", order_summary,
+     "All order questions' figures in one pass: Expand into five grouping sets, partial "
+     "aggregate, one exchange."),
 ]
 
 
