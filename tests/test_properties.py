@@ -109,3 +109,29 @@ def test_question_catalogue_frame(spark):
     df = question_catalogue(spark)
     assert df.columns == ["id", "question", "business_value"]
     assert df.count() == 35
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(min_value=-10_000_000_000_000, max_value=10_000_000_000_000),
+                          st.integers(min_value=0, max_value=6)),
+                min_size=1, max_size=15))
+def test_exact_sum_and_average_of_six_place_values(spark, draws):
+    from tavola.functions.exact import r2, sum2
+
+    values = [Decimal(units).scaleb(-places) for units, places in draws]
+    values = [v for v in values if abs(v) <= Decimal(10_000_000)] or [Decimal("1.5")]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    row = df.agg(sum2("x", "s"), r2("x", "a")).collect()[0]
+    total = sum(values)
+    assert row["s"] == float(total.quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+    assert row["a"] == float((total / len(values)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+
+
+def test_exact_sum_overflow_raises(spark):
+    import pytest
+
+    from tavola.functions.exact import sum2
+
+    df = spark.createDataFrame([(9.0e18,), (9.0e18,)], "x double")
+    with pytest.raises(Exception, match="(?i)overflow"):
+        df.agg(sum2("x", "s")).collect()
