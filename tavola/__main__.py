@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.cmd == "report":
         r, o = _tables(spark, args.tables)
         secs = write_report(spark, r, o, args.out, args.workers,
-                            summary_path=f"{args.out.rstrip('/')}/_order_summary")
+                            summary_path=f"{args.out.rstrip('/')}/_summaries")
         for qid, sec in secs.items():
             print(f"{qid:28s} {sec:7.2f}s")
     elif args.cmd == "explore":

@@ -45,14 +45,20 @@ def write_report(spark: SparkSession, listings: DataFrame, orders: DataFrame, ou
                  max_workers: int = 4, summary_path: str | None = None) -> dict[str, float]:
     """Every catalogued question written as ``out_dir/<id>``.
 
-    Order questions come from one grouping-sets summary of the orders
-    (materialised at ``summary_path``, else checkpointed); listing
+    Order questions come from one grouping-sets summary of the orders and
+    twenty listing questions from one summary of the listings (materialised
+    under ``summary_path``, else checkpointed); the row-level listing
     questions run on their own. All answers are submitted concurrently.
     """
     from tavola.plans.catalogue import CATALOGUE
+    from tavola.plans.listing_summary import listing_answers
     from tavola.plans.summary import order_answers
 
-    from_summary = order_answers(orders, summary_path).all()
+    root = summary_path.rstrip("/") if summary_path else None
+    from_summary = {
+        **order_answers(orders, f"{root}/orders" if root else None).all(),
+        **listing_answers(listings, f"{root}/listings" if root else None).all(),
+    }
     answers: dict[str, Callable[[], DataFrame]] = {}
     for qid, q in CATALOGUE.items():
         if qid in from_summary:

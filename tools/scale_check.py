@@ -23,6 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tavola.plans.catalogue import CATALOGUE  # noqa: E402
+from tavola.plans.listing_summary import ListingAnswers, listing_answers  # noqa: E402
 from tavola.plans.summary import order_answers  # noqa: E402
 from tavola.session import get_session  # noqa: E402
 from tavola.sources import binding, ingest  # noqa: E402
@@ -84,10 +85,19 @@ def main() -> None:
     summary_sec = time.perf_counter() - t0
     single_sec = sum(v for k, v in timings.items() if k.startswith("oq"))
     print(f"# order questions: one by one {single_sec:.2f}s, from one summary {summary_sec:.2f}s")
+    t0 = time.perf_counter()
+    for df in listing_answers(r).all().values():
+        df.write.format("noop").mode("overwrite").save()
+    listing_summary_sec = time.perf_counter() - t0
+    listing_single_sec = sum(timings[k] for k in ListingAnswers.NAMES)
+    print(f"# listing questions: one by one {listing_single_sec:.2f}s, "
+          f"from one summary {listing_summary_sec:.2f}s")
     print(json.dumps({"factor": args.factor, "hot": args.hot, "orders": n_orders,
                       "total_sec": round(sum(timings.values()), 3), "queries": timings,
                       "orders_single_sec": round(single_sec, 3),
-                      "orders_summary_sec": round(summary_sec, 3)}))
+                      "orders_summary_sec": round(summary_sec, 3),
+                      "listings_single_sec": round(listing_single_sec, 3),
+                      "listings_summary_sec": round(listing_summary_sec, 3)}))
     spark.stop()
 
 
