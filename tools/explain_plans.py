@@ -20,6 +20,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tavola.operators import explore, listings as L, orders as O  # noqa: E402
+from tavola.plans.listing_summary import listing_summary  # noqa: E402
 from tavola.plans.summary import order_summary  # noqa: E402
 from tavola.session import get_session  # noqa: E402
 from tavola.sources import binding, ingest  # noqa: E402
@@ -44,6 +45,9 @@ SELECTED = [
     ("order_summary (batch mode)", "orders", order_summary,
      "All order questions' figures in one pass: Expand into five grouping sets, partial "
      "aggregate, one exchange."),
+    ("listing_summary (batch mode)", "restaurants", listing_summary,
+     "Twenty listing questions' figures in one pass: categorical cube, location, cuisines "
+     "and the two type lists as grouping sets."),
 ]
 
 
