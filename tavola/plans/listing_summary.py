@@ -43,8 +43,10 @@ def _gid(keys: tuple[str, ...]) -> int:
 GID = {name: _gid(keys) for name, keys in SETS.items()}
 
 
-def listing_summary(r: DataFrame) -> DataFrame:
-    premium = ", ".join(sql_string(c) for c in L.PREMIUM_PRICE_CATEGORIES)
+def listing_summary(r: DataFrame,
+                    premium_categories: tuple[str, ...] = L.PREMIUM_PRICE_CATEGORIES) -> DataFrame:
+    """Per grouping set: counts, exact rating / cost parts, premium-tier parts (Q11)."""
+    premium = ", ".join(sql_string(c) for c in premium_categories)
     is_premium = f"price_category IN ({premium})"
     rated_cost = "CASE WHEN rate IS NOT NULL THEN approx_cost_for_two END"
     premium_rate = f"CASE WHEN {is_premium} THEN rate END"
@@ -244,6 +246,11 @@ class ListingAnswers:
         return {name: getattr(self, name)() for name in self.NAMES}
 
 
-def listing_answers(r: DataFrame, path: str | None = None) -> ListingAnswers:
-    """Summarise the listings once (materialised) and return the question set over it."""
-    return ListingAnswers(materialise(listing_summary(r), path))
+def listing_answers(r: DataFrame, path: str | None = None,
+                    premium_categories: tuple[str, ...] = L.PREMIUM_PRICE_CATEGORIES
+                    ) -> ListingAnswers:
+    """Summarise the listings once (materialised) and return the question set over it.
+
+    Q11's premium tiers are fixed when the summary is built.
+    """
+    return ListingAnswers(materialise(listing_summary(r, premium_categories), path))

@@ -49,3 +49,11 @@ def test_listing_summary_on_edge_rows(spark, tmp_path):
     answers = listing_answers(r, path=str(tmp_path / "summary")).all()
     for name in NAMES:
         _same(_single(r, name), answers[name], name)
+
+
+def test_listing_summary_custom_premium_tiers(spark):
+    rows = [{"location": "A", "rate": 4.5, "approx_cost_for_two": c} for c in (100, 200, 250, 280, 290)]
+    r = frames.listings(spark, rows)
+    got = listing_answers(r, premium_categories=("Cheap",)).q11_premium_locations()
+    _same(L.q11_premium_locations(r, categories=("Cheap",)), got, "q11 custom tiers")
+    assert got.count() == 1
