@@ -12,9 +12,10 @@
    ``NEIGHBOURS`` the classes also meet the end of the region's heaviest path
    down the prefix tree, at every depth: the text the region's are copies of.
 4. Candidates are rated by all MinHash values; those within five standard
-   errors of the threshold are checked on the full shingle sets. First the
-   best-rated partner of every class, then every pair that still joins two
-   components: a pair within one component cannot change the result.
+   errors of the threshold are checked on the full shingle sets: first the
+   best-rated partner of every class among its nearest neighbours and hubs,
+   then every candidate that still joins two components. A pair within one
+   component cannot change the result.
 5. Links become components; a component is named by its smallest ``doc_id``.
 
 Recall is that of the forest: with 20 trees and a least depth of 4 two texts
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import hashed_words, mixed, written
+from tavola.llm.common import hashed_words, in_slices, mixed, written
 from tavola.llm.components import components
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 4, 8
@@ -94,7 +95,7 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 def _signed(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             n = [len(s) for s in sets]
             prints = [_digest(s) for s in sets]
@@ -112,7 +113,7 @@ def _signed(words: int):
 
 def _sets(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             prints = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -127,9 +128,14 @@ def _runs(same: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, np.append(starts[1:], len(same))))
 
 
-def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, min_depth: int = MIN_DEPTH,
-               reach: int = NEIGHBOURS) -> np.ndarray:
-    """Candidate pairs (smaller id, larger id) of rows sorted by (tree, values)."""
+def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, groups: np.ndarray,
+               min_depth: int = MIN_DEPTH, reach: int = NEIGHBOURS, crowd: int = NEIGHBOURS) -> np.ndarray:
+    """Candidate pairs (smaller id, larger id) of rows sorted by (tree, values).
+
+    ``reach`` is how many rows further on a row looks; regions of more than
+    ``crowd`` rows have a hub. Rows of one group are linked already and make
+    no pair.
+    """
     n, depth = len(ids), values.shape[1]
     if n < 2:
         return np.zeros((0, 2), np.int64)
@@ -142,16 +148,18 @@ def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, min_depth:
         at = np.flatnonzero(common >= min_depth)
         if not len(at):
             break
+        at = at[groups[at] != groups[at + step]]
         found.append(np.stack([ids[at], ids[at + step]], axis=1))
     hubs = np.full(n, -1, np.int64)
     for d in range(min_depth, depth + 1):
         same = np.append(False, equal >= d)
         for lo, hi in _runs(same):
-            if hi - lo <= reach:
+            if hi - lo <= crowd:
                 continue
             hub = _heaviest(equal, lo, hi, d, depth)
             fresh = np.arange(lo, hi)[hubs[lo:hi] != hub]
             hubs[lo:hi] = hub
+            fresh = fresh[groups[fresh] != groups[hub]]
             found.append(np.stack([np.full(len(fresh), ids[hub]), ids[fresh]], axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
@@ -175,7 +183,7 @@ def _forest(min_depth: int, reach: int):
             return
         rows = pa.Table.from_batches(tables)
         key = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
-        pairs = neighbours(rows.column("tree").to_numpy(), key, rows.column("cid").to_numpy(), min_depth, reach)
+        pairs = neighbours(*(rows.column(c).to_numpy() if c != "key" else key for c in ("tree", "key", "cid", "group")), min_depth, reach)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
     return run
 
@@ -241,28 +249,48 @@ def classes_of(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame,
     return rows.drop("sig"), written(classes, "near-classes")
 
 
-def candidates(classes: DataFrame, min_depth: int = MIN_DEPTH, reach: int = NEIGHBOURS) -> DataFrame:
-    """Distinct candidate pairs (a, b) of class ids from all sorted orders."""
+def candidates(classes: DataFrame, roots: DataFrame | None = None, min_depth: int = MIN_DEPTH, reach: int = NEIGHBOURS) -> DataFrame:
+    """Distinct candidate pairs (a, b) of class ids from all sorted orders.
+
+    ``roots`` (node, root) are components known so far; pairs within one are left out.
+    """
+    group = F.col("cid")
+    if roots is not None:
+        classes = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+        group = F.coalesce("root", "cid")
     key = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key")
-    orders = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", key, "cid")
+    orders = classes.select("cid", group.alias("group"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", key, "cid", "group")
     spread = orders.repartitionByRange("tree", "key", "cid").sortWithinPartitions("tree", "key", "cid")
     return spread.mapInArrow(_forest(min_depth, reach), "a long, b long").distinct()
 
 
+def _best_partners(rated: DataFrame) -> DataFrame:
+    """The best-rated pair of every class."""
+    ends = [F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "rate") for x, y in ("ab", "ba")]
+    best = rated.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.x").agg(F.max(F.struct("e.rate", "e.y")).alias("m"))
+    return best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the components of classes, from confirmed links alone.
+
+    The first pass meets each class with the next in every order and with its
+    hubs, and confirms the best-rated pair of each. The second looks on to
+    all neighbours and confirms every pair that joins two components.
+    """
+    near = _rated_pairs(written(candidates(classes, reach=1), "near-pairs"), classes, similarity)
+    best = written(_best_partners(near), "near-best")
+    first = _verified(best, classes, docs, words, similarity)
+    roots = components(first)
+    wide = _rated_pairs(written(candidates(classes, roots).join(best, ["a", "b"], "left_anti"), "near-pairs"), classes, similarity)
+    return components(first.unionByName(_verified(wide, classes, docs, words, similarity)))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows, classes = classes_of(docs, words)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rated = _rated_pairs(written(candidates(classes), "near-pairs"), classes, similarity)
-    best = rated.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "rate"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "rate"))).alias("e"))
-    best = best.groupBy("e.x").agg(F.max(F.struct("e.rate", "e.y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-    first = _verified(written(best, "near-best"), classes, own, words, similarity)
-    roots = components(first)
-    joined = rated.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = joined.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    second = _verified(written(apart, "near-apart"), classes, own, words, similarity)
-    roots = components(first.unionByName(second))
+    roots = links(own, classes, words, similarity)
     # A row is linked with its class, and a class with the others of its component.
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("hi", "lo", "first_doc", F.coalesce("root", "cid").alias("root"))
     name = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
