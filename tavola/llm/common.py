@@ -72,6 +72,13 @@ def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def in_slices(batches, rows: int = 2048):
+    """Arrow batches in slices of a bounded number of rows, so that a worker's arrays stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets (n + 1) and the 64-bit hash of every word of every text.
 

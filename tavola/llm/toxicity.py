@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.common import in_slices
+
 SAMPLE_ROWS = 12_000
 FEATURES = 20_000
 MIN_ROWS = 5
@@ -83,7 +85,7 @@ def swapped(word: str) -> list[str]:
 
 def _feature_counts(batches):
     """(feature, toxic, clean): documents of the batch by label that have the feature."""
-    for batch in batches:
+    for batch in in_slices(batches):
         words, row, code = _distinct_words(batch.column("text"))
         toxic = batch.column("toxic").to_numpy().astype(np.int64)
         lists = [features(w) for w in words]
@@ -194,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, wi
 
 def _scored(weights: dict[int, float], intercept: float):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 4096):
             words, row, code = _distinct_words(batch.column("text"))
             own = np.array([sum(weights.get(f, 0.0) for f in features(w)) for w in words]) if words else np.zeros(0)
             logit = intercept + np.bincount(row, own[code], batch.num_rows)
@@ -218,7 +220,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     weights, intercept = train(docs, labels, sample_rows, width)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 4096):
             (scored,) = _scored(weights, intercept)([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])])
             yield batch.filter(pc.less(scored.column("score"), 0.5))
 
