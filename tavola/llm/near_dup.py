@@ -102,12 +102,13 @@ def _signed(words: int):
             full = [i for i, s in enumerate(sets) if len(s)]
             values = signatures([sets[i] for i in full])
             sigs: list[bytes | None] = [None] * len(sets)
+            low: list[bytes | None] = [None] * len(sets)
             for i, v in zip(full, values):
-                sigs[i] = v.astype(">u4").tobytes()
+                sigs[i], low[i] = v.astype(">u4").tobytes(), v.astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-                 pa.array([p[1] for p in prints], pa.int64()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "hi", "lo", "sig"])
+                 pa.array([p[1] for p in prints], pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())],
+                ["doc_id", "n_shingles", "hi", "lo", "sig", "bytes"])
     return run
 
 
@@ -130,7 +131,7 @@ def _runs(same: np.ndarray) -> list[tuple[int, int]]:
 
 def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, groups: np.ndarray,
                min_depth: int = MIN_DEPTH, reach: int = NEIGHBOURS, crowd: int = NEIGHBOURS) -> np.ndarray:
-    """Candidate pairs (smaller id, larger id) of rows sorted by (tree, values).
+    """Candidate pairs, as places, of rows sorted by (tree, values).
 
     ``reach`` is how many rows further on a row looks; regions of more than
     ``crowd`` rows have a hub. Rows of one group are linked already and make
@@ -149,7 +150,7 @@ def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, groups: np
         if not len(at):
             break
         at = at[groups[at] != groups[at + step]]
-        found.append(np.stack([ids[at], ids[at + step]], axis=1))
+        found.append(np.stack([at, at + step], axis=1))
     hubs = np.full(n, -1, np.int64)
     for d in range(min_depth, depth + 1):
         same = np.append(False, equal >= d)
@@ -160,10 +161,16 @@ def neighbours(tree: np.ndarray, values: np.ndarray, ids: np.ndarray, groups: np
             fresh = np.arange(lo, hi)[hubs[lo:hi] != hub]
             hubs[lo:hi] = hub
             fresh = fresh[groups[fresh] != groups[hub]]
-            found.append(np.stack([np.full(len(fresh), ids[hub]), ids[fresh]], axis=1))
+            found.append(np.stack([np.full(len(fresh), hub), fresh], axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
-    return np.unique(pairs, axis=0)
+    return pairs[ids[pairs[:, 0]] != ids[pairs[:, 1]]]
+
+
+def crowded(tree: np.ndarray, values: np.ndarray, min_depth: int = MIN_DEPTH) -> np.ndarray:
+    """Places of rows in regions of three rows or more: those for which the next row is not all there is."""
+    same = np.append(False, (values[1:, :min_depth] == values[:-1, :min_depth]).all(axis=1) & (tree[1:] == tree[:-1]))
+    sizes = np.array([hi - lo for lo, hi in _runs(same)])
+    return np.flatnonzero(np.repeat(sizes, sizes) > 2)
 
 
 def _heaviest(equal: np.ndarray, lo: int, hi: int, d: int, depth: int) -> int:
@@ -175,27 +182,62 @@ def _heaviest(equal: np.ndarray, lo: int, hi: int, d: int, depth: int) -> int:
     return lo
 
 
-def _forest(min_depth: int, reach: int):
+def _partition(batches) -> tuple[np.ndarray, np.ndarray, pa.Table] | None:
+    """One range partition of the sorted order: of even size however equal the values are."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return None
+    rows = pa.Table.from_batches(tables)
+    key = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
+    return rows.column("tree").to_numpy(), key, rows
+
+
+_FOREST = "a long, b long, tree int, key binary"
+
+
+def _nearest(batches):
+    """Pairs of each row with the next and with hubs; and, without b, the rows of crowded regions."""
+    if (own := _partition(batches)) is None:
+        return
+    tree, key, rows = own
+    ids = rows.column("cid").to_numpy()
+    pairs = np.unique(np.sort(ids[neighbours(tree, key, ids, ids, reach=1)], axis=1), axis=0)
+    more = crowded(tree, key)
+    # A region may go on in the next partition, so a partition's first and last regions count as crowded.
+    edge = (key[:, :MIN_DEPTH] == key[0, :MIN_DEPTH]).all(axis=1) & (tree == tree[0])
+    edge |= (key[:, :MIN_DEPTH] == key[-1, :MIN_DEPTH]).all(axis=1) & (tree == tree[-1])
+    more = np.union1d(more, np.flatnonzero(edge))
+    n = len(pairs)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([pairs[:, 0], ids[more]])), pa.array(np.append(pairs[:, 1], np.zeros(len(more), np.int64)), mask=np.arange(n + len(more)) >= n),
+         pa.array(np.append(np.full(n, -1, np.int32), tree[more].astype(np.int32))), pa.concat_arrays([pa.nulls(n, pa.binary()), rows.column("key").take(pa.array(more)).combine_chunks().cast(pa.binary())])],
+        ["a", "b", "tree", "key"])
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal MinHash values, of which one byte each is compared."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _wide(least: float):
     def run(batches):
-        # One range partition of the sorted order: of even size however equal the values are.
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
+        if (own := _partition(batches)) is None:
             return
-        rows = pa.Table.from_batches(tables)
-        key = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
-        pairs = neighbours(*(rows.column(c).to_numpy() if c != "key" else key for c in ("tree", "key", "cid", "group")), min_depth, reach)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        tree, key, rows = own
+        ids, groups = rows.column("cid").to_numpy(), rows.column("group").to_numpy()
+        low = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, _VALUES)
+        places = neighbours(tree, key, ids, groups)
+        keep = [_share(low[part[:, 0]], low[part[:, 1]]) >= least for part in np.array_split(places, 1 + len(places) // 65536)]
+        pairs = np.unique(np.sort(ids[places[np.concatenate(keep)]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
     return run
 
 
 def _rated(batches):
-    """Share of equal MinHash values, of which one byte each is compared."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _VALUES) for c in ("sig_a", "sig_b"))
-        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "rate"])
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _VALUES) for c in ("bytes_a", "bytes_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(_share(a, b))], ["a", "b", "rate"])
 
 
 def _confirmed(percent: int):
@@ -210,19 +252,16 @@ def _confirmed(percent: int):
     return run
 
 
-def _low_bytes(batches):
-    for batch in batches:
-        low = [np.frombuffer(s, np.uint8)[3::4].tobytes() for s in batch.column("sig").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(low, pa.binary())], ["cid", "bytes"])
+def _least(similarity: float) -> float:
+    """Five standard errors below the threshold."""
+    return similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / _VALUES))
 
 
 def _rated_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    short = written(classes.join(used, "cid", "left_semi").select("cid", "sig").mapInArrow(_low_bytes, "cid long, bytes binary"), "near-bytes")
-    rows = pairs.join(short.select(F.col("cid").alias("a"), F.col("bytes").alias("sig_a")), "a")
-    rows = rows.join(short.select(F.col("cid").alias("b"), F.col("bytes").alias("sig_b")), "b")
-    margin = 5 * float(np.sqrt(similarity * (1 - similarity) / _VALUES))
-    return written(rows.select("a", "b", "sig_a", "sig_b").mapInArrow(_rated, "a long, b long, rate double").where(F.col("rate") >= similarity - margin), "near-rated")
+    rows = pairs.join(classes.select(F.col("cid").alias("a"), F.col("bytes").alias("bytes_a")), "a")
+    rows = rows.join(classes.select(F.col("cid").alias("b"), F.col("bytes").alias("bytes_b")), "b")
+    rated = rows.select("a", "b", "bytes_a", "bytes_b").mapInArrow(_rated, "a long, b long, rate double")
+    return written(rated.where(F.col("rate") >= _least(similarity)), "near-rated")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -242,26 +281,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 def classes_of(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): every row's class by its set, and one row a class with its signature."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(own.mapInArrow(_signed(words), "doc_id long, n_shingles long, hi long, lo long, sig binary"), "near-rows")
+    rows = written(own.mapInArrow(_signed(words), "doc_id long, n_shingles long, hi long, lo long, sig binary, bytes binary"), "near-rows")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    one = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"))
+    one = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     classes = one.withColumn("cid", F.monotonically_increasing_id())
-    return rows.drop("sig"), written(classes, "near-classes")
+    return rows.drop("sig", "bytes"), written(classes, "near-classes")
 
 
-def candidates(classes: DataFrame, roots: DataFrame | None = None, min_depth: int = MIN_DEPTH, reach: int = NEIGHBOURS) -> DataFrame:
-    """Distinct candidate pairs (a, b) of class ids from all sorted orders.
+def _sorted_orders(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("tree", "key", "cid").sortWithinPartitions("tree", "key", "cid")
 
-    ``roots`` (node, root) are components known so far; pairs within one are left out.
-    """
-    group = F.col("cid")
-    if roots is not None:
-        classes = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        group = F.coalesce("root", "cid")
+
+def forest(classes: DataFrame) -> DataFrame:
+    """The first pass over all orders, as a written table: see ``_nearest``."""
     key = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key")
-    orders = classes.select("cid", group.alias("group"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", key, "cid", "group")
-    spread = orders.repartitionByRange("tree", "key", "cid").sortWithinPartitions("tree", "key", "cid")
-    return spread.mapInArrow(_forest(min_depth, reach), "a long, b long").distinct()
+    orders = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", key, "cid")
+    return written(_sorted_orders(orders).mapInArrow(_nearest, _FOREST), "near-forest")
+
+
+def wide_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All neighbours in the crowded regions that lie in different components and may reach the similarity."""
+    known = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "bytes", F.coalesce("root", "cid").alias("group"))
+    rows = found.where("b is null").select("tree", "key", F.col("a").alias("cid")).join(known, "cid")
+    return _sorted_orders(rows).mapInArrow(_wide(_least(similarity)), "a long, b long").distinct()
 
 
 def _best_partners(rated: DataFrame) -> DataFrame:
@@ -278,12 +320,21 @@ def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) ->
     hubs, and confirms the best-rated pair of each. The second looks on to
     all neighbours and confirms every pair that joins two components.
     """
-    near = _rated_pairs(written(candidates(classes, reach=1), "near-pairs"), classes, similarity)
+    found = forest(classes)
+    near = _rated_pairs(found.where("b is not null").select("a", "b").distinct(), classes, similarity)
     best = written(_best_partners(near), "near-best")
     first = _verified(best, classes, docs, words, similarity)
     roots = components(first)
-    wide = _rated_pairs(written(candidates(classes, roots).join(best, ["a", "b"], "left_anti"), "near-pairs"), classes, similarity)
-    return components(first.unionByName(_verified(wide, classes, docs, words, similarity)))
+    apart = wide_candidates(found, classes, roots, similarity).unionByName(_between(near, roots)).distinct()
+    rest = written(apart.join(best, ["a", "b"], "left_anti"), "near-apart")
+    return components(first.unionByName(_verified(rest, classes, docs, words, similarity)))
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs whose classes are in different components."""
+    joined = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return joined.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
