@@ -28,13 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that runs in one process (``local`` or ``local[..]``: tests)
     and has none gets a temporary one; anywhere else its absence is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corpus-steps-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-steps-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
