@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every query depends on for correct results.
@@ -28,6 +25,11 @@ _SCALE_DEFAULTS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
 }
 
+# On a cluster the per-restaurant shuffles and full sorts start with many small
+# partitions, which adaptive execution joins to the advisory size.
+_CLUSTER_DEFAULTS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
+_DONE = "tavola.configured"
+
 # Static settings for a session this module starts itself (local runs, tests).
 _LOCAL_STATIC = {
     "spark.ui.enabled": "false",
@@ -53,39 +55,23 @@ def get_session(master: str | None = None, app_name: str = "tavola",
         extra["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for key, value in extra.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    submitted = spark.sparkContext.getConf()
-    for key, value in _SCALE_DEFAULTS.items():
-        if key not in extra and not submitted.contains(key):
-            spark.conf.set(key, value)
-    configure(spark)
-    return spark
+    return configure(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on; give a checkpoint dir if none."""
+    """Pin the settings results depend on, and the scale defaults the submitted
+    configuration leaves unset. No folder is made: a job that cuts its lineage
+    uses the cluster's ``spark.checkpoint.dir`` or a path it is given."""
     for key, value in _REQUIRED.items():
         spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
+    if spark.conf.get(_DONE, None) is None:  # once a session: later settings of the user's stay
+        submitted = spark.sparkContext.getConf()
+        defaults = _SCALE_DEFAULTS if submitted.get("spark.master", "local").startswith("local") else _SCALE_DEFAULTS | _CLUSTER_DEFAULTS
+        for key, value in defaults.items():
+            if not submitted.contains(key):
+                spark.conf.set(key, value)
+        spark.conf.set(_DONE, "true")
+    checkpoint = spark.conf.get("spark.checkpoint.dir", None)
+    if checkpoint and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the cluster's shared ``spark.checkpoint.dir``.
-
-    Only a local-mode session (tests) without one gets a temporary local
-    directory; a cluster without one is left as it is (no query here
-    checkpoints), since a machine-local folder is not reachable from other
-    executors.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    local = tempfile.mkdtemp(prefix="tavola-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local

@@ -14,10 +14,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tavola.session import get_session
 
-    s = get_session("local[4]", app_name="tavola-tests", shuffle_partitions=8)
+    s = get_session("local[4]", app_name="tavola-tests", shuffle_partitions=8,
+                    extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
