@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from tests.compare import compare
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.conftest import ODD, frame
 from tests.llm.test_text_operators import brute_components, check_packing
@@ -137,3 +138,9 @@ def test_run_is_the_stages_in_order(shared):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line dedup", "near duplicates", "secrets", "packing"]
     assert corpus_pipeline.run(shared, SF_SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(shared, duck_oracle, name):
+    ok, message = compare(shared, name, queries.QUERIES[name], queries.ORACLE_SQL[name], SF_ORACLE, duck_oracle)
+    assert ok, message
