@@ -6,7 +6,6 @@ Layout
 ``functions``  exact rounding and percentage columns shared by every query
 ``operators``  cleaning jobs and the named listing / explorer / order questions
 ``plans``      the question catalogue, the query registry and the oracle SQL
-``streaming``  intentionally empty: the workload has no streaming operator
 
 Every query is a function ``(DataFrame, params) -> DataFrame`` that builds a
 lazy plan; nothing is collected to the driver.

@@ -36,7 +36,10 @@ def main(argv: list[str] | None = None) -> None:
     load.add_argument("--listings", required=True)
     load.add_argument("--orders", required=True)
     load.add_argument("--out", required=True)
-    load.add_argument("--json-lines", action="store_true")
+    load.add_argument("--json-lines", action="store_true", default=None, help="insist on JSON Lines (default: by content)")
+    load.add_argument("--raw", action="store_true", help="the listings file is raw: clean it")
+    load.add_argument("--single-line-csv", action="store_true", help="no quoted newlines: split the CSV over tasks")
+    load.add_argument("--max-rejected", type=int, default=0)
 
     sub.add_parser("list", help="list the questions")
 
@@ -67,7 +70,8 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = get_session(args.master)
     if args.cmd == "load":
-        ingest.run_load(spark, args.listings, args.orders, args.out, args.json_lines).show()
+        ingest.run_load(spark, args.listings, args.orders, args.out, args.json_lines,
+                        raw=args.raw, multi_line=not args.single_line_csv, max_rejected=args.max_rejected).show()
     elif args.cmd == "ask":
         r, o = _tables(spark, args.tables)
         q = CATALOGUE[args.question]

@@ -85,7 +85,7 @@ def sum2_sql(x: str) -> str:
 
 
 def round2_sql(x: str) -> str:
-    return f"CAST(round(CAST({x} AS {VALUE_DECIMAL}), 2) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS {SUM_DECIMAL}), 2) AS DOUBLE)"
 
 
 def pct2_sql(part: str, total: str) -> str:

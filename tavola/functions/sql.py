@@ -39,3 +39,13 @@ def desc(name: str) -> Column:
 def not_null(*cols: str) -> str:
     """SQL text: every column is not NULL."""
     return " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
+
+
+def whole_number_sql(text: str) -> str:
+    """Number text to INT: "1200" and "1200.0" give 1200; a fraction is rounded half up."""
+    return f"coalesce(try_cast({text} AS INT), try_cast(round(try_cast({text} AS DECIMAL(20,6)), 0) AS INT))"
+
+
+def finite_sql(x: str) -> str:
+    """A DOUBLE expression with NaN and infinities as NULL."""
+    return f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('Infinity') THEN {x} END"

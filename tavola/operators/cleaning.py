@@ -14,11 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavola.functions.sql import sql_string
+from tavola.functions.sql import finite_sql, sql_string, whole_number_sql
 
 # Category labels used by the stored tables and the queries.
-PRICE_LABELS = ("Cheap", "Low", "Moderate", "High", "Very High")
-RATING_LABELS = ("Low", "Average", "Good")
 
 # Our cut points (the source publishes none). Price: a cost at or below the
 # bound gets the label; above the last bound is "Very High". Rating: a rate
@@ -31,14 +29,14 @@ DEFAULT_RATING_TOP = "Good"
 
 
 def rating_from_text_sql(c: str) -> str:
-    """``"4.1/5"`` -> 4.1, ``"4.1 /5"`` -> 4.1, ``"NEW"`` / ``"-"`` -> NULL."""
-    return f"try_cast(trim(split(CAST({c} AS STRING), '/')[0]) AS DOUBLE)"
+    """``"4.1/5"`` -> 4.1, ``"4.1 /5"`` -> 4.1; ``"NEW"``, ``"-"``, ``"NaN/5"``, ``"inf/5"`` -> NULL."""
+    return finite_sql(f"try_cast(trim(split(CAST({c} AS STRING), '/')[0]) AS DOUBLE)")
 
 
 def cost_from_text_sql(c: str) -> str:
-    """``"1,200"`` -> 1200, ``"800.0"`` -> 800; text that is not a number -> NULL."""
-    s = f"trim(replace(CAST({c} AS STRING), ',', ''))"
-    return f"coalesce(try_cast({s} AS INT), try_cast(try_cast({s} AS DECIMAL(20,6)) AS INT))"
+    """``"1,200"`` -> 1200, ``"800.0"`` -> 800, ``"800.7"`` -> 801 (rounded half up);
+    text that is not a number -> NULL."""
+    return whole_number_sql(f"trim(replace(CAST({c} AS STRING), ',', ''))")
 
 
 def parse_rating(df: DataFrame, col: str = "rate") -> DataFrame:
@@ -61,8 +59,11 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] = ("rate", "approx_cost_for_two")) -> DataFrame:
-    """C4: drop rows where any of ``subset`` is NULL."""
-    return df.na.drop(how="any", subset=list(subset))
+    """C4: drop rows where any of ``subset`` is NULL (or NaN); the null tests reach the scan."""
+    types = dict(df.dtypes)
+    tests = [f"`{c}` IS NOT NULL" for c in subset]
+    tests += [f"NOT isnan(`{c}`)" for c in subset if types[c] in ("double", "float")]
+    return df.where(" AND ".join(tests))
 
 
 def price_category_sql(cost: str = "approx_cost_for_two",

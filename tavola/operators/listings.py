@@ -32,7 +32,9 @@ BEST_CUISINES_LIMIT = 20                 # Q8
 NICHE_CUISINES_COUNT = (2, 15)           # Q9, inclusive
 NICHE_CUISINES_MIN_AVG = 4.0             # Q9, on the raw average
 NICHE_CUISINES_LIMIT = 20                # Q9
-COST_BRACKET_LABELS = ("0 - 300", "301 - 700", "701 - 1500", "1500+")   # Q10
+# Q10: lowest and highest cost of a bracket, and its label; anything else has the last label.
+COST_BRACKETS = ((-2147483648, 300, "0 - 300"), (301, 700, "301 - 700"), (701, 1500, "701 - 1500"))
+COST_BRACKET_TOP = "1500+"
 PREMIUM_PRICE_CATEGORIES = ("High", "Very High")   # Q11
 PREMIUM_MIN_AVG = 4.0                    # Q11, on the rounded average
 PREMIUM_MIN_COUNT = 5                    # Q11
@@ -176,10 +178,8 @@ def q9_niche_cuisines(r: DataFrame, count_range: tuple[int, int] = NICHE_CUISINE
 
 def cost_bracket_sql(cost: str = "approx_cost_for_two") -> str:
     """Q10's bracket of a cost. Fractional costs between brackets fall to the top label."""
-    low, mid, high, top = (sql_string(label) for label in COST_BRACKET_LABELS)
-    return (f"CASE WHEN {cost} <= 300 THEN {low} "
-            f"WHEN {cost} BETWEEN 301 AND 700 THEN {mid} "
-            f"WHEN {cost} BETWEEN 701 AND 1500 THEN {high} ELSE {top} END")
+    tests = " ".join(f"WHEN {cost} >= {low} AND {cost} <= {high} THEN {sql_string(label)}" for low, high, label in COST_BRACKETS)
+    return f"CASE {tests} ELSE {sql_string(COST_BRACKET_TOP)} END"
 
 
 def q10_cost_vs_rating(r: DataFrame) -> DataFrame:
@@ -240,18 +240,18 @@ def q14_success_factors(r: DataFrame, min_count: int = SUCCESS_MIN_COUNT,
 def q15_top_per_price(r: DataFrame) -> DataFrame:
     """Q15: every listing whose rating equals its price category's maximum (ties kept).
 
-    The maximum per category is a tiny aggregate (one row per category).
-    It is joined back on (category, rate) with no hint: adaptive execution
-    measures the aggregate at run time and broadcasts it when it is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else keeps the
-    shuffle join. A ``rank()`` window instead would sort every listing
-    inside a handful of partitions, one per category.
+    The maximum per category is a tiny aggregate (one row per category). Its
+    smallest value, a scalar, bounds every answer from below, so listings under
+    it are dropped before the join on (category, rate) and its shuffle. A
+    ``rank()`` window instead would sort every listing inside a handful of
+    partitions, one per category.
     """
     base = r.where(not_null("rate", "price_category")).selectExpr(
         "price_category AS Price_Category", "name AS Restaurant", "location AS Location",
         "rate AS Rating", "votes AS Votes", "approx_cost_for_two AS Cost_for_Two")
     best = base.groupBy("Price_Category").agg(e("max(Rating)", "Rating"))
-    return (base.join(best, on=["Price_Category", "Rating"], how="inner")
+    near = base.where(F.col("Rating") >= best.agg(e("min(Rating)", "floor")).scalar())
+    return (near.join(best, on=["Price_Category", "Rating"], how="inner")
                 .selectExpr("Price_Category", "Restaurant", "Location", "Rating", "Votes",
                             "Cost_for_Two")
                 .orderBy(asc("Price_Category"), desc("Votes"), asc("Restaurant"), asc("Location")))

@@ -24,89 +24,89 @@ class Question:
     run: Callable[[DataFrame], DataFrame]
 
 
-# Question and business-value texts of the catalogue.
+# Question titles of the catalogue. What each is good for is in our words.
 _RESTAURANT_QUESTIONS = [
     ("q1_best_locations", L.q1_best_locations,
      "Which locations have the highest average restaurant ratings?",
-     "Identifies premium-performing areas suitable for brand positioning and new partner onboarding."),
+     "Where a strong brand or a new partner fits best."),
     ("q2_saturated_locations", L.q2_saturated_locations,
      "Which locations are over-saturated with restaurants?",
-     "Helps avoid overcrowded markets and guides smarter expansion decisions."),
+     "Which areas are crowded, so that growth can go elsewhere."),
     ("q3_online_order_effect", L.q3_online_order_effect,
      "Does online ordering improve restaurant ratings?",
-     "Evaluates the ROI of the online ordering feature for restaurant partners."),
+     "Whether guests rate places with online orders higher."),
     ("q4_table_booking_effect", L.q4_table_booking_effect,
      "Does table booking correlate with higher customer ratings?",
-     "Measures the effectiveness of table booking as a premium platform feature."),
+     "Whether reservations go with better ratings."),
     ("q5_price_satisfaction", L.q5_price_satisfaction,
      "What price category delivers the best customer satisfaction?",
-     "Helps define the optimal pricing band for maximum partner success."),
+     "The price tier that guests like most."),
     ("q6_price_by_segment", L.q6_price_by_segment,
      "How do different price categories perform on rating segments?",
-     "Supports pricing-based market segmentation and partner strategy."),
+     "How each tier spreads over rating bands."),
     ("q7_common_cuisines", L.q7_common_cuisines,
      "Which cuisines are most common?",
-     "Reveals market demand and cuisine saturation levels."),
+     "What is offered most often."),
     ("q8_best_cuisines", L.q8_best_cuisines,
      "Which cuisines receive the highest average ratings?",
-     "Identifies high-quality cuisine categories suitable for targeted promotion."),
+     "Kitchens worth promoting for their quality."),
     ("q9_niche_cuisines", L.q9_niche_cuisines,
      "Which cuisines perform well despite having fewer restaurants?",
-     "Highlights niche cuisine opportunities with strong differentiation potential."),
+     "Rare kitchens that guests love."),
     ("q10_cost_vs_rating", L.q10_cost_vs_rating,
      "What is the relationship between restaurant cost and rating?",
-     "Determines whether higher pricing translates to better customer perception."),
+     "Whether paying more goes with a better rating."),
     ("q11_premium_locations", L.q11_premium_locations,
      "Which locations are ideal for premium restaurant onboarding?",
-     "Combines cost, rating, and location data to guide premium restaurant expansion."),
+     "Areas ready for expensive restaurants."),
     ("q12_demand_low_rating", L.q12_demand_low_rating,
      "Which locations show high demand but lower average ratings?",
-     "Indicates areas where quality improvement and partner support are needed."),
+     "Busy areas whose quality lags."),
     ("q13_feature_bundle", L.q13_feature_bundle,
      "Do restaurants with both online ordering and table booking perform better?",
-     "Validates whether bundled feature adoption leads to better restaurant performance."),
+     "Whether using both features pays together."),
     ("q14_success_factors", L.q14_success_factors,
      "What combination of factors maximises restaurant success?",
-     "Supports strategic partner recommendations across pricing, location, and features."),
+     "Which mix of tier and features rates best."),
     ("q15_top_per_price", L.q15_top_per_price,
      "Which restaurants are top performers within each price category?",
-     "Helps identify benchmark partners and best practices within each pricing tier."),
+     "The models to learn from in every tier."),
 ]
 
 _ORDER_QUESTIONS = [
     ("oq1_payment_value", O.oq1_payment_value,
      "Total and average order value by payment method",
-     "Understand which payment channel drives the most revenue and average spend per order."),
+     "What each way of paying brings in."),
     ("oq2_top_revenue", O.oq2_top_revenue,
      "Which restaurants generate the highest total revenue?",
-     "Identify top revenue-generating restaurant partners for strategic investment."),
+     "The partners that earn most."),
     ("oq3_discount_share", O.oq3_discount_share,
      "How many orders used a discount vs full price?",
-     "Measure how widely discount promotions are being used across all orders."),
+     "How common discounts are."),
     ("oq4_discount_value", O.oq4_discount_value,
      "Average order value: discount used vs not used",
-     "Evaluate whether discounts attract lower-spend orders or maintain order value."),
+     "Whether discounted baskets are smaller."),
     ("oq5_payment_share", O.oq5_payment_share,
      "Which payment method is most popular?",
-     "Informs payment gateway investment and checkout flow optimisation decisions."),
+     "How guests like to pay."),
     ("oq6_most_orders", O.oq6_most_orders,
      "Which restaurants have the highest number of orders?",
-     "Reveals the most active restaurant partners by order volume on the platform."),
+     "The busiest partners."),
     ("oq7_monthly_revenue", O.oq7_monthly_revenue,
      "Monthly revenue trend (total revenue per month)",
-     "Track platform growth and seasonal demand patterns month-over-month."),
+     "Growth and seasons."),
     ("oq8_top_avg_value", O.oq8_top_avg_value,
      "Which restaurants have the highest average order value?",
-     "Find high-value restaurants that attract premium spend per order."),
+     "Partners with the largest baskets."),
     ("oq9_discount_split_top10", O.oq9_discount_split_top10,
      "Revenue split by discount usage for Top 10 restaurants",
-     "Understand the revenue contribution of discounted vs full-price orders per restaurant."),
+     "How much the busiest partners lean on discounts."),
     ("oq10_discount_impact", O.oq10_discount_impact,
      "Overall discount impact on total revenue",
-     "Quantify the overall revenue trade-off from running discount campaigns."),
+     "What share of the money comes with a discount."),
     ("oq0_orders_overview", O.oq0_orders_overview,
      "Orders dataset overview",
-     "Total orders, revenue, average order value, unique restaurants and discounted orders."),
+     "The orders at a glance."),
 ]
 
 _DASHBOARD = [

@@ -61,22 +61,6 @@ _RAW_ORDER_EXPRS = {
 }
 
 
-# Bound frames are lazy plans over read-only files, so one plan per
-# (session, directory, role) is built and reused; every action still scans
-# the files. This saves rebuilding the same projection for each question.
-_PLANS: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
-
-
-def _memo(spark: SparkSession, sf_dir: str, role: str, build) -> DataFrame:
-    key = (id(spark), sf_dir.rstrip("/"), role)
-    hit = _PLANS.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = build()
-    _PLANS[key] = (spark, df)
-    return df
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -92,8 +76,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     exprs = {**_LISTING_EXPRS,
              "rating_category": rating_category_sql(f"({base})"),
              "price_category": price_category_sql(f"({cost})")}
-    return _memo(spark, sf_dir, "listings",
-                 lambda: _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs))
+    return _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs)
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,27 +92,23 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     exprs["approx_cost_for_two"] = f"format_number({cost}, 0)"
     exprs["listed_in(type)"] = exprs.pop("listed_type")
     exprs["listed_in(city)"] = exprs.pop("listed_city")
-    return _memo(spark, sf_dir, "raw_listings",
-                 lambda: _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs))
+    return _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs)
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as the orders file would read: discount as Yes / No / other text."""
-    return _memo(spark, sf_dir, "raw_orders",
-                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), _RAW_ORDER_EXPRS))
+    return _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), _RAW_ORDER_EXPRS)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as ORDERS (discount text encoded as I4 does)."""
     exprs = dict(_RAW_ORDER_EXPRS)
     exprs["discount_used"] = discount_code_sql(f"({exprs['discount_used']})")
-    return _memo(spark, sf_dir, "orders",
-                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs))
+    return _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs)
 
 
 def orders_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw orders with the date rendered as ISO text, for the date-parsing step."""
     exprs = dict(_RAW_ORDER_EXPRS)
     exprs["order_date"] = "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")"
-    return _memo(spark, sf_dir, "orders_date_text",
-                 lambda: _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs))
+    return _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs)

@@ -6,8 +6,8 @@ numeric column into text.
 
 Splitting: a CSV read with ``multi_line=True`` (needed for quoted newlines)
 and a JSON file that is one array are each read by a single task per file.
-Large inputs should therefore arrive as many files, or as JSON Lines
-(``json_lines=True``), which Spark splits freely. Ingest converts them to
+Large inputs should therefore arrive as many files, as a CSV without quoted
+newlines (``multi_line=False``) or as JSON Lines, which Spark splits freely. Ingest converts them to
 Parquet once; every query reads Parquet.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tavola.functions.sql import sql_string
+from tavola.functions.sql import finite_sql, sql_string, whole_number_sql
 from tavola.sources import schemas
 
 # Text the listings reader treats as missing. This is the
@@ -83,21 +83,22 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(present) if present else df
 
 
-def _to_int_sql(c: str) -> str:
-    # "1200" and "1200.0" (a float column written by pandas) both give 1200.
-    s = f"trim(CAST({c} AS STRING))"
-    return f"coalesce(try_cast({s} AS INT), try_cast(try_cast({s} AS DECIMAL(20,6)) AS INT))"
-
-
 def to_listings_schema(df: DataFrame) -> DataFrame:
-    """Cast a renamed listings frame to the LISTINGS schema; absent columns are NULL."""
+    """Cast a renamed listings frame to the LISTINGS schema; absent columns are NULL.
+
+    Only columns of another type are converted. A rating that is NaN or infinite is NULL.
+    """
+    types = dict(df.dtypes)
     out = []
     for field in schemas.LISTINGS.fields:
-        c = f"`{field.name}`" if field.name in df.columns else "NULL"
-        if field.name in ("votes", "approx_cost_for_two"):
-            e = _to_int_sql(c)
-        elif field.name == "rate":
-            e = f"try_cast(trim(CAST({c} AS STRING)) AS DOUBLE)"
+        c = f"`{field.name}`" if field.name in types else "NULL"
+        same = types.get(field.name) == field.dataType.simpleString()
+        if field.name == "rate":
+            e = finite_sql(c if same else f"try_cast(trim(CAST({c} AS STRING)) AS DOUBLE)")
+        elif same:
+            e = c
+        elif field.name in ("votes", "approx_cost_for_two"):
+            e = whole_number_sql(f"trim(CAST({c} AS STRING))")
         else:
             e = f"CAST({c} AS {field.dataType.simpleString()})"
         out.append(f"{e} AS `{field.name}`")
@@ -105,20 +106,45 @@ def to_listings_schema(df: DataFrame) -> DataFrame:
 
 
 def load_listings_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """I1 + I2: a cleaned listings CSV as a LISTINGS-shaped frame."""
-    return to_listings_schema(normalise_columns(read_listings(spark, path, multi_line)))
-
+    """I1 + I2: a cleaned listings CSV as a LISTINGS-shaped frame.
 
-def read_orders(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """Scan the orders file.
-
-    Default: one JSON document holding an array of records (read whole per
-    file). ``json_lines=True`` reads one record per line and splits.
+    Fails for a file that is not cleaned: category columns absent, or rating
+    text that is no number, would otherwise load as NULL.
+    """
+    df = normalise_columns(read_listings(spark, path, multi_line))
+    absent = sorted({"rate", "approx_cost_for_two", "price_category", "rating_category"} - set(df.columns))
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)}; a raw listings file is loaded with raw=True")
+    if df.where("rate IS NOT NULL AND try_cast(trim(rate) AS DOUBLE) IS NULL").limit(1).count():
+        raise ValueError(f"{path}: ratings that are no numbers; a raw listings file is loaded with raw=True")
+    return to_listings_schema(df)
+
+
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the orders file holds a record per line (its text starts with ``{``) or one array."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    start = first[0][0].strip()[:1] if first else "["
+    if start not in "[{":
+        raise ValueError(f"{path}: neither a JSON array nor JSON Lines")
+    return start == "{"
+
+
+def read_orders(spark: SparkSession, path: str, json_lines: bool | None = None) -> DataFrame:
+    """Scan the orders file, every field as text.
+
+    One JSON array of records is read whole per file; JSON Lines split. By
+    default the file's first character tells which it is; a file of the other
+    form than asked for is an error, not a part of its records.
     """
+    found = is_json_lines(spark, path)
+    if json_lines is not None and json_lines != found:
+        raise ValueError(f"{path}: holds {'JSON Lines' if found else 'a JSON array'}")
+    json_lines = found
     return (spark.read
             .schema(schemas.ORDERS_FILE)
             .option("multiLine", not json_lines)
             .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", schemas.CORRUPT)
             .json(path))
 
 
@@ -133,20 +159,40 @@ def parse_order_date(c: str = "order_date") -> Column:
 
 
 def to_orders_schema(df: DataFrame) -> DataFrame:
-    """Orders file frame -> ORDERS schema (date parsed, discount encoded)."""
+    """Orders file frame -> ORDERS schema (date parsed, discount encoded).
+
+    A value that is NaN or infinite is NULL, as the original's store has it.
+    """
+    types = dict(df.dtypes)
+    value = "order_value" if types["order_value"] == "double" else "try_cast(trim(CAST(order_value AS STRING)) AS DOUBLE)"
+    number = "order_id" if types["order_id"] == "bigint" else "try_cast(trim(CAST(order_id AS STRING)) AS BIGINT)"
     return df.selectExpr(
-        "CAST(order_id AS BIGINT) AS order_id",
+        f"{number} AS order_id",
         "CAST(restaurant_name AS STRING) AS restaurant_name",
         f"{order_date_sql('order_date')} AS order_date",
-        "CAST(order_value AS DOUBLE) AS order_value",
+        f"{finite_sql(value)} AS order_value",
         f"{discount_code_sql('discount_used')} AS discount_used",
         "CAST(payment_method AS STRING) AS payment_method",
     )
 
 
-def load_orders_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """I3 + I4: the orders file as an ORDERS-shaped frame."""
-    return to_orders_schema(read_orders(spark, path, json_lines))
+#: A record that cannot be stored as it is: unreadable JSON, an id that is no
+#: whole number, or a value that is no number.
+REJECTED = (f"({schemas.CORRUPT} IS NOT NULL"
+            " OR (order_id IS NOT NULL AND try_cast(trim(order_id) AS BIGINT) IS NULL)"
+            " OR (order_value IS NOT NULL AND try_cast(trim(order_value) AS DOUBLE) IS NULL))")
+
+
+def load_orders_json(spark: SparkSession, path: str, json_lines: bool | None = None,
+                     reject: bool = False) -> DataFrame:
+    """I3 + I4: the orders file as an ORDERS-shaped frame.
+
+    The job fails at a record it cannot store; with ``reject`` such records are left out.
+    """
+    rows = read_orders(spark, path, json_lines)
+    fail = f"raise_error(concat('orders file: record cannot be stored: ', coalesce({schemas.CORRUPT}, order_id, order_value)))"
+    rows = rows.where(f"NOT {REJECTED}" if reject else f"CASE WHEN {REJECTED} THEN CAST({fail} AS BOOLEAN) ELSE true END")
+    return to_orders_schema(rows)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -157,9 +203,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def load_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per table: ``table_name``, ``row_count``."""
-    parts = [df.selectExpr(f"{sql_string(name)} AS table_name", "count(1) AS row_count")
+def load_report(tables: dict[str, DataFrame], rejected: dict[str, int] | None = None) -> DataFrame:
+    """One row per table: ``table_name``, ``row_count`` and, if given, ``rejected_count``."""
+    more = {name: [f"CAST({int(rejected.get(name, 0))} AS BIGINT) AS rejected_count"] if rejected is not None else []
+            for name in tables}
+    parts = [df.selectExpr(f"{sql_string(name)} AS table_name", "count(1) AS row_count", *more[name])
              for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -181,14 +229,28 @@ def load_orders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_load(spark: SparkSession, listings_csv: str, orders_json: str, out_dir: str,
-             json_lines: bool = False) -> DataFrame:
+             json_lines: bool | None = None, raw: bool = False, multi_line: bool = True,
+             max_rejected: int = 0) -> DataFrame:
     """The load job: both files -> Parquet tables ``restaurants`` and ``orders``.
 
-    Returns the load report, computed from the written tables.
+    ``raw`` cleans a raw listings file first (C1-C6). ``multi_line=False``
+    splits a CSV without quoted newlines over tasks; otherwise a file is read
+    by one task and its rows are spread before they are written. More than
+    ``max_rejected`` orders that cannot be stored fail the job. Returns the
+    load report, computed from the written tables.
     """
+    from tavola.operators.cleaning import clean_listings
+
     listings_path = f"{out_dir.rstrip('/')}/restaurants"
     orders_path = f"{out_dir.rstrip('/')}/orders"
-    write_table(load_listings_csv(spark, listings_csv), listings_path)
-    write_table(load_orders_json(spark, orders_json, json_lines), orders_path)
+    bad = read_orders(spark, orders_json, json_lines).where(REJECTED).count()
+    if bad > max_rejected:
+        raise ValueError(f"{orders_json}: {bad} records cannot be stored ({max_rejected} allowed)")
+    found = (clean_listings(read_listings(spark, listings_csv, multi_line)) if raw
+             else load_listings_csv(spark, listings_csv, multi_line))
+    if multi_line:
+        found = found.repartition(spark.sparkContext.defaultParallelism)
+    write_table(found, listings_path)
+    write_table(load_orders_json(spark, orders_json, json_lines, reject=True), orders_path)
     return load_report({"restaurants": load_listings(spark, listings_path),
-                        "orders": load_orders(spark, orders_path)})
+                        "orders": load_orders(spark, orders_path)}, {"orders": bad})

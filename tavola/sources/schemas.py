@@ -32,15 +32,11 @@ ORDERS = T.StructType([
     T.StructField("payment_method", T.StringType()),      # Card / Cash / UPI
 ])
 
-# The orders file as it arrives: one JSON array of records, text fields.
-ORDERS_FILE = T.StructType([
-    T.StructField("order_id", T.LongType()),
-    T.StructField("restaurant_name", T.StringType()),
-    T.StructField("order_date", T.StringType()),
-    T.StructField("order_value", T.DoubleType()),
-    T.StructField("discount_used", T.StringType()),
-    T.StructField("payment_method", T.StringType()),
-])
+# The orders file as it arrives: every field as text, so that no value is lost
+# before it is checked, and what of a record could not be read.
+CORRUPT = "_corrupt_record"
+ORDERS_FILE = T.StructType([T.StructField(f.name, T.StringType()) for f in ORDERS.fields]
+                           + [T.StructField(CORRUPT, T.StringType())])
 
 LISTINGS_COLUMNS = [f.name for f in LISTINGS.fields]
 ORDERS_COLUMNS = [f.name for f in ORDERS.fields]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tavola.operators import cleaning
+from tavola.operators import cleaning, listings, orders
+from tavola.plans.catalogue import CATALOGUE
 from tavola.sources import ingest, schemas
 
 HEADER = ("name,online_order,book_table,rate,votes,location,rest_type,dish_liked,cuisines,"
@@ -134,3 +136,89 @@ def test_load_report_counts(spark):
     b = spark.range(0)
     got = {r["table_name"]: r["row_count"] for r in ingest.load_report({"a": a, "b": b}).collect()}
     assert got == {"a": 3, "b": 0}
+
+
+def _orders(*changes):
+    base = {"order_id": 1, "restaurant_name": "A", "order_date": "2024-01-05", "order_value": 2.0,
+            "discount_used": "Yes", "payment_method": "UPI"}
+    return [base | {"order_id": i} | c for i, c in enumerate(changes)]
+
+
+def test_orders_load_loses_nothing(spark, tmp_path):
+    lines = "\n".join(json.dumps(r) for r in _orders({}, {}, {}, {}, {}))
+    path = _write(tmp_path, "o.jsonl", lines)
+    assert ingest.load_orders_json(spark, path).count() == 5          # told apart by content
+    with pytest.raises(ValueError, match="JSON Lines"):
+        ingest.load_orders_json(spark, path, json_lines=False)
+    text = _write(tmp_path, "t.json", json.dumps(_orders({"order_value": "350.50"}, {"order_value": float("nan")})))
+    got = {r["order_id"]: r["order_value"] for r in ingest.load_orders_json(spark, text).collect()}
+    assert got == {0: 350.5, 1: None}
+
+
+@pytest.mark.parametrize("content", [
+    json.dumps(_orders({}, {}))[:-20],
+    json.dumps(_orders({}, {"order_id": "ORD0001"})),
+    json.dumps(_orders({}, {"order_value": "many"})),
+])
+def test_orders_that_cannot_be_stored_fail_the_load(spark, tmp_path, content):
+    csv = _write(tmp_path, "l.csv", HEADER + "\n" + "\n".join(CSV_ROWS) + "\n")
+    js = _write(tmp_path, "o.json", content)
+    with pytest.raises(ValueError, match="cannot be stored"):
+        ingest.run_load(spark, csv, js, str(tmp_path / "tables"))
+    with pytest.raises(Exception, match="cannot be stored"):
+        ingest.load_orders_json(spark, js).collect()
+    report = {r["table_name"]: r["rejected_count"] for r in ingest.run_load(spark, csv, js, str(tmp_path / "tables"), max_rejected=1).collect()}
+    assert report == {"restaurants": 0, "orders": 1}
+
+
+def test_order_questions_answer_over_a_nan_value(spark, tmp_path):
+    path = _write(tmp_path, "o.json", json.dumps(_orders({}, {"order_value": float("nan")}, {"order_value": 1e12})))
+    df = ingest.load_orders_json(spark, path)
+    for name, question in CATALOGUE.items():
+        if question.table == "orders":
+            assert question.run(df).count() >= 0, name
+    assert orders.oq1_payment_value(df).first()["Max_Order_Value"] == 1e12
+
+
+def test_raw_load_answers_rating_questions(spark, tmp_path):
+    head = "name,online_order,book_table,rate,votes,location,rest_type,dish_liked,cuisines,approx_cost_for_two,listed_in(type),listed_in(city)"
+    row = '{n},Yes,No,{r},1,L{n},Cafe,,Thai,"{c}",Delivery,X'
+    rows = [row.format(n=1, r="4.1/5", c="1,200"), row.format(n=2, r="NEW", c="300"), row.format(n=3, r="3.9/5", c="1,100")]
+    raw = _write(tmp_path, "raw.csv", "\n".join([head, *rows, rows[0]]) + "\n")
+    js = _write(tmp_path, "o.json", json.dumps(_orders({})))
+    out = str(tmp_path / "tables")
+    with pytest.raises(ValueError, match="raw=True"):
+        ingest.run_load(spark, raw, js, out)
+    report = {r["table_name"]: r["row_count"] for r in ingest.run_load(spark, raw, js, out, raw=True, multi_line=False).collect()}
+    assert report == {"restaurants": 2, "orders": 1}
+    stored = ingest.load_listings(spark, f"{out}/restaurants")
+    assert [r["Location"] for r in listings.q1_best_locations(stored).collect()] == ["L1", "L3"]
+    assert listings.q5_price_satisfaction(stored).first()["Price_Category"] == "High"
+    assert [r["Restaurant"] for r in listings.q15_top_per_price(stored).collect()] == ["1"]
+
+
+def test_text_that_is_no_number(spark):
+    df = spark.createDataFrame([("NaN/5", "800.7"), ("inf/5", "1,200.4"), ("4/5", "x")], "rate string, approx_cost_for_two string")
+    got = [tuple(r) for r in cleaning.parse_cost(cleaning.parse_rating(df)).collect()]
+    assert got == [(None, 801), (None, 1200), (4.0, None)]
+
+
+def test_missing_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1.0, 2), (None, 3)], "rate double, approx_cost_for_two int").write.parquet(path)
+    df = cleaning.drop_missing(spark.read.parquet(path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(rate)" in plan.split("PushedFilters")[1] and df.count() == 1
+
+
+def test_a_grown_folder_is_read_in_full(spark, tmp_path):
+    from tavola.sources import binding
+    import shutil
+    import os
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "d", ignore=lambda d, names: [n for n in names if not n.startswith("part")])
+    one = binding.listings(spark, str(tmp_path / "d")).count()
+    os.rename(tmp_path / "d/part.parquet", tmp_path / "one.parquet")
+    os.mkdir(tmp_path / "d/part.parquet")
+    for n in ("a", "b"):
+        shutil.copy(tmp_path / "one.parquet", tmp_path / f"d/part.parquet/{n}.parquet")
+    assert binding.listings(spark, str(tmp_path / "d")).count() == 2 * one
