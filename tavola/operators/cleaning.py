@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tavola.functions.sql import finite_sql, sql_string, whole_number_sql
 
-# Category labels used by the stored tables and the queries.
-
 # Our cut points (the source publishes none). Price: a cost at or below the
 # bound gets the label; above the last bound is "Very High". Rating: a rate
 # below the bound gets the label; at or above the last bound is "Good".
