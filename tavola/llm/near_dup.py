@@ -14,7 +14,8 @@
 4. Candidates are rated by all MinHash values; those within five standard
    errors of the threshold are checked on the full shingle sets: first the
    best-rated partner of every class among its nearest neighbours and hubs,
-   then every candidate that still joins two components. A pair within one
+   then its best-rated one in another component among all neighbours, then
+   every candidate that still joins two components. A pair within one
    component cannot change the result.
 5. Links become components; a component is named by its smallest ``doc_id``.
 
@@ -219,7 +220,15 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _wide(least: float):
+def _best_of_each(ids: np.ndarray, places: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Which of the pairs are the best-rated one of either end."""
+    ends = ids[places].T.ravel()
+    order = np.lexsort((-np.tile(rates, 2), ends))
+    first = np.unique(ends[order], return_index=True)[1]
+    return np.unique(order[first] % max(1, len(places)))
+
+
+def _wide(least: float, best_only: bool):
     def run(batches):
         if (own := _partition(batches)) is None:
             return
@@ -227,9 +236,13 @@ def _wide(least: float):
         ids, groups = rows.column("cid").to_numpy(), rows.column("group").to_numpy()
         low = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, _VALUES)
         places = neighbours(tree, key, ids, groups)
-        keep = [_share(low[part[:, 0]], low[part[:, 1]]) >= least for part in np.array_split(places, 1 + len(places) // 65536)]
-        pairs = np.unique(np.sort(ids[places[np.concatenate(keep)]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        rates = np.concatenate([_share(low[part[:, 0]], low[part[:, 1]]) for part in np.array_split(places, 1 + len(places) // 65536)])
+        places, rates = places[rates >= least], rates[rates >= least]
+        if best_only:
+            best = _best_of_each(ids, places, rates)
+            places, rates = places[best], rates[best]
+        pairs, at = np.unique(np.sort(ids[places], axis=1), axis=0, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(rates[at])], ["a", "b", "rate"])
     return run
 
 
@@ -299,11 +312,14 @@ def forest(classes: DataFrame) -> DataFrame:
     return written(_sorted_orders(orders).mapInArrow(_nearest, _FOREST), "near-forest")
 
 
-def wide_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All neighbours in the crowded regions that lie in different components and may reach the similarity."""
+def wide_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, best_only: bool = False) -> DataFrame:
+    """All neighbours in the crowded regions that lie in different components and may reach the similarity.
+
+    With ``best_only``, of each class only the best-rated pair that a task meets.
+    """
     known = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "bytes", F.coalesce("root", "cid").alias("group"))
     rows = found.where("b is null").select("tree", "key", F.col("a").alias("cid")).join(known, "cid")
-    return _sorted_orders(rows).mapInArrow(_wide(_least(similarity)), "a long, b long").distinct()
+    return _sorted_orders(rows).mapInArrow(_wide(_least(similarity), best_only), "a long, b long, rate double")
 
 
 def _best_partners(rated: DataFrame) -> DataFrame:
@@ -318,16 +334,22 @@ def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) ->
 
     The first pass meets each class with the next in every order and with its
     hubs, and confirms the best-rated pair of each. The second looks on to
-    all neighbours and confirms every pair that joins two components.
+    all neighbours in other components and again confirms the best-rated pair
+    of each, which joins most of a crowd's parts. The third confirms every
+    pair of neighbours that is still between two components.
     """
     found = forest(classes)
     near = _rated_pairs(found.where("b is not null").select("a", "b").distinct(), classes, similarity)
     best = written(_best_partners(near), "near-best")
-    first = _verified(best, classes, docs, words, similarity)
-    roots = components(first)
-    apart = wide_candidates(found, classes, roots, similarity).unionByName(_between(near, roots)).distinct()
-    rest = written(apart.join(best, ["a", "b"], "left_anti"), "near-apart")
-    return components(first.unionByName(_verified(rest, classes, docs, words, similarity)))
+    linked = _verified(best, classes, docs, words, similarity)
+    roots = components(linked)
+    further = _best_partners(wide_candidates(found, classes, roots, similarity, best_only=True))
+    further = written(further.join(best, ["a", "b"], "left_anti"), "near-further")
+    linked = linked.unionByName(_verified(further, classes, docs, words, similarity))
+    roots = components(linked)
+    apart = wide_candidates(found, classes, roots, similarity).select("a", "b").unionByName(_between(near, roots)).distinct()
+    rest = written(apart.join(best.unionByName(further), ["a", "b"], "left_anti"), "near-apart")
+    return components(linked.unionByName(_verified(rest, classes, docs, words, similarity)))
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
