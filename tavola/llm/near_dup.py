@@ -41,6 +41,8 @@ from tavola.llm.components import components
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 4, 8
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 _VALUES = TREES * DEPTH
+#: Ids of documents whose sets are wanted that may be broadcast (16 MB as longs); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Values of a chunk of shingles that are hashed together; keeps the working set in cache.
 _CHUNK = 1 << 15
 
@@ -281,7 +283,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """Those pairs whose full shingle sets reach the similarity."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = written(classes.join(used, "cid", "left_semi").select("cid", "hi", "lo", "first_doc"), "near-wanted")
-    texts = docs.join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
+    # Whole texts are the largest rows here: they are shuffled only for more ids than can be broadcast.
+    texts = docs.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_sets(words), "hi long, lo long, shingles binary")
     sets = sets.join(wanted, ["hi", "lo"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "near-sets")

@@ -319,6 +319,17 @@ def test_a_crowd_of_near_copies_is_one_component(shared):
     assert near_dup.without_near_duplicates(frame(shared, rows), 4).count() == 1
 
 
+def test_more_ids_than_can_be_broadcast_give_the_same_components(shared, monkeypatch):
+    rng = random.Random(7)
+    base = [f"v{j}" for j in range(60)]
+    rows = [(i, " ".join(base[:j] + [f"y{i}"] + base[j + 1:]), "en", "s", 1) for i in range(30) for j in [rng.randrange(60)]]
+    rows += [(100 + i, f"lonely text number {i} of its own kind", "en", "s", 1) for i in range(5)]
+    want = brute_components([(r[0], r[1]) for r in rows], 4)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    got = near_dup.near_duplicates(frame(shared, rows), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_star_rounds_agree_with_one_share(shared):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
