@@ -14,14 +14,18 @@
 4. Candidates are rated by all MinHash values; those within five standard
    errors of the threshold are checked on the full shingle sets: first the
    best-rated partner of every class among its nearest neighbours and hubs,
-   then its best-rated one in another component among all neighbours, then
-   every candidate that still joins two components. A pair within one
-   component cannot change the result.
-5. Links become components; a component is named by its smallest ``doc_id``.
+   then its best-rated one in another component among all neighbours.
+5. What is still apart is settled without a window: in every region, wherever
+   its rows lie, each class meets all classes of other components. A region is
+   split into cells of at most two ``BLOCK``s of rows, so that its size bounds
+   no task; a cell with few candidates hands them on as pairs, and in one with
+   many all sets are compared at once. A pair within one component cannot
+   change the result.
+6. Links become components; a component is named by its smallest ``doc_id``.
 
 Recall is that of the forest: with 20 trees and a least depth of 4 two texts
 of similarity 0.8 share no region once in 40,000 pairs. No candidate list is
-capped. Defined results: a null or empty text has no shingles, links with
+capped: two classes that share a region are compared or already linked. Defined results: a null or empty text has no shingles, links with
 nothing and is its own component; a text of fewer words than a shingle has one
 shingle, all its words; rows of one ``doc_id`` share its component; a null
 ``doc_id`` is in no component.
@@ -36,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm.common import hashed_words, in_slices, mixed, written
-from tavola.llm.components import components
+from tavola.llm.components import components, stars
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 4, 8
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 _VALUES = TREES * DEPTH
 #: Ids of documents whose sets are wanted that may be broadcast (16 MB as longs); more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of one side of a cell, and candidates a row from which on a cell compares all its sets at once.
+BLOCK, DENSE = 512, 8
 #: Values of a chunk of shingles that are hashed together; keeps the working set in cache.
 _CHUNK = 1 << 15
 
@@ -230,7 +236,7 @@ def _best_of_each(ids: np.ndarray, places: np.ndarray, rates: np.ndarray) -> np.
     return np.unique(order[first] % max(1, len(places)))
 
 
-def _wide(least: float, best_only: bool):
+def _wide(least: float):
     def run(batches):
         if (own := _partition(batches)) is None:
             return
@@ -240,9 +246,8 @@ def _wide(least: float, best_only: bool):
         places = neighbours(tree, key, ids, groups)
         rates = np.concatenate([_share(low[part[:, 0]], low[part[:, 1]]) for part in np.array_split(places, 1 + len(places) // 65536)])
         places, rates = places[rates >= least], rates[rates >= least]
-        if best_only:
-            best = _best_of_each(ids, places, rates)
-            places, rates = places[best], rates[best]
+        best = _best_of_each(ids, places, rates)
+        places, rates = places[best], rates[best]
         pairs, at = np.unique(np.sort(ids[places], axis=1), axis=0, return_index=True)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(rates[at])], ["a", "b", "rate"])
     return run
@@ -279,16 +284,20 @@ def _rated_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> Dat
     return written(rated.where(F.col("rate") >= _least(similarity)), "near-rated")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs whose full shingle sets reach the similarity."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _sets_of(used: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, shingles) of the classes ``used`` (distinct cids), as a written table."""
     wanted = written(classes.join(used, "cid", "left_semi").select("cid", "hi", "lo", "first_doc"), "near-wanted")
     ids = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
     # Whole texts are the largest rows here: they are shuffled only for more ids than can be broadcast.
     texts = docs.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_sets(words), "hi long, lo long, shingles binary")
     sets = sets.join(wanted, ["hi", "lo"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "near-sets")
+    return written(sets, "near-sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs whose full shingle sets reach the similarity."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs, words)
     rows = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
     rows = rows.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
     percent = round(100 * similarity)
@@ -300,7 +309,7 @@ def classes_of(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(own.mapInArrow(_signed(words), "doc_id long, n_shingles long, hi long, lo long, sig binary, bytes binary"), "near-rows")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    one = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
+    one = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"), F.first("n_shingles").alias("n"))
     classes = one.withColumn("cid", F.monotonically_increasing_id())
     return rows.drop("sig", "bytes"), written(classes, "near-classes")
 
@@ -316,14 +325,147 @@ def forest(classes: DataFrame) -> DataFrame:
     return written(_sorted_orders(orders).mapInArrow(_nearest, _FOREST), "near-forest")
 
 
-def wide_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, best_only: bool = False) -> DataFrame:
-    """All neighbours in the crowded regions that lie in different components and may reach the similarity.
-
-    With ``best_only``, of each class only the best-rated pair that a task meets.
-    """
+def wide_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Of each class in a crowded region, the best-rated neighbour that a task meets in another component
+    and that may reach the similarity."""
     known = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "bytes", F.coalesce("root", "cid").alias("group"))
     rows = found.where("b is null").select("tree", "key", F.col("a").alias("cid")).join(known, "cid")
-    return _sorted_orders(rows).mapInArrow(_wide(_least(similarity), best_only), "a long, b long, rate double")
+    return _sorted_orders(rows).mapInArrow(_wide(_least(similarity)), "a long, b long, rate double")
+
+
+_CELL = ["tree", "prefix", "ci", "cj"]
+_MET = "a long, b long, tree int, prefix binary, ci int, cj int, side int, group long"
+
+
+def region_cells(found: DataFrame, classes: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of every region of two components or more, dealt over cells in which any two rows of
+    different components meet at least once.
+
+    The rows of a region's largest component are already linked, so they meet only the others.
+    """
+    rows = found.where("b is null").select("tree", F.expr(f"substring(key, 1, {4 * MIN_DEPTH})").alias("prefix"), F.col("a").alias("cid"))
+    rows = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("group", F.coalesce("root", "cid")).drop("root")
+    region = ["tree", "prefix"]
+    sizes = rows.groupBy(*region, "group").agg(F.count(F.lit(1)).alias("n_rows")).groupBy(*region).agg(
+        F.max(F.struct("n_rows", "group")).alias("top"), F.sum("n_rows").alias("n_all"), F.count(F.lit(1)).alias("n_groups"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.where("n_groups > 1").select(*region, F.col("top.group").alias("top"), blocks(F.col("top.n_rows")).alias("m"), blocks(F.col("n_all") - F.col("top.n_rows")).alias("k"))
+    dealt = rows.join(written(sizes, "near-regions"), region).withColumn("minor", F.col("group") != F.col("top"))
+    own = dealt.withColumn("at", F.pmod(F.xxhash64("cid"), F.when(F.col("minor"), F.col("k")).otherwise(F.col("m"))).cast("int"))
+    cells = F.expr("""explode(if(minor,
+        concat(transform(sequence(0, k - 1), j -> struct(least(at, j) as ci, greatest(at, j) as cj, if(at <= j, 0, 1) as side)),
+               transform(sequence(1, m), j -> struct(at as ci, -j as cj, 0 as side))),
+        transform(sequence(0, k - 1), i -> struct(i as ci, -1 - at as cj, 1 as side))))""")
+    own = own.select(*region, "cid", "group", cells.alias("c")).select(*region, "c.ci", "c.cj", "c.side", "cid", "group")
+    return own.join(classes.select("cid", "n", "bytes"), "cid")
+
+
+def _cells_of(batches):
+    """The rows of each cell in turn; the batches are sorted by cell."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not rows.num_rows:
+            continue
+        rows = rows.combine_chunks()
+        names = [rows.column(c).to_pylist() for c in _CELL]
+        keys = list(zip(*names))
+        starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        for lo, hi in zip(starts, starts[1:]):
+            yield keys[lo], rows.slice(lo, hi - lo)
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield tuple(held.column(c)[0].as_py() for c in _CELL), held
+
+
+def _meetings(side: np.ndarray, group: np.ndarray, diagonal: bool):
+    """For each row of the first side, the rows of other components that it meets."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at, i in enumerate(first):
+        others = first[at + 1 :] if diagonal else second
+        others = others[group[others] != group[i]]
+        if len(others):
+            yield i, others
+
+
+def _met(least: float, percent: int):
+    def run(batches):
+        out: list[list[np.ndarray]] = []
+        dense = []
+        for cell, rows in _cells_of(batches):
+            cid, group, n, side = (rows.column(c).to_numpy() for c in ("cid", "group", "n", "side"))
+            low = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, _VALUES)
+            a, b = [], []
+            for i, others in _meetings(side, group, cell[2] == cell[3]):
+                others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+                others = others[_share(low[others], low[i]) >= least]
+                a.append(np.full(len(others), i))
+                b.append(others)
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            if len(a) > DENSE * len(cid):
+                used = np.union1d(a, b)
+                dense.append((cell, cid[used], side[used], group[used]))
+            elif len(a):
+                out.append([cid[a], cid[b]])
+            if len(out) + len(dense) >= 256:
+                yield _met_batch(out, dense)
+                out, dense = [], []
+        yield _met_batch(out, dense)
+    return run
+
+
+def _met_batch(out: list[list[np.ndarray]], dense: list[tuple]) -> pa.RecordBatch:
+    """Candidate pairs, and after them, without b, the rows of cells that have too many."""
+    pairs = np.unique(np.sort(np.concatenate([np.stack(x, axis=1) for x in out]), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+    n, sizes = len(pairs), [len(d[1]) for d in dense]
+    one = lambda k, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array([d[0][k] for d, size in zip(dense, sizes) for _ in range(size)], kind)])
+    own = lambda k, kind: pa.concat_arrays([pa.nulls(n, kind)] + [pa.array(d[k], kind) for d in dense])
+    a = pa.concat_arrays([pa.array(pairs[:, 0], pa.int64())] + [pa.array(d[1], pa.int64()) for d in dense])
+    b = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(sum(sizes), pa.int64())])
+    return pa.RecordBatch.from_arrays(
+        [a, b, one(0, pa.int32()), one(1, pa.binary()), one(2, pa.int32()), one(3, pa.int32()), own(2, pa.int32()), own(3, pa.int64())],
+        ["a", "b", *_CELL, "side", "group"])
+
+
+def region_candidates(found: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a region that lie in different components and may reach the similarity, as a written
+    table; cells with more than ``DENSE`` of them a row give their rows instead, without b."""
+    cells = region_cells(found, classes, roots)
+    rows = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return written(rows.mapInArrow(_met(_least(similarity), round(100 * similarity)), _MET), "near-met")
+
+
+def _dense(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        cid, group, side = (rows.column(c).to_numpy() for c in ("cid", "group", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(n) - n
+        marked = np.zeros(codes.max() + 1, np.int64)
+        a, b = [], []
+        diagonal = rows.column("ci")[0].as_py() == rows.column("cj")[0].as_py()
+        for i, others in _meetings(side, group, diagonal):
+            own = codes[starts[i] : starts[i] + n[i]]
+            marked[own] = 1
+            both = np.add.reduceat(marked[codes], starts)[others]
+            marked[own] = 0
+            others = others[100 * both >= percent * (n[others] + n[i] - both)]
+            a.append(cid[np.full(len(others), i)])
+            b.append(cid[others])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        node, root = stars(a, b) if len(a) else (a, b)
+        return pa.table({"a": pa.array(node, pa.int64()), "b": pa.array(root, pa.int64())})
+    return run
+
+
+def _dense_links(rows: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links of the cells whose rows are given, from their full sets."""
+    if rows.isEmpty():
+        return rows.select("a", "b")
+    rows = rows.select(*_CELL, "side", "group", F.col("a").alias("cid"))
+    sets = _sets_of(rows.select("cid").distinct(), classes, docs, words)
+    return written(rows.join(sets, "cid").groupBy(*_CELL).applyInArrow(_dense(round(100 * similarity)), "a long, b long"), "near-dense")
 
 
 def _best_partners(rated: DataFrame) -> DataFrame:
@@ -340,20 +482,22 @@ def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) ->
     hubs, and confirms the best-rated pair of each. The second looks on to
     all neighbours in other components and again confirms the best-rated pair
     of each, which joins most of a crowd's parts. The third confirms every
-    pair of neighbours that is still between two components.
+    pair that shares a region and is still between two components.
     """
     found = forest(classes)
     near = _rated_pairs(found.where("b is not null").select("a", "b").distinct(), classes, similarity)
     best = written(_best_partners(near), "near-best")
     linked = _verified(best, classes, docs, words, similarity)
     roots = components(linked)
-    further = _best_partners(wide_candidates(found, classes, roots, similarity, best_only=True))
+    further = _best_partners(wide_candidates(found, classes, roots, similarity))
     further = written(further.join(best, ["a", "b"], "left_anti"), "near-further")
     linked = linked.unionByName(_verified(further, classes, docs, words, similarity))
     roots = components(linked)
-    apart = wide_candidates(found, classes, roots, similarity).select("a", "b").unionByName(_between(near, roots)).distinct()
+    met = region_candidates(found, classes, roots, similarity)
+    apart = met.where("b is not null").select("a", "b").unionByName(_between(near, roots)).distinct()
     rest = written(apart.join(best.unionByName(further), ["a", "b"], "left_anti"), "near-apart")
-    return components(linked.unionByName(_verified(rest, classes, docs, words, similarity)))
+    linked = linked.unionByName(_verified(rest, classes, docs, words, similarity))
+    return components(linked.unionByName(_dense_links(met.where("b is null"), classes, docs, words, similarity)))
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -319,6 +319,20 @@ def test_a_crowd_of_near_copies_is_one_component(shared):
     assert near_dup.without_near_duplicates(frame(shared, rows), 4).count() == 1
 
 
+@pytest.mark.parametrize("dense", [8, 0])
+def test_links_inside_a_crowd_of_unlinked_texts_are_found(shared, monkeypatch, dense):
+    """Any two share 0.76 of their shingles; one in ten has a partner at 0.8 or more somewhere in the crowd."""
+    monkeypatch.setattr(near_dup, "DENSE", dense)
+    monkeypatch.setattr(near_dup, "BLOCK", 256)
+    base = [f"c{j}" for j in range(200)]
+    rows = [(i, " ".join(base + [f"o{i}x{j}" for j in range(28)]), "en", "s", 1) for i in range(900)]
+    rows += [(1000 + i, " ".join(base + [f"o{i}x{j}" for j in range(12)] + [f"p{i}x{j}" for j in range(16)]), "en", "s", 1) for i in range(0, 900, 10)]
+    want = brute_components([(r[0], r[1]) for r in rows], 4)
+    assert len({root for _, root in want.values()}) == 900
+    got = near_dup.near_duplicates(frame(shared, rows), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_more_ids_than_can_be_broadcast_give_the_same_components(shared, monkeypatch):
     rng = random.Random(7)
     base = [f"v{j}" for j in range(60)]
