@@ -1,19 +1,21 @@
 """Main text of web pages by removing the templates of their site.
 
 Every page is parsed once into its text blocks. Each block carries the hashes
-of the element subtrees it lies in that a site could repeat (containers, and
-single paragraphs where a page marks no article). The hashes are counted per
-host over distinct pages; a subtree that recurs on many pages of its host is
-template, and blocks inside one are deleted by a join. What a page marks
-itself as furniture (navigation, footers, forms, scripts, adverts, comments and
-the like) is left out at once, and where it marks an article (or else a main
-part), only that is read.
-
-Paragraphs of a marked article are never taken for template, however often a
-host repeats them, and no subtree goes that holds half of a page's text.
+of all element subtrees it lies in, inside and outside an article. The hashes
+are counted per host over pages of distinct main text; a subtree that recurs on
+``PAGES`` of them (a single paragraph, item or heading: on ``LINE_PAGES``) is
+template, and blocks inside one are deleted by a join. After that, what a page
+marks itself as furniture (navigation, footers, forms, scripts, adverts,
+comments and the like) is left out, and where it marks an article (or else a
+main part), only that is read.
+
+Guards of the content: no subtree goes that holds half of a page's main text,
+and an article whose recurring subtrees hold half of its text together is a
+copy and stays whole.
 
 Defined results: a null or empty page has the text ''. A null or odd URL has
-the host ''. Repeated rows are extracted each and count as one page.
+the host ''. Repeated rows, and pages of the same main text, are extracted each
+and count as one page.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ from pyspark.sql import types as T
 
 from tavola.llm.common import written
 
-#: A container is template from so many pages, and such a share of its host's pages, on; a single paragraph from more.
-PAGES, SHARE = 3, 0.25
-LINE_PAGES, LINE_SHARE = 5, 0.5
+#: A container is template from so many pages of its host on; a single paragraph from more.
+PAGES, LINE_PAGES = 3, 5
 
 # Element names of the HTML standard by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +41,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 FURNITURE = frozenset("head nav aside footer form button dialog menu canvas audio video map fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = frozenset("div section ul ol dl table header figure details center td".split())
+CONTAINERS = FURNITURE | frozenset("article main div section ul ol dl table header figure center details td".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class, id and role that mark furniture; those with a star also as the start of a longer word.
@@ -64,10 +65,10 @@ def host_of(url: str | None) -> str:
 def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_article):
         return True
-    if not rest:
-        return False
-    if _HIDDEN.search(_QUOTED.sub("", rest)):
-        return True
+    return bool(rest) and _HIDDEN.search(_QUOTED.sub("", rest)) is not None
+
+
+def _has_mark(rest: str) -> bool:
     for groups in _MARKED.findall(rest):
         for word in re.split(r"[^a-z0-9]+", "".join(groups).lower()):
             if word in MARKS or word.startswith(MARK_STARTS):
@@ -75,11 +76,20 @@ def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
+class _Marked:
+    """An element with a word of ``MARKS``: furniture if it turns out to hold no article or main part and not most of the text."""
+
+    __slots__ = ("above", "chars", "region")
+
+    def __init__(self, above: _Marked | None) -> None:
+        self.above, self.chars, self.region = above, 0, False
+
+
 class _Element:
-    __slots__ = ("name", "start", "furniture", "region", "first", "inside")
+    __slots__ = ("name", "start", "furniture", "marked", "first", "inside")
 
-    def __init__(self, name: str, start: int, furniture: bool, region: bool, first: int, inside: int) -> None:
-        self.name, self.start, self.furniture, self.region, self.first, self.inside = name, start, furniture, region, first, inside
+    def __init__(self, name: str, start: int, furniture: bool, marked: _Marked | None, first: int, inside: int) -> None:
+        self.name, self.start, self.furniture, self.marked, self.first, self.inside = name, start, furniture, marked, first, inside
 
 
 class _Page:
@@ -87,35 +97,57 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.source = source
-        self.blocks: list[list] = []  # text, the marked part it is in, marks
-        self.open: list[_Element] = [_Element("", 0, False, False, 0, 0)]
-        self.buffer: list[str] = []
-        self.main = 0  # 2 when the page marks an article, 1 when only a main part
+        self.found: list[tuple] = []  # pieces with the marked element of each, the marked part, furniture, subtree hashes
+        self.open: list[_Element] = [_Element("", 0, False, None, 0, 0)]
+        self.buffer: list[tuple[str, _Marked | None]] = []
+        self.chars = 0
         self.scan()
+        self.blocks = [block for own in self.found for block in self.settled(*own)]  # text, the marked part it is in, furniture, subtree hashes
+        self.main = max((b[1] for b in self.blocks if not b[2]), default=0)  # 2 when the page marks an article, 1 when only a main part
+
+    def out(self, marked: _Marked | None) -> bool:
+        return marked is not None
+
+    def settled(self, pieces: list, inside: int, furniture: bool, marks: list[int]):
+        kept = [text for text, marked in pieces if marked is None or not self.out(marked)]
+        text = " ".join(html.unescape("".join(kept or [p[0] for p in pieces])).split())
+        if text:
+            yield text, inside, furniture or not kept, marks
 
     def flush(self) -> None:
         if self.buffer:
-            text = " ".join(html.unescape("".join(self.buffer)).split())
-            self.buffer.clear()
-            if text:
-                self.blocks.append([text, self.open[-1].inside, []])
+            if any(not text.isspace() for text, _ in self.buffer):
+                top = self.open[-1]
+                self.found.append((self.buffer, top.inside, top.furniture, []))
+            self.buffer = []
+
+    def read(self, text: str) -> None:
+        top = self.open[-1]
+        self.buffer.append((text, top.marked))
+        if not top.furniture:
+            chars, marked = len(text.strip()), top.marked
+            self.chars += chars
+            while marked is not None:
+                marked.chars += chars
+                marked = marked.above
 
     def push(self, name: str, rest: str, start: int) -> None:
         top = self.open[-1]
         region = 2 if name == "article" else 1 if name == "main" or "role=\"main\"" in rest else 0
         furniture = top.furniture or (name not in ("html", "body", "main") and _is_furniture(name, rest, top.inside == 2))
-        inside = 0 if furniture else max(top.inside, region)
-        self.main = max(self.main, inside)
-        self.open.append(_Element(name, start, furniture, region > 0, len(self.blocks), inside))
+        inside, marked = 0 if furniture else max(top.inside, region), top.marked
+        if rest and not furniture and name not in ("html", "body") and _has_mark(rest):
+            marked = _Marked(marked)
+        self.open.append(_Element(name, start, furniture, marked, len(self.found), inside))
 
     def pop(self, end: int) -> None:
         own = self.open.pop()
-        if own.furniture or own.first == len(self.blocks) or own.region or own.name in ("html", "body"):
+        if own.first == len(self.found) or own.name in ("html", "body"):
             return
         line = own.name not in CONTAINERS
         mark = xxhash.xxh3_64_intdigest(self.source[own.start : end]) >> 2 << 1 | line
-        for block in self.blocks[own.first :]:
-            block[2].append(mark)
+        for block in self.found[own.first :]:
+            block[3].append(mark)
 
     def close_to(self, depth: int, end: int) -> None:
         if any(e.name not in INLINE for e in self.open[depth:]):
@@ -152,8 +184,8 @@ class _Page:
             name = token["name"] or token["name2"]
             if name is None:
                 text = token[0]
-                if (text[0] != "<" or text == "<") and not self.open[-1].furniture:
-                    self.buffer.append(text)
+                if text[0] != "<" or text == "<":
+                    self.read(text)
                 continue
             name, rest = name.lower(), token["rest"] or token["rest2"] or ""
             if token["end"] or token["end2"]:
@@ -171,7 +203,7 @@ class _Page:
             if name not in INLINE:
                 self.flush()
             elif name == "br":
-                self.buffer.append("\n")
+                self.read("\n")
             if name not in VOID and not rest.endswith("/"):
                 self.push(name, rest, start)
         self.flush()
@@ -179,48 +211,58 @@ class _Page:
             self.pop(len(source))
 
 
-def page_blocks(source: str | None) -> list[tuple[str, list[int]]]:
-    """(text, marks) of the blocks that are not furniture; marks name the
-    repeatable subtrees, odd ones single paragraphs, and hold less than half of
-    the page's text."""
+def page_subtrees(source: str | None) -> tuple[list[tuple[str, int, bool, list[int]]], str]:
+    """Blocks (text, the marked part it is in, furniture, marks) and the main text.
+
+    Marks name the subtrees that hold less than half of the main text, odd ones
+    single paragraphs."""
     page = _Page(source or "")
-    blocks = [b for b in page.blocks if b[1] == page.main]
-    total = sum(len(b[0]) for b in blocks)
+    main = [b for b in page.blocks if not b[2] and b[1] == page.main]
+    total = sum(len(b[0]) for b in main)
     held: dict[int, int] = {}
-    for text, _, marks in blocks:
+    for text, _, _, marks in main:
         for mark in marks:
             held[mark] = held.get(mark, 0) + len(text)
-    small = {m for m, n in held.items() if 2 * n < total and not (m & 1 and page.main)}
-    return [(text, [m for m in marks if m in small]) for text, _, marks in blocks]
+    large = {m for m, n in held.items() if 2 * n >= total}
+    return [(t, i, f, [m for m in marks if m not in large]) for t, i, f, marks in page.blocks], "\n\n".join(b[0] for b in main)
+
+
+def page_blocks(source: str | None) -> list[tuple[str, list[int]]]:
+    """(text, marks) of the blocks that the page's own marks leave."""
+    blocks = [b for b in page_subtrees(source)[0] if not b[2]]
+    main = max((b[1] for b in blocks), default=0)
+    return [(b[0], b[3]) for b in blocks if b[1] == main]
 
 
-_BLOCKS = "array<struct<text:string,marks:array<bigint>>>"
+_BLOCKS = "array<struct<text:string,inside:int,furniture:boolean,marks:array<bigint>>>"
 
 
 def _parsed(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.int32()), ("furniture", pa.bool_()), ("marks", pa.list_(pa.int64()))]))
     for batch in batches:
-        blocks = [[{"text": t, "marks": m} for t, m in page_blocks(s)] for s in batch.column("html").to_pylist()]
+        blocks, prints = [], []
+        for source in batch.column("html").to_pylist():
+            found, main = page_subtrees(source)
+            blocks.append([{"text": t, "inside": i, "furniture": f, "marks": m} for t, i, f, m in found])
+            prints.append(xxhash.xxh3_64_intdigest(main.encode("utf-8", "surrogatepass")) >> 1)
         hosts = [host_of(u) for u in batch.column("url").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(blocks, kind)], ["page_id", "url", "host", "blocks"])
+            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(blocks, kind)],
+            ["page_id", "url", "host", "print", "blocks"])
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """uid, page_id, url, host and blocks of every row, as a written table."""
+    """uid, page_id, url, host, print of the main text and blocks of every row, as a written table."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = rows.mapInArrow(_parsed, f"page_id long, url string, host string, blocks {_BLOCKS}")
+    found = rows.mapInArrow(_parsed, f"page_id long, url string, host string, print long, blocks {_BLOCKS}")
     return written(found.withColumn("uid", F.monotonically_increasing_id()), "html-blocks")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """(host, mark) of the subtrees that recur on many pages of their host."""
-    marks = parsed.select("host", F.coalesce("page_id", F.lit(-1)).alias("page_id"), F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
-    pages = parsed.groupBy("host").agg(F.count_distinct(F.coalesce("page_id", F.lit(-1))).alias("pages"))
+    """(host, mark) of the subtrees that recur on several pages of their host."""
+    marks = parsed.select("host", "print", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
     counted = marks.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    line = F.col("mark") % 2 != 0
-    return counted.where(F.col("n") >= F.when(line, LINE_PAGES).otherwise(PAGES)).join(pages, "host").where(
-        F.col("n") >= F.col("pages") * F.when(line, LINE_SHARE).otherwise(SHARE)).select("host", "mark")
+    return counted.where(F.col("n") >= F.when(F.col("mark") % 2 != 0, LINE_PAGES).otherwise(PAGES)).select("host", "mark")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -228,7 +270,12 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = parse(pages)
     own = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
     gone = own.join(templates(parsed), ["host", "mark"]).groupBy("uid").agg(F.collect_set("mark").alias("gone"))  # at most the marks of one page
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["marks"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    out = parsed.join(gone, "uid", "left").select("page_id", "url", text.alias("text"))
+    rows = parsed.join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
+    rows = rows.withColumn("left", F.expr("filter(blocks, b -> not arrays_overlap(b.marks, gone))"))
+    article = "aggregate(filter({0}, b -> b.inside = 2 and not b.furniture), 0L, (n, b) -> n + length(b.text))"
+    rows = rows.withColumn("copied", F.expr(f"2 * {article.format('left')} <= {article.format('blocks')}"))
+    rows = rows.withColumn("left", F.expr("filter(if(copied, filter(blocks, b -> b.inside = 2 or not arrays_overlap(b.marks, gone)), left), b -> not b.furniture)"))
+    rows = rows.withColumn("main", F.expr("array_max(transform(left, b -> b.inside))"))
+    text = F.expr("array_join(transform(filter(left, b -> b.inside = main), b -> b.text), '\n\n')")
+    out = rows.select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -54,6 +54,18 @@ def test_marked_furniture_and_broken_markup():
     assert text("<p>" * 3000 + "deep") == ["deep"]
 
 
+def test_what_a_host_repeats_inside_its_articles_goes(shared):
+    page = "<body><nav>menu</nav><article><h1>T{i}</h1><p>text {i} of some length, all of it its own</p><p>read our other news</p></article><div>foot</div></body>"
+    pages = [(i, "http://h.example/x", page.format(i=i)) for i in range(6)] + [(50 + i, f"http://h{i}.example/x", page.format(i=i)) for i in range(6)]
+    pages += [(200 + i, "http://big.example/x", page.format(i=i) if i < 6 else f"<article><p>only {i}</p></article>") for i in range(60)]
+    pages += [(300 + i, "http://copy.example/x", page.format(i=7)) for i in range(6)]
+    pages += [(400 + i, "http://near.example/x", f"<article><h1>{i}</h1><p>one of two paragraphs</p><p>two of two paragraphs</p></article>") for i in range(6)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(shared.createDataFrame(pages, PAGE)).collect()}
+    own = lambda i: f"T{i}\n\ntext {i} of some length, all of it its own"
+    assert text[3] == text[203] == own(3) and text[53] == own(3) + "\n\nread our other news" and text[210] == "only 10"
+    assert text[302] == own(7) + "\n\nread our other news" and text[404] == "4\n\none of two paragraphs\n\ntwo of two paragraphs"
+
+
 VECTOR = "vec_id long, embedding array<float>"
 
 
