@@ -11,7 +11,8 @@ main part), only that is read.
 
 Guards of the content: no subtree goes that holds half of a page's main text,
 and an article whose recurring subtrees hold half of its text together is a
-copy and stays whole.
+copy and stays whole. Words of class, id and role take out no article or main
+part, nothing that contains one and nothing that holds most of a page's text.
 
 Defined results: a null or empty page has the text ''. A null or odd URL has
 the host ''. Repeated rows, and pages of the same main text, are extracted each
@@ -106,7 +107,11 @@ class _Page:
         self.main = max((b[1] for b in self.blocks if not b[2]), default=0)  # 2 when the page marks an article, 1 when only a main part
 
     def out(self, marked: _Marked | None) -> bool:
-        return marked is not None
+        while marked is not None:
+            if not marked.region and 2 * marked.chars <= self.chars:
+                return True
+            marked = marked.above
+        return False
 
     def settled(self, pieces: list, inside: int, furniture: bool, marks: list[int]):
         kept = [text for text, marked in pieces if marked is None or not self.out(marked)]
@@ -136,7 +141,11 @@ class _Page:
         region = 2 if name == "article" else 1 if name == "main" or "role=\"main\"" in rest else 0
         furniture = top.furniture or (name not in ("html", "body", "main") and _is_furniture(name, rest, top.inside == 2))
         inside, marked = 0 if furniture else max(top.inside, region), top.marked
-        if rest and not furniture and name not in ("html", "body") and _has_mark(rest):
+        if region and not furniture:
+            while marked is not None:
+                marked.region, marked = True, marked.above
+            marked = top.marked
+        elif rest and not furniture and name not in ("html", "body") and _has_mark(rest):
             marked = _Marked(marked)
         self.open.append(_Element(name, start, furniture, marked, len(self.found), inside))
 

@@ -66,6 +66,16 @@ def test_what_a_host_repeats_inside_its_articles_goes(shared):
     assert text[302] == own(7) + "\n\nread our other news" and text[404] == "4\n\none of two paragraphs\n\ntwo of two paragraphs"
 
 
+def test_class_words_do_not_take_out_the_main_text():
+    text = lambda s: [t for t, _ in html_text.page_blocks(s)]
+    own = "<p>a text of some length</p>"
+    for page in (f"<div class='layout has-sidebar'><article>{own}</article></div>", f"<article class='post comments-open'>{own}</article>",
+                 f"<article class=commentary>{own}</article>", f"<div id='search-results'><h1></h1>{own}</div><p>end</p>", f"<div class=menu><main role=\"main\" class=overlay>{own}</main></div>"):
+        assert text(page)[0] == "a text of some length", page
+    inner = f"<div class='has-sidebar'><article>{own}<p>and <span class=ad>buy</span>more<div class='sidebar'>side</div></article><div class=sidebar>s</div></div>"
+    assert text(inner) == ["a text of some length", "and more"]
+
+
 VECTOR = "vec_id long, embedding array<float>"
 
 
