@@ -34,8 +34,9 @@ from tavola.llm.common import ASCII_SPACE, with_fields, without, written
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 18
-#: Copies of a shard's filter, so that the postings of one very common line are probed by several tasks.
-SALTS = 8
+#: Postings probed beside one copy of a shard's filter, and the least number of its copies: the postings of a
+#: shard, or of one very common line, are probed by as many tasks as their number asks for.
+POSTINGS_PER_COPY, SALTS = 1 << 20, 8
 _KEY = ["hi", "lo"]
 
 
@@ -226,10 +227,14 @@ class LineIndex:
     def drops(self, refs: DataFrame | None = None) -> DataFrame:
         """(doc_id, keys): the line keys each document loses, 16 bytes each, joined."""
         refs = self.refs if refs is None else refs
-        salt = F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")
-        rows = _in_shards(refs, self.shards).select("shard", salt, "doc_id", *_KEY)
-        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "cells")
-        hits = rows.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probed, "doc_id long, hi long, lo long")
+        salts = salts_for(refs.count(), self.shards)
+        salt = F.pmod(F.xxhash64("doc_id", *_KEY), F.lit(salts)).cast("int").alias("salt")
+        rows = _in_shards(refs, self.shards).select("shard", salt, F.lit(1).alias("kind"), "doc_id", *_KEY, F.lit(None).cast("binary").alias("cells"))
+        none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", *_KEY)]
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *none, "cells")
+        # Each copy of a filter comes first, then its postings batch by batch: no task holds them whole.
+        dealt = rows.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        hits = dealt.mapInArrow(_probed, "doc_id long, hi long, lo long")
         shared = self.counts.where("n_docs >= 2").select(*_KEY, "first_doc")
         lost = hits.join(shared, _KEY).where(F.col("doc_id") > F.col("first_doc"))
         pair = F.struct(*_KEY)
@@ -239,6 +244,11 @@ class LineIndex:
 _FILTER = "shard int, cells binary"
 
 
+def salts_for(postings: int, shards: int) -> int:
+    """Copies of each shard's filter for so many postings."""
+    return max(SALTS, -(-postings // (shards * POSTINGS_PER_COPY)))
+
+
 def _has_repeats(docs: DataFrame) -> bool:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     return ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
@@ -276,12 +286,22 @@ def _changed(moves: pa.Table, old: pa.Table) -> pa.Table:
     return _filter_row(moves.column("shard")[0].as_py(), have)
 
 
-def _probed(rows: pa.Table, filters: pa.Table) -> pa.Table:
-    out = rows.select(["doc_id", "hi", "lo"])
-    if rows.num_rows == 0 or filters.num_rows == 0:
-        return out.slice(0, 0)  # a shard without a filter has no shared key
-    raw = filters.column("cells")[0].as_py()
-    return out.filter(pa.array(CuckooFilter.from_bytes(raw).contains(_column(rows, "hi"), _column(rows, "lo")))) if raw else out
+def _probed(batches):
+    """The postings that pass their shard's filter; rows are sorted by (shard, salt, kind)."""
+    own, held = None, None
+    for batch in batches:
+        place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shard", "salt", "kind")])
+        if not batch.num_rows:
+            continue
+        starts = np.append(0, np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1)
+        for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows)):
+            part, at = batch.slice(lo, hi - lo), tuple(place[:2, lo])
+            if place[2, lo] == 0:
+                raw = part.column("cells")[0].as_py()
+                own, held = at, CuckooFilter.from_bytes(raw) if raw else None
+            elif at == own:  # a shard without a filter has no shared key
+                out = part.select(["doc_id", "hi", "lo"])
+                yield out if held is None else out.filter(pa.array(held.contains(*(out.column(c).to_numpy() for c in _KEY))))
 
 
 def _rewritten(min_chars: int, drop: str):

@@ -116,6 +116,28 @@ def test_cuckoo_filter_has_no_false_negatives_and_forgets():
     assert made.contains(hi[2500:], lo[2500:]).all() and made.contains(hi[:2500], lo[:2500]).mean() < 0.01
 
 
+def test_postings_are_probed_batch_by_batch_with_copies_by_their_number(shared):
+    assert line_dedup.salts_for(1000, 1) == line_dedup.SALTS and line_dedup.salts_for(10**9, 1) * line_dedup.POSTINGS_PER_COPY >= 10**9
+    rng = np.random.default_rng(2)
+    hi, lo = rng.integers(-(2**63), 2**63, (2, 100))
+    kinds = {"shard": pa.int32(), "salt": pa.int32(), "kind": pa.int32(), "doc_id": pa.int64(), "hi": pa.int64(), "lo": pa.int64(), "cells": pa.binary()}
+    batch = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+    filter_row = batch([0], [3], [0], [None], [None], [None], [line_dedup.CuckooFilter.holding(hi[:50], lo[:50]).to_bytes()])
+    read = []
+
+    def batches():
+        for n, rows in enumerate([filter_row] + [batch([0], [3], [1], [i], [hi[i]], [lo[i]], [None]) for i in range(50)] + [batch([1], [3], [1], [7], [hi[0]], [lo[0]], [None])]):
+            read.append(n)
+            yield rows
+
+    probe = line_dedup._probed(batches())
+    assert next(probe).column("doc_id").to_pylist() == [0] and len(read) == 2
+    assert [i for b in probe for i in b.column("doc_id").to_pylist()] == list(range(1, 50))
+    docs = frame(shared, [(i, "a line that all documents hold", "en", "s", 1) for i in range(20)])
+    plan = line_dedup.LineIndex.build(docs).drops()._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and line_dedup.dedup_lines(docs).where("n_dropped = 1").count() == 19
+
+
 def test_hostile_columns_and_empty_tables(shared):
     data = frame(shared, [(1, "a long enough line", 5, 6), (2, "a long enough line", 7, 8)], "doc_id long, text string, n_lines int, hi int")
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["hi"]) for r in line_dedup.dedup_lines(data).collect()) == [(1, 1, 0, 6), (2, 1, 1, 8)]
