@@ -252,7 +252,7 @@ def _parsed(batches):
         blocks, prints = [], []
         for source in batch.column("html").to_pylist():
             found, main = page_subtrees(source)
-            blocks.append([{"text": t, "inside": i, "furniture": f, "marks": m} for t, i, f, m in found])
+            blocks.append([{"text": None if f else t, "inside": i, "furniture": f, "marks": m} for t, i, f, m in found])
             prints.append(xxhash.xxh3_64_intdigest(main.encode("utf-8", "surrogatepass")) >> 1)
         hosts = [host_of(u) for u in batch.column("url").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -277,8 +277,11 @@ def templates(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     parsed = parse(pages)
-    own = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
+    # Furniture goes anyway, so only the other blocks meet the templates.
+    shown = F.expr("array_distinct(flatten(filter(blocks, b -> not b.furniture).marks))")
+    own = parsed.select("uid", "host", F.explode(shown).alias("mark"))
     gone = own.join(templates(parsed), ["host", "mark"]).groupBy("uid").agg(F.collect_set("mark").alias("gone"))  # at most the marks of one page
+    gone = written(gone, "html-gone")  # of known size: texts are shuffled only where it is large
     rows = parsed.join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
     rows = rows.withColumn("left", F.expr("filter(blocks, b -> not arrays_overlap(b.marks, gone))"))
     article = "aggregate(filter({0}, b -> b.inside = 2 and not b.furniture), 0L, (n, b) -> n + length(b.text))"
