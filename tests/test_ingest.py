@@ -214,11 +214,11 @@ def test_missing_filter_reaches_the_scan(spark, tmp_path):
 def test_a_grown_folder_is_read_in_full(spark, tmp_path):
     from tavola.sources import binding
     import shutil
-    import os
-    shutil.copytree("/root/testdata/sf0.001", tmp_path / "d", ignore=lambda d, names: [n for n in names if not n.startswith("part")])
-    one = binding.listings(spark, str(tmp_path / "d")).count()
-    os.rename(tmp_path / "d/part.parquet", tmp_path / "one.parquet")
-    os.mkdir(tmp_path / "d/part.parquet")
+    part = "/root/testdata/sf0.001/part.parquet"
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two/part.parquet").mkdir(parents=True)
+    shutil.copyfile(part, tmp_path / "one/part.parquet")
+    one = binding.listings(spark, str(tmp_path / "one")).count()
     for n in ("a", "b"):
-        shutil.copy(tmp_path / "one.parquet", tmp_path / f"d/part.parquet/{n}.parquet")
-    assert binding.listings(spark, str(tmp_path / "d")).count() == 2 * one
+        shutil.copyfile(part, tmp_path / f"two/part.parquet/{n}.parquet")
+    assert binding.listings(spark, str(tmp_path / "two")).count() == 2 * one
