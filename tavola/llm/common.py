@@ -106,3 +106,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def word_bytes(letters: bytes) -> np.ndarray:
+    """For ``words_of``: a table that keeps ``letters`` and all bytes from 0x80 on, lowers A-Z and blanks the rest."""
+    kept = np.full(256, 0x20, np.uint8)
+    own = np.frombuffer(letters, np.uint8)
+    kept[own] = own
+    kept[0x80:] = np.arange(0x80, 0x100)
+    kept[0x41:0x5B] = np.arange(0x61, 0x7B)
+    return kept
+
+
+def words_of(texts: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row of each word, distinct words, and the code of each word, in order.
+
+    A word is a run of bytes that ``kept`` (see ``word_bytes``) does not blank; a null text has none.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    held = texts.buffers()[2]
+    data = kept[np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]]] if held is not None else np.zeros(0, np.uint8)
+    clean = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)])
+    lists = pc.ascii_split_whitespace(clean)
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    coded = flat.filter(full).dictionary_encode()
+    return row[full.to_numpy(zero_copy_only=False)], coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tavola.llm import byte_bpe, html_text, line_dedup, lm_scoring, near_dup, packing, secrets, toxicity, vector_hashing, vector_search
+from tavola.llm import byte_bpe, divergence, html_text, importance, line_dedup, lm_scoring, near_dup, packing, secrets, simhash, toxicity, vector_hashing, vector_search
 from tavola.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words of a shingle in the query of operator 9.
+#: Words of a shingle in the queries of operators 9 and 13.
 QUERY_SHINGLE_WORDS = 4
 
 
@@ -70,6 +70,21 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_cube_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that set each apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_crc_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_covering_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and its component, on four-word shingles."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -78,7 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_secret_scan, op2_multi_index_hashing, op3_line_dedup, op4_toxicity, op5_backoff_automaton, op6_branch_and_bound,
-              op7_bpe_tree, op8_template_removal, op9_lsh_forest, op10_differencing, pipeline)
+              op7_bpe_tree, op8_template_removal, op9_lsh_forest, op10_differencing, op11_cube_divergence, op12_crc_matrices,
+              op13_covering_hashing, pipeline)
 }
 
 _OP1 = rf"""
@@ -128,6 +144,50 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _OP1, "op3_line_dedup": _OP3, "op6_branch_and_bound": _OP6}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
+w AS (SELECT uid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT uid) >= 10),
+l AS (SELECT g.lang, count(k.term)::HUGEINT AS v, coalesce(sum(k.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN k USING (lang) GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+      1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+      LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3, 4
+      UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+_WORDS12 = r"regexp_extract_all(translate(coalesce(text, ''), " + _LOWER + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS12} AS ws FROM documents),
+b AS (SELECT unnest({_WORDS12}) AS word FROM benchmark),
+w AS (SELECT uid, unnest(ws) AS word FROM d),
+x AS (SELECT word, list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+      lambda c, y: list_reduce(list_prepend(xor(c, y), range(8)), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc
+      FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM b))),
+f AS (SELECT word, xor(crc, 4294967295) % 10000 AS bucket FROM x),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN f USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN f USING (word) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM w)::DOUBLE AS s_all, (SELECT count(*) FROM b)::DOUBLE AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+      FROM s LEFT JOIN t USING (bucket), n),
+a AS (SELECT uid, sum(gain)::BIGINT AS weight FROM w JOIN f USING (word) JOIN g USING (bucket) GROUP BY 1),
+e AS (SELECT uid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM d LEFT JOIN a USING (uid)),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score, n_features >= 20 AS eligible FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (eligible) OVER () AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_cube_divergence": _OP11, "op12_crc_matrices": _OP12, "op1_secret_scan": _OP1, "op3_line_dedup": _OP3, "op6_branch_and_bound": _OP6}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

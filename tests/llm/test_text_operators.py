@@ -376,4 +376,4 @@ def test_star_rounds_agree_with_one_share(shared):
 
 
 def test_queries_cover_every_operator_and_table_row():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
