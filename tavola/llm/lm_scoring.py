@@ -1,250 +1,252 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Training counts every word of the training texts (a distributed count, of any
-size). The n-grams that make up at least ``share`` of the training tokens
-become the automaton: a state for each such n-gram that has successors, an arc
-for each successor, and a failure arc from each state to that of its longest
-proper suffix, which carries the backoff weight. At most 1 / share n-grams of
-an order can reach that share, so the automaton has a size bound that does not
-depend on the corpus; an n-gram can reach it only if its prefix and suffix do,
-so each order is counted over those alone, in one pass, and exactly. Words
-below the share have no states: they are scored from the full counts at the
-root, which are joined to the texts block by block.
-
-Smoothing is absolute discounting: each n-gram gives up ``DISCOUNT`` of its
-count, and a state's backoff weight hands the rest to words without an arc in
-proportion to the lower order. At the root the rest goes to the unknown word.
-
-A text is read once from left to right: the state is carried, a word without
-an arc follows failure arcs, and the log10 weights passed are added up.
+"""Language-model scores from a weighted backoff automaton, held as tables.
+
+A state is an n-gram of the training texts below the highest order, the root
+the empty one. It has an arc for every word seen after it and a failure arc to
+its longest proper suffix. With c the training count, h a state, h' the state
+of its failure arc and P(w) the add-one unigram share at the root:
+
+    arc w of h:   (c(hw) + PRIOR * P(w | h')) / (c(h) + PRIOR)
+    failure arc:  PRIOR / (c(h) + PRIOR)
+
+so a word without an arc weighs the failure arcs passed times the first arc
+met, and the weights of a state add up to 1. Every n-gram counts, however
+rare, so an arc does not come or go with the size of the corpus.
+
+A text is read from left to right. The state before a word is the longest
+counted n-gram that ends there; since all parts of a counted n-gram are
+counted, the counts of the n-grams at each place give it, the arc taken and
+the failure arcs passed. No task needs the automaton, only those counts:
+
+1. Texts are cut into slices by their running number of tokens, whatever their
+   ids; a slice is one written row of packed tokens.
+2. A slice asks for its distinct n-grams, with how often its training texts
+   hold them: sorted keys, packed, a row for each shard of the key space.
+3. A shard adds up the counts of each key over all slices and answers each
+   slice in the order it asked. An n-gram is asked for once a slice, so a
+   frequent one weighs no more than a rare one.
+4. A slice meets its answers and weighs all its texts in one pass.
 
 Tokens are words (runs of other than ASCII white space, A-Z lowered) and one
-end. A null text is empty: the end alone. A null ``doc_id`` counts as the
-empty string in the split. Repeated rows are counted and scored each.
+end. Words have 64-bit hashes; keys of longer n-grams have ``GUARD_BITS`` more
+bits than it takes to number all tokens (64 at most), so that a key stands for
+two n-grams once in 2 ** GUARD_BITS. A null text is empty: the end alone. A
+null ``doc_id`` counts as the empty string in the split. Repeated rows are
+counted and scored each. Other columns are not looked at; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import hashed_words, in_slices, written
+from tavola.llm.common import hashed_words, in_slices, mixed, written
 
 ORDER = 3
-SHARE = 5e-6
-DISCOUNT = 0.75
-#: Documents whose words' counts are looked up together.
-BLOCK_DOCS = 4096
+PRIOR = 64.0
+GUARD_BITS = 20
+#: Tokens of a slice (a longer text is a slice of its own), and n-grams that a shard is asked for.
+SLICE_TOKENS, SHARD_KEYS = 2_000_000, 1_000_000
 FOLDS, HELD_OUT_FOLD = 7, 2
 
 _END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
-_BITS = np.int64(20)  # a word's place in the vocabulary: at most 1 / SHARE of them
+_PLACES = np.random.default_rng(55).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SLICES = "slice long, tokens long, train long, ids array<long>, held array<boolean>, sizes array<int>, types binary, codes binary"
+_ASKED = "slice long, level int, shard int, keys binary, counts binary"
+_ANSWERED = "slice long, level int, shard int, counts binary, types long"
 
 
 def fold(column: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK_DOCS), F.lit(-1)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"),
-                       (fold() == HELD_OUT_FOLD).alias("held_out"), F.col("text").cast("string").alias("text"))
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte place by byte place, compressed: leading zeros take next to nothing."""
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(places.T).view("<u8").ravel()
+
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """``packed`` differences of keys, which are small where the keys ascend."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row of each word, distinct words, and the code of each word."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    offsets = lists.offsets.to_numpy()
-    flat = lists.flatten()
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    full = pc.greater(pc.binary_length(flat), 0)
-    coded = flat.filter(full).dictionary_encode()
-    return row[full.to_numpy(zero_copy_only=False)], coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
-def _block_words(batches):
-    """(block, word, c): the words of a block in this batch, and how often training texts hold them."""
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        for block in np.unique(blocks):
-            own = batch.filter(pa.array(blocks == block))  # at most a block, or a batch
-            row, words, codes = _words(own.column("text"))
-            train = ~own.column("held_out").to_numpy(zero_copy_only=False)
-            counts = np.bincount(codes[train[row]], minlength=len(words))
-            words = pa.concat_arrays([words.cast(pa.string()), pa.array([""])])
-            counts = np.append(counts, train.sum()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), words, pa.array(counts)], ["block", "word", "c"])
+
+def _slices(size: int):
+    """Rows of ``_SLICES``: the texts of a task, cut where their tokens reach ``size``."""
+    def made(number: int, parts: list) -> pa.RecordBatch:
+        ids, held, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        null = np.concatenate([p[3] for p in parts])
+        types, codes, counts = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True, return_counts=True)
+        # Frequent words get small codes; among equally frequent ones hashes ascend.
+        order = np.argsort(-counts, kind="stable")
+        codes = np.argsort(order)[codes]
+        train = int(sizes[~held].sum())
+        lists = [pa.array([pa.array(ids, pa.int64(), mask=null).to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32()))]
+        one = lambda v: pa.array([v], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [one((TaskContext.get().partitionId() << 32) + number), one(len(codes)), one(train), *lists, pa.array([packed_keys(types[order])], pa.binary()), pa.array([packed(codes)], pa.binary())],
+            ["slice", "tokens", "train", "ids", "held", "sizes", "types", "codes"])
+
+    def run(batches):
+        parts, tokens, number = [], 0, 0
+        for batch in in_slices(batches, 1024):
+            offsets, words = hashed_words(batch.column("text"))
+            ends = offsets[1:]
+            words = np.insert(words, ends, np.uint64(_END))
+            sizes = np.diff(offsets) + 1
+            ids, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            cut = lambda lo, hi: (ids[lo:hi], held[lo:hi], sizes[lo:hi].astype(np.int32), null[lo:hi], words[at[lo] : at[hi]])  # noqa: B023, E731
+            lo = 0
+            for i, own in enumerate(sizes.tolist()):
+                if tokens and tokens + own > size:
+                    if i > lo:
+                        parts.append(cut(lo, i))
+                    yield made(number, parts)
+                    parts, tokens, number, lo = [], 0, number + 1, i
+                tokens += own
+            if len(sizes) > lo:
+                parts.append(cut(lo, len(sizes)))
+        if parts:
+            yield made(number, parts)
+    return run
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in the sorted ``keys``, -1 where it is not."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1).astype(np.int64)
+class Slice:
+    """The tokens of one slice, and its n-grams of every order by place."""
 
+    def __init__(self, row: dict, bits: int) -> None:
+        self.row = row
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = unpacked_keys(row["types"])[unpacked(row["codes"]).astype(np.int64)]
+        self.inside = np.arange(len(self.words)) - np.repeat(self.starts, self.sizes)  # words before a place in its text
+        self.train = np.repeat(~np.array(row["held"], bool), self.sizes)
+        self.bits = bits
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and token hashes, each text closed by the end."""
-    offsets, words = hashed_words(texts)
-    return offsets + np.arange(len(offsets)), np.insert(words, offsets[1:], np.uint64(_END))
+    def ngrams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where n-grams of the order end, their distinct keys, sorted, and each place's key."""
+        at = np.flatnonzero(self.inside >= order - 1)
+        if order == 1:
+            keys = self.words
+        else:
+            sums = np.zeros(len(at), np.uint64)
+            for j, factor in enumerate(_PLACES[:order] + np.uint64(2 * order)):
+                sums += self.words[at - j] * factor
+            keys = mixed(sums) >> np.uint64(64 - self.bits)
+        keys, code = np.unique(keys, return_inverse=True)
+        return at, keys, code
 
 
-def _extended(texts: pa.Array, levels: list[np.ndarray]) -> np.ndarray:
-    """Keys of the n-grams one order above ``levels`` whose prefix and suffix are there."""
-    offsets, tokens = _tokens(texts)
-    word = _found(levels[0], tokens)
-    inner = np.ones(len(tokens), bool)
-    inner[offsets[:-1]] = False  # no n-gram reaches over the start of a text
-    state = word
-    for keys in levels[1:]:
-        state = np.where(inner & (np.roll(state, 1) >= 0) & (word >= 0), _found(keys, _key(np.roll(state, 1), word)), -1)
-    before = np.roll(state, 1)
-    ok = inner & (before >= 0) & (state >= 0)
-    return _key(before, word)[ok]
+def shard_starts(shards: int, bits: int) -> np.ndarray:
+    """First key of every shard but the first."""
+    return np.array([-(-(i << bits) // shards) for i in range(1, shards)], np.uint64)
 
 
-def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (state << _BITS) | word
+def _bits(order: int, bits: int) -> int:
+    return 64 if order == 1 else bits
 
 
-def _ngrams(levels: list[np.ndarray]):
+def _asked(orders: range, shards: int, bits: int):
     def run(batches):
-        for batch in in_slices(batches):
-            keys, counts = np.unique(_extended(batch.column("text"), levels), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts.astype(np.int64))], ["key", "c"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = Slice(batch.slice(i, 1).to_pylist()[0], bits)
+                for order in orders:
+                    at, keys, code = own.ngrams(order)
+                    counts = np.bincount(code[own.train[at]], minlength=len(keys)).astype(np.uint64)
+                    cuts = np.concatenate([[0], np.searchsorted(keys, shard_starts(shards, _bits(order, bits))), [len(keys)]])
+                    full = np.flatnonzero(np.diff(cuts))
+                    n = len(full)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([own.row["slice"]] * n, pa.int64()), pa.array([order] * n, pa.int32()), pa.array(full, pa.int32()),
+                         pa.array([packed_keys(keys[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
+                         pa.array([packed(counts[cuts[s] : cuts[s + 1]]) for s in full], pa.binary())], ["slice", "level", "shard", "keys", "counts"])
     return run
 
 
-@dataclass(frozen=True)
-class Automaton:
-    """States 0 (root) and one per n-gram of an order below the highest; see the module text."""
-
-    vocabulary: np.ndarray  # sorted hashes of the words that have states
-    arcs: dict[int, tuple[float, int]]  # (state, word) -> log10 weight, next state
-    fail: list[int]
-    backoff: list[float]
-    to_root: list[float]  # backoff weights along the failure arcs to the root
-    tokens: int
-    types: int
-
-    @staticmethod
-    def of(levels: list[np.ndarray], counts: list[np.ndarray], tokens: int, types: int) -> Automaton:
-        """``levels`` holds sorted n-gram keys by order (hashes first), ``counts`` their counts."""
-        first = [1]  # the state of the first n-gram of each order
-        for keys in levels:
-            first.append(first[-1] + len(keys))
-        n_states = first[max(1, len(levels) - 1)]
-        fail, backoff = np.zeros(n_states, np.int64), np.zeros(n_states)
-        probability = [np.maximum(counts[0] - DISCOUNT, DISCOUNT) / tokens]
-        suffix = [np.zeros(len(levels[0]), np.int64)]  # place of the n-gram without its first word, one order below
-        arcs: dict[int, tuple[float, int]] = {}
-        for m in range(1, len(levels)):
-            before, word = levels[m] >> _BITS, levels[m] & ((1 << _BITS) - 1)
-            suffix.append(word if m == 1 else _found(levels[m - 1], _key(suffix[m - 1][before], word)))
-            p = (counts[m] - DISCOUNT) / counts[m - 1][before]
-            probability.append(p)
-            lower = probability[m - 1][suffix[m]]
-            n = len(levels[m - 1])
-            left = 1 - np.bincount(before, p, n)
-            below = 1 - np.bincount(before, lower, n)
-            backoff[first[m - 1] : first[m]] = np.log10(np.maximum(left, 1e-9) / np.maximum(below, 1e-9))
-            if m > 1:
-                fail[first[m - 1] : first[m]] = first[m - 2] + suffix[m - 1]
-            top = m == len(levels) - 1
-            goal = first[m - 1] + suffix[m] if top else first[m] + np.arange(len(levels[m]))
-            keys = ((first[m - 1] + before) << _BITS) | word
-            arcs.update(zip(keys.tolist(), zip(np.log10(p).tolist(), goal.tolist())))
-        to_root = backoff.copy()
-        for s in range(1, n_states):  # a failure arc leads to a smaller state
-            to_root[s] += to_root[fail[s]]
-        return Automaton(levels[0], arcs, fail.tolist(), backoff.tolist(), to_root.tolist(), tokens, types)
-
-    def root_weights(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of words by their training count; 0 is the unknown word."""
-        unknown = DISCOUNT * max(self.types, 1) / max(self.tokens, 1)
-        return np.log10(np.where(counts > 0, (counts - DISCOUNT) / max(self.tokens, 1), min(unknown, 1.0)))
-
-    def walk(self, words: list[int], roots: list[float]) -> float:
-        """Weight of one text: the words' places in the vocabulary (-1: none) and root weights."""
-        arcs, fail, backoff, to_root = self.arcs, self.fail, self.backoff, self.to_root
-        state, total = 0, 0.0
-        for word, root in zip(words, roots):
-            if word < 0:
-                total += to_root[state] + root
-                state = 0
-                continue
-            while state:
-                arc = arcs.get((state << 20) | word)
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += root
-                state = word + 1 if word + 1 < len(fail) else 0
-        return total
-
-
-def train(rows: DataFrame, unigrams: DataFrame, order: int = ORDER, share: float = SHARE) -> Automaton:
-    """The automaton of the training rows (text) and their word counts (word, c)."""
-    tokens, types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1.0, share * tokens)
-    # At most 1 / share rows pass each of these filters.
-    top = unigrams.where(F.col("c") >= least).toArrow()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in top.column("word").to_pylist()), np.uint64, top.num_rows)
-    by = np.argsort(hashes)
-    levels, counts = [hashes[by]], [top.column("c").to_numpy()[by].astype(np.float64)]
-    texts = rows.where(~F.col("held_out")).select("text")
-    for _ in range(1, order):
-        found = texts.mapInArrow(_ngrams(levels), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-        found = found.where(F.col("c") >= max(2.0, least)).toArrow()
-        keys = found.column("key").to_numpy()
-        by = np.argsort(keys)
-        levels.append(keys[by])
-        counts.append(found.column("c").to_numpy()[by].astype(np.float64))
-    return Automaton.of(levels, counts, int(tokens), int(types))
-
-
-def _scored(shared):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        own = shared.value
-        texts = docs.column("text").combine_chunks()
-        offsets, tokens = _tokens(texts)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts.column("word").to_pylist()), np.uint64, counts.num_rows)
-        by = np.argsort(hashes)
-        at = _found(hashes[by], tokens)
-        c = np.where(at >= 0, counts.column("c").to_numpy()[by][at], 0) if len(by) else np.zeros(len(tokens), np.int64)
-        words, roots = _found(own.vocabulary, tokens), own.root_weights(c)
-        base = np.log10((c + 1) / (own.tokens + own.types + 1))
-        starts = offsets[:-1]
-        n = docs.num_rows
+def _answered(rows: pa.Table) -> pa.Table:
+    """The sums over all slices of one shard, for each slice in the order it asked; ``types``, once, how many keys were trained on."""
+    keys = [unpacked_keys(k) for k in rows.column("keys").to_pylist()]
+    ends = np.cumsum([len(k) for k in keys])
+    code = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    total = np.zeros(code.max() + 1, np.int64)
+    np.add.at(total, code, np.concatenate([unpacked(c) for c in rows.column("counts").to_pylist()]).astype(np.int64))
+    counts = [packed(c) for c in np.split(total[code], ends[:-1])]
+    types = [int((total > 0).sum())] + [0] * (rows.num_rows - 1)
+    return pa.table({"slice": rows.column("slice"), "level": rows.column("level"), "shard": rows.column("shard"), "counts": pa.array(counts, pa.binary()), "types": pa.array(types, pa.int64())})
+
+
+def weights(counts: list[np.ndarray], inside: np.ndarray, tokens: int, types: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weight of every place of consecutive texts at the root alone, and by the automaton.
+
+    ``counts`` has, by order, the training count of the n-gram that ends at
+    each place (0 where the text is too short for one).
+    """
+    root = (counts[0] + 1) / (tokens + types + 1)
+    share = root
+    total = np.log10(root)
+    for order in range(2, len(counts) + 1):
+        c, state = counts[order - 1], np.roll(counts[order - 2], 1)
+        live = (inside >= order - 1) & (state > 0)  # the n-gram before a place is a state
+        arc = live & (c > 0)
+        share = np.where(live, (c + prior * share) / (state + prior), share)
+        total = np.where(arc, np.log10(share), np.where(live, total + np.log10(prior / (state + prior)), total))
+    return np.log10(root), total
+
+
+def _scored(bits: int, order: int, tokens: int, types: int, prior: float):
+    def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Slice(slices.to_pylist()[0], bits)
+        answers = answers.sort_by([("level", "ascending"), ("shard", "ascending")])
+        level = answers.column("level").to_numpy()
+        counts = []
+        for m in range(1, order + 1):
+            at, _, code = own.ngrams(m)
+            parts = answers.column("counts").filter(pa.array(level == m)).to_pylist()
+            c = np.zeros(len(own.words))
+            if parts:
+                c[at] = np.concatenate([unpacked(p) for p in parts])[code]
+            counts.append(c)
+        base, score = weights(counts, own.inside, tokens, types, prior)
+        n = len(own.sizes)
+        by_text = lambda x, kind: pa.array(np.add.reduceat(x, own.starts), kind)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(np.diff(offsets), pa.int64()),
-            "n_known": pa.array(np.add.reduceat(c > 0, starts, dtype=np.int64) if n else [], pa.int64()),
-            "train_tokens": pa.array(np.full(n, own.tokens), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base, starts) if n else [], pa.float64()),
-            "score": pa.array([own.walk(words[x:y].tolist(), roots[x:y].tolist()) for x, y in zip(offsets[:-1], offsets[1:])], pa.float64()),
-        })
+            "doc_id": pa.array(own.row["ids"], pa.int64()), "held_out": pa.array(own.row["held"], pa.bool_()), "n_tokens": pa.array(own.sizes),
+            "n_known": by_text((counts[0] > 0).astype(np.int64), pa.int64()), "train_tokens": pa.array(np.full(n, tokens), pa.int64()),
+            "base_score": by_text(base, pa.float64()), "score": by_text(score, pa.float64())})
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, slice_tokens: int = SLICE_TOKENS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per row of ``docs``: tokens, training counts, the add-one unigram
     ``base_score`` and the automaton's ``score`` (log10 probability of the text)."""
-    rows = _rows(docs)
-    needed = written(rows.mapInArrow(_block_words, "block long, word string, c long"), "lm-words")
-    unigrams = written(needed.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "lm-unigrams")
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, unigrams, order, share))
-    counts = needed.select("block", "word").join(unigrams, "word")
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scored(shared), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == HELD_OUT_FOLD).alias("held_out"), F.col("text").cast("string").alias("text"))
+    slices = written(rows.mapInArrow(_slices(slice_tokens), _SLICES), "lm-slices")
+    every, tokens = slices.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    bits = min(64, GUARD_BITS + (order * int(every) + 1).bit_length())
+    shards = max(1, -(-int(every) // shard_keys))
+
+    def answers(orders: range) -> DataFrame:
+        asked = slices.mapInArrow(_asked(orders, shards, bits), _ASKED)
+        return asked.groupBy("level", "shard").applyInArrow(_answered, _ANSWERED)
+
+    words = written(answers(range(1, 2)), "lm-words")
+    types = words.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    found = words.unionByName(answers(range(2, order + 1))).select("slice", "level", "shard", "counts")
+    return slices.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_scored(bits, order, int(tokens), int(types), prior), SCHEMA)

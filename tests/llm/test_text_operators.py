@@ -174,45 +174,90 @@ def test_counterfactual_penalty_takes_the_weight_off_a_group(shared):
 
 # --- language model
 
-def test_base_scores_and_counts_are_exact(docs, rows):
-    counts = Counter()
-    for i, text in rows:
-        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
-            counts.update(words(text) + [""])
-    total, types = sum(counts.values()), len(counts)
-    want = sorted(((i, len(w) + 1, sum(counts[x] > 0 for x in w + [""]), sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w + [""]))
-                   for i, w in ((i, words(t)) for i, t in rows)), key=str)
-    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in lm_scoring.score(docs).collect()), key=str)
+class Brute:
+    """The automaton written out: states, arcs and failure arcs over n-grams of words."""
+
+    def __init__(self, texts, order=3, prior=lm_scoring.PRIOR):
+        self.order, self.prior = order, prior
+        self.counts = Counter()
+        for w in texts:
+            self.counts.update(tuple(w[i:i + m]) for m in range(1, order + 1) for i in range(len(w) - m + 1))
+        ones = [n for k, n in self.counts.items() if len(k) == 1]
+        self.total, self.types = sum(ones), len(ones)
+
+    def share(self, state, word):
+        if not state:
+            return (self.counts[word,] + 1) / (self.total + self.types + 1)
+        return (self.counts[state + (word,)] + self.prior * self.share(state[1:], word)) / (self.counts[state] + self.prior)
+
+    def walk(self, w):
+        state, weight = (), 0.0
+        for word in w:
+            at = state
+            while at and not self.counts[at + (word,)]:
+                weight += math.log10(self.prior / (self.counts[at] + self.prior))  # a failure arc
+                at = at[1:]
+            weight += math.log10(self.share(at, word))
+            state = (at + (word,))[-(self.order - 1):]
+            while state and not self.counts[state]:
+                state = state[1:]
+        return weight
+
+
+def brute_scores(rows):
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    own = Brute([words(t) + [""] for i, t in rows if not held(i)])
+    return [(i, held(i), len(words(t)) + 1, sum(own.counts[x,] > 0 for x in words(t) + [""]), own.total,
+             sum(math.log10(own.share((), x)) for x in words(t) + [""]), own.walk(words(t) + [""])) for i, t in rows]
+
+
+def same_scores(got, want):
+    by = lambda x: (str(x[0]), x[2], round(x[5], 6))
     assert len(got) == len(want)
-    by = lambda x: (str(x[0]), x[1], round(x[3], 6))
-    for g, w in zip(sorted(got, key=by), sorted(want, key=by)):
-        assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-9)
+    for g, w in zip(sorted(map(tuple, got), key=by), sorted(want, key=by)):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9), (g, w)
+
+
+@pytest.mark.parametrize("cut", [(2_000_000, 1_000_000), (3000, 500)])
+def test_scores_are_those_of_the_whole_automaton(docs, rows, cut):
+    same_scores(lm_scoring.score(docs.repartition(3), slice_tokens=cut[0], shard_keys=cut[1]).collect(), brute_scores(rows))
+
+
+def test_arcs_do_not_depend_on_the_size_of_the_corpus(shared):
+    trained = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rare = [(trained, "a rare pair of words", "en", "s", 1)]
+    for copies in (1, 200):
+        rows = rare + [(10 + i, "other texts that fill the corpus up", "en", "s", 1) for i in range(copies)]
+        got = lm_scoring.score(frame(shared, rows)).collect()
+        same_scores(got, brute_scores([(r[0], r[1]) for r in rows]))
+        own = next(r for r in got if r["doc_id"] == trained)
+        assert own["score"] > own["base_score"]
 
 
-def test_automaton_is_a_distribution_and_beats_the_base():
+def test_a_crowd_of_null_ids_is_cut_into_slices(shared):
+    rng = random.Random(9)
+    rows = [(None, " ".join(rng.choices("a b c d e f".split(), k=20)), "en", "s", 1) for _ in range(3000)]
+    df = frame(shared, rows).coalesce(1)
+    slices = df.selectExpr("doc_id", "false as held_out", "text").mapInArrow(lm_scoring._slices(5000), lm_scoring._SLICES).collect()
+    assert len(slices) == 13 and max(s["tokens"] for s in slices) <= 5000 and sum(s["tokens"] for s in slices) == 63_000
+    same_scores(lm_scoring.score(df, slice_tokens=5000).collect(), brute_scores([(r[0], r[1]) for r in rows]))
+    long = [(1, "x y " * 4000, "en", "s", 1), (2, None, "en", "s", 1), (3, "z", "en", "s", 1)]
+    same_scores(lm_scoring.score(frame(shared, long).coalesce(1), slice_tokens=1000).collect(), brute_scores([(r[0], r[1]) for r in long]))
+
+
+def test_weights_of_a_state_add_up_to_one():
     rng = random.Random(4)
-    texts = [" ".join(rng.choice("ab ba ab cc".split()) for _ in range(rng.randint(0, 9))) for _ in range(300)]
-    tokens = [w.split() + [""] for w in texts]
-    counts = Counter(w for t in tokens for w in t)
-    vocabulary = np.sort(np.array([lm_scoring.xxhash.xxh3_64_intdigest(w) for w in counts], np.uint64))
-    name = {lm_scoring.xxhash.xxh3_64_intdigest(w): w for w in counts}
-    levels, amounts = [vocabulary], [np.array([counts[name[int(h)]] for h in vocabulary], float)]
-    for _ in range(2):
-        keys, n = np.unique(lm_scoring._extended(pa.array(texts), levels), return_counts=True)
-        levels.append(keys[n >= 2])
-        amounts.append(n[n >= 2].astype(float))
-    own = lm_scoring.Automaton.of(levels, amounts, sum(counts.values()), len(counts))
-    weights = own.root_weights(amounts[0])
-    for state in range(len(own.fail)):
-        total = 10 ** (own.to_root[state] + float(own.root_weights(np.array([0]))[0]))
-        for w, root in enumerate(weights):
-            arc, s, passed = own.arcs.get((state << 20) | w) if state else None, state, 0.0
-            while s and not arc:
-                passed += own.backoff[s]
-                s = own.fail[s]
-                arc = own.arcs.get((s << 20) | w) if s else None
-            total += 10 ** (passed + (arc[0] if arc else root))
-        assert math.isclose(total, 1, rel_tol=1e-6)
+    own = Brute([[rng.choice("abc") for _ in range(rng.randint(0, 9))] + [""] for _ in range(300)], prior=2.5)
+    types = sorted({k[0] for k in own.counts}) + ["never seen"]
+    for state in [()] + [k for k in own.counts if len(k) < 3 and "" not in k]:
+        assert math.isclose(sum(own.share(state, w) for w in types), 1, rel_tol=1e-9)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    for values in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)) * np.uint64(2), np.array([5, 3, 2**64 - 1, 0], np.uint64)):
+        assert lm_scoring.unpacked(lm_scoring.packed(values)).tolist() == values.tolist()
+        assert lm_scoring.unpacked_keys(lm_scoring.packed_keys(values)).tolist() == values.tolist()
 
 
 # --- tokens
