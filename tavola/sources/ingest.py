@@ -1,23 +1,29 @@
 """Sources and sinks: listings CSV, orders JSON, Parquet tables.
 
-Both readers read text with an explicit layout and convert with ``try_*``
-casts, so a bad value becomes NULL instead of failing the job or turning a
-numeric column into text.
+Both readers read text with an explicit layout and keep what of a row does not
+fit it. A row that cannot be stored as it is (a field too many or too few,
+unreadable JSON, a number that is none) is counted, and fails the load beyond
+``max_rejected``; none is shifted, padded or made NULL without a word.
 
 Splitting: a CSV read with ``multi_line=True`` (needed for quoted newlines)
 and a JSON file that is one array are each read by a single task per file.
 Large inputs should therefore arrive as many files, as a CSV without quoted
 newlines (``multi_line=False``) or as JSON Lines, which Spark splits freely. Ingest converts them to
 Parquet once; every query reads Parquet.
+
+The load job writes both tables to a folder of its own and then switches one
+small file, ``CURRENT``, to it: readers see the old pair or the new one.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tavola.functions.sql import finite_sql, sql_string, whole_number_sql
 from tavola.sources import schemas
@@ -37,6 +43,16 @@ RENAMES = {"listed_in(type)": "listed_type", "listed_in(city)": "listed_city"}
 # The discount flag in the orders file and its stored code.
 DISCOUNT_CODES = {"Yes": 1, "No": 0}
 
+#: Listing columns that are numbers once cleaned.
+_NUMBERS = ("rate", "votes", "approx_cost_for_two")
+
+#: Bytes skipped before a JSON file's first mark (white space, byte-order mark), and at most so many of them.
+_BLANK_BYTES = frozenset(b" \t\r\n\xef\xbb\xbf")
+_HEAD_BYTES = 1 << 16
+
+#: The file that names the current pair of tables, and the folder of all pairs.
+CURRENT, VERSIONS = "_current_tables", "_versions"
+
 
 def _null_tokens_sql(name: str) -> str:
     tokens = ", ".join(sql_string(t) for t in NULL_TOKENS)
@@ -59,22 +75,55 @@ def order_date_sql(c: str) -> str:
             f"THEN try_to_timestamp({s}) END AS TIMESTAMP_NTZ)")
 
 
-def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Scan a listings CSV with a header row.
+def scan_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Scan a listings CSV with a header row, malformed rows included.
 
     All fields are read as text (no inference), quoted fields may hold commas,
-    doubled quotes and newlines, and missing-value tokens become NULL.
+    doubled quotes and newlines, and missing-value tokens become NULL. Column
+    ``schemas.CORRUPT`` holds the text of a row that has not one field for each
+    name of the header. All files must have the same header.
     """
-    raw = (spark.read
-           .option("header", True)
-           .option("inferSchema", False)
-           .option("multiLine", multi_line)
-           .option("quote", '"')
-           .option("escape", '"')
-           .option("nullValue", "")
-           .option("mode", "PERMISSIVE")
-           .csv(path))
-    return raw.selectExpr(*[_null_tokens_sql(c) for c in raw.columns])
+    reader = (spark.read
+              .option("header", True)
+              .option("inferSchema", False)
+              .option("multiLine", multi_line)
+              .option("quote", '"')
+              .option("escape", '"')
+              .option("nullValue", "")
+              .option("mode", "PERMISSIVE")
+              .option("enforceSchema", False)
+              .option("columnPruning", False)  # a row's fields are counted whatever columns are asked for
+              .option("columnNameOfCorruptRecord", schemas.CORRUPT))
+    names = reader.csv(path).columns
+    if not names:
+        raise ValueError(f"{path}: no header row")
+    layout = StructType([StructField(n, StringType()) for n in [*names, schemas.CORRUPT]])
+    return reader.schema(layout).csv(path).selectExpr(*[_null_tokens_sql(c) for c in names], schemas.CORRUPT)
+
+
+def rejected_listing_sql(columns: list[str], raw: bool = False) -> str:
+    """SQL for a listings row that cannot be stored: a field too many or too few or, unless the file is
+    ``raw`` (C1 and C2 say what its text means), a rating, vote count or cost that is no number."""
+    bad = [f"{schemas.CORRUPT} IS NOT NULL"]
+    if not raw:
+        bad += [f"(`{c}` IS NOT NULL AND try_cast(trim(`{c}`) AS DOUBLE) IS NULL)" for c in _NUMBERS if c in columns]
+    return "(" + " OR ".join(bad) + ")"
+
+
+def _stored(rows: DataFrame, rejected: str, shown: str, what: str, reject: bool) -> DataFrame:
+    """``rows`` without those that cannot be stored if ``reject``; otherwise the job fails at the first."""
+    fail = f"raise_error(concat({sql_string(what)}, ': row cannot be stored: ', {shown}))"
+    return rows.where(f"NOT {rejected}" if reject else f"CASE WHEN {rejected} THEN CAST({fail} AS BOOLEAN) ELSE true END")
+
+
+def _listing_rows(rows: DataFrame, raw: bool, reject: bool) -> DataFrame:
+    shown = ", ".join(f"`{c}`" for c in [schemas.CORRUPT, *[n for n in _NUMBERS if n in rows.columns]])
+    return _stored(rows, rejected_listing_sql(rows.columns, raw), f"concat_ws(' | ', {shown})", "listings file", reject).drop(schemas.CORRUPT)
+
+
+def read_listings(spark: SparkSession, path: str, multi_line: bool = True, reject: bool = False) -> DataFrame:
+    """The rows of a listings CSV as text. The job fails at a malformed one, or leaves it out with ``reject``."""
+    return _listing_rows(scan_listings(spark, path, multi_line), True, reject)
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -105,47 +154,72 @@ def to_listings_schema(df: DataFrame) -> DataFrame:
     return df.selectExpr(*out)
 
 
-def load_listings_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def load_listings_csv(spark: SparkSession, path: str, multi_line: bool = True, reject: bool = False) -> DataFrame:
     """I1 + I2: a cleaned listings CSV as a LISTINGS-shaped frame.
 
-    Fails for a file that is not cleaned: category columns absent, or rating
-    text that is no number, would otherwise load as NULL.
+    Fails for a file that is not cleaned (category columns absent) and at a row
+    that cannot be stored; with ``reject`` such rows are left out.
     """
-    df = normalise_columns(read_listings(spark, path, multi_line))
+    df = normalise_columns(_listing_rows(scan_listings(spark, path, multi_line), False, reject))
     absent = sorted({"rate", "approx_cost_for_two", "price_category", "rating_category"} - set(df.columns))
     if absent:
         raise ValueError(f"{path}: no column {', '.join(absent)}; a raw listings file is loaded with raw=True")
-    if df.where("rate IS NOT NULL AND try_cast(trim(rate) AS DOUBLE) IS NULL").limit(1).count():
-        raise ValueError(f"{path}: ratings that are no numbers; a raw listings file is loaded with raw=True")
     return to_listings_schema(df)
 
 
-def is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the orders file holds a record per line (its text starts with ``{``) or one array."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    start = first[0][0].strip()[:1] if first else "["
-    if start not in "[{":
-        raise ValueError(f"{path}: neither a JSON array nor JSON Lines")
-    return start == "{"
+def _first_mark(spark: SparkSession, file: str) -> str:
+    """The first character of a file that is no white space, '' for none; read from its first bytes alone."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        for _ in range(_HEAD_BYTES):
+            byte = text.read()
+            if byte < 0:
+                return ""
+            if byte not in _BLANK_BYTES:
+                return chr(byte)
+    finally:
+        stream.close()
+    raise ValueError(f"{file}: begins with {_HEAD_BYTES} blank bytes")
+
+
+def json_forms(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files of an orders folder (or the one file): under True those that hold a record per
+    line, under False those that hold one array. Each file's first bytes tell its form."""
+    files = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(16) as pool:
+        marks = list(pool.map(lambda f: _first_mark(spark, f), files))
+    forms: dict[bool, list[str]] = {True: [], False: []}
+    for file, mark in zip(files, marks):
+        if mark not in ("", "[", "{"):
+            raise ValueError(f"{file}: neither a JSON array nor JSON Lines")
+        if mark:
+            forms[mark == "{"].append(file)
+    return forms
 
 
 def read_orders(spark: SparkSession, path: str, json_lines: bool | None = None) -> DataFrame:
-    """Scan the orders file, every field as text.
+    """Scan the orders file or folder, every field as text.
 
-    One JSON array of records is read whole per file; JSON Lines split. By
-    default the file's first character tells which it is; a file of the other
-    form than asked for is an error, not a part of its records.
+    A file that is one JSON array of records is read whole; JSON Lines split.
+    A folder may hold both: each file is read by its own form. ``json_lines``
+    insists on one form, and a file of the other is an error.
     """
-    found = is_json_lines(spark, path)
-    if json_lines is not None and json_lines != found:
-        raise ValueError(f"{path}: holds {'JSON Lines' if found else 'a JSON array'}")
-    json_lines = found
-    return (spark.read
-            .schema(schemas.ORDERS_FILE)
-            .option("multiLine", not json_lines)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", schemas.CORRUPT)
-            .json(path))
+    forms = json_forms(spark, path)
+    if json_lines is not None and forms[not json_lines]:
+        raise ValueError(f"{forms[not json_lines][0]}: holds {'a JSON array' if json_lines else 'JSON Lines'}")
+    reader = (spark.read
+              .schema(schemas.ORDERS_FILE)
+              .option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", schemas.CORRUPT))
+    # All files of one form are read by the path itself, so that a large folder is not named file by file.
+    alone = not (forms[True] and forms[False])
+    parts = [reader.option("multiLine", not lines).json(path if alone else files) for lines, files in forms.items() if files]
+    return reduce(DataFrame.unionByName, parts) if parts else reader.json(path)
 
 
 def encode_discount(df: DataFrame, col: str = "discount_used") -> DataFrame:
@@ -189,10 +263,8 @@ def load_orders_json(spark: SparkSession, path: str, json_lines: bool | None = N
 
     The job fails at a record it cannot store; with ``reject`` such records are left out.
     """
-    rows = read_orders(spark, path, json_lines)
-    fail = f"raise_error(concat('orders file: record cannot be stored: ', coalesce({schemas.CORRUPT}, order_id, order_value)))"
-    rows = rows.where(f"NOT {REJECTED}" if reject else f"CASE WHEN {REJECTED} THEN CAST({fail} AS BOOLEAN) ELSE true END")
-    return to_orders_schema(rows)
+    shown = f"coalesce({schemas.CORRUPT}, order_id, order_value)"
+    return to_orders_schema(_stored(read_orders(spark, path, json_lines), REJECTED, shown, "orders file", reject))
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -218,14 +290,57 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of ``path``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder under ``root`` that the last finished load wrote, None if there was none."""
+    system, where = _file_system(spark, f"{root}/{CURRENT}")
+    if not system.exists(where):
+        return None
+    stream = system.open(where)
+    try:
+        return bytes(iter(stream.read, -1)).decode()
+    finally:
+        stream.close()
+
+
+def switch_version(spark: SparkSession, root: str, version: str) -> None:
+    """Make ``version`` the current one, by replacing one small file."""
+    jvm = spark.sparkContext._jvm
+    system, written = _file_system(spark, f"{root}/{CURRENT}-{version.rsplit('/', 1)[-1]}")
+    stream = system.create(written, True)
+    stream.write(bytearray(version, "utf-8"))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(system.makeQualified(written), system.makeQualified(_file_system(spark, f"{root}/{CURRENT}")[1]), options)
+
+
+def _stored_path(spark: SparkSession, path: str) -> str:
+    """Where the table ``path`` of a load lies: in the current version beside it, or at the path itself."""
+    root, _, name = path.rstrip("/").rpartition("/")
+    version = current_version(spark, root) if root else None
+    return f"{root}/{version}/{name}" if version else path
+
+
 def load_listings(spark: SparkSession, path: str) -> DataFrame:
     """I7 for the stored listings table."""
-    return load_table(spark, path, schemas.LISTINGS)
+    return load_table(spark, _stored_path(spark, path), schemas.LISTINGS)
 
 
 def load_orders(spark: SparkSession, path: str) -> DataFrame:
     """I7 for the stored orders table."""
-    return load_table(spark, path, schemas.ORDERS)
+    return load_table(spark, _stored_path(spark, path), schemas.ORDERS)
+
+
+def _count_rejected(rows: DataFrame, rejected: str) -> int:
+    other = next(c for c in rows.columns if c != schemas.CORRUPT)
+    return rows.selectExpr(f"count_if({rejected}) AS n", f"count(`{other}`) AS more").first()["n"]
 
 
 def run_load(spark: SparkSession, listings_csv: str, orders_json: str, out_dir: str,
@@ -236,21 +351,30 @@ def run_load(spark: SparkSession, listings_csv: str, orders_json: str, out_dir:
     ``raw`` cleans a raw listings file first (C1-C6). ``multi_line=False``
     splits a CSV without quoted newlines over tasks; otherwise a file is read
     by one task and its rows are spread before they are written. More than
-    ``max_rejected`` orders that cannot be stored fail the job. Returns the
-    load report, computed from the written tables.
+    ``max_rejected`` rows of both files that cannot be stored fail the job.
+
+    Both tables go to a new folder under ``out_dir``/``VERSIONS``, which becomes
+    the current one when both are there; until then, and if the job fails,
+    ``load_listings`` and ``load_orders`` of ``out_dir``/restaurants and
+    ``out_dir``/orders read the pair before. Returns the load report, computed
+    from the written tables.
     """
     from tavola.operators.cleaning import clean_listings
 
-    listings_path = f"{out_dir.rstrip('/')}/restaurants"
-    orders_path = f"{out_dir.rstrip('/')}/orders"
-    bad = read_orders(spark, orders_json, json_lines).where(REJECTED).count()
-    if bad > max_rejected:
-        raise ValueError(f"{orders_json}: {bad} records cannot be stored ({max_rejected} allowed)")
-    found = (clean_listings(read_listings(spark, listings_csv, multi_line)) if raw
-             else load_listings_csv(spark, listings_csv, multi_line))
+    root = out_dir.rstrip("/")
+    scanned = normalise_columns(scan_listings(spark, listings_csv, multi_line))
+    bad = {"restaurants": _count_rejected(scanned, rejected_listing_sql(scanned.columns, raw)),
+           "orders": _count_rejected(read_orders(spark, orders_json, json_lines), REJECTED)}
+    if sum(bad.values()) > max_rejected:
+        raise ValueError(f"{listings_csv}: {bad['restaurants']} and {orders_json}: {bad['orders']} rows cannot be stored ({max_rejected} allowed;"
+                         " a raw listings file is loaded with raw=True)")
+    found = (clean_listings(read_listings(spark, listings_csv, multi_line, reject=True)) if raw
+             else load_listings_csv(spark, listings_csv, multi_line, reject=True))
     if multi_line:
         found = found.repartition(spark.sparkContext.defaultParallelism)
-    write_table(found, listings_path)
-    write_table(load_orders_json(spark, orders_json, json_lines, reject=True), orders_path)
-    return load_report({"restaurants": load_listings(spark, listings_path),
-                        "orders": load_orders(spark, orders_path)}, {"orders": bad})
+    version = f"{VERSIONS}/{uuid4().hex}"
+    write_table(found, f"{root}/{version}/restaurants")
+    write_table(load_orders_json(spark, orders_json, json_lines, reject=True), f"{root}/{version}/orders")
+    switch_version(spark, root, version)
+    return load_report({"restaurants": load_listings(spark, f"{root}/restaurants"),
+                        "orders": load_orders(spark, f"{root}/orders")}, bad)

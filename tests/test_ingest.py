@@ -222,3 +222,96 @@ def test_a_grown_folder_is_read_in_full(spark, tmp_path):
     for n in ("a", "b"):
         shutil.copyfile(part, tmp_path / f"two/part.parquet/{n}.parquet")
     assert binding.listings(spark, str(tmp_path / "two")).count() == 2 * one
+
+
+BAD_ROWS = [
+    "Extra,Yes,Yes,3.2,0,BTM,Quick Bites,x,Thai,300,Delivery,Delivery,BTM,Average,Cheap",     # a field too many
+    "Short,Yes,Yes,3.2,0,BTM,Quick Bites,x,Thai,300,Delivery,BTM",                            # two too few
+    'Comma,Yes,Yes,3.2,0,BTM,Quick Bites,x,Thai,"1,200",Delivery,BTM,Average,High',
+    "Word,Yes,Yes,3.2,0,BTM,Quick Bites,x,Thai,abc,Delivery,BTM,Average,High",
+    "Votes,Yes,Yes,3.2,ten,BTM,Quick Bites,x,Thai,300,Delivery,BTM,Average,Cheap",
+]
+
+
+def test_listings_that_cannot_be_stored_fail_the_load(spark, tmp_path):
+    js = _write(tmp_path, "o.json", json.dumps(_orders({})))
+    for row in BAD_ROWS:
+        path = _write(tmp_path, "l.csv", "\n".join([HEADER, *CSV_ROWS, row]) + "\n")
+        with pytest.raises(ValueError, match="1 and .* 0 rows cannot be stored"):
+            ingest.run_load(spark, path, js, str(tmp_path / "tables"))
+        with pytest.raises(Exception, match="cannot be stored"):
+            ingest.load_listings_csv(spark, path).collect()
+    path = _write(tmp_path, "l.csv", "\n".join([HEADER, *CSV_ROWS, *BAD_ROWS]) + "\n")
+    report = ingest.run_load(spark, path, js, str(tmp_path / "tables"), max_rejected=5).collect()
+    assert [tuple(r) for r in report] == [("restaurants", 3, 5), ("orders", 1, 0)]
+    stored = ingest.load_listings(spark, str(tmp_path / "tables/restaurants"))
+    assert {r["name"] for r in stored.collect()} == {'Cafe "X", A', "Multi\nLine", "Plain"}
+
+
+def test_raw_listings_count_rows_of_the_wrong_width_alone(spark, tmp_path):
+    head = "name,online_order,book_table,rate,votes,location,rest_type,dish_liked,cuisines,approx_cost_for_two,listed_in(type),listed_in(city)"
+    rows = ['A,Yes,No,4.1/5,1,L,Cafe,,Thai,"1,200",Delivery,X', "B,Yes,No,NEW,1,L,Cafe,,Thai,300,Delivery,X", "C,Yes,No,3.1/5,1,L,Cafe,,Thai,300,Delivery,X,more"]
+    js = _write(tmp_path, "o.json", json.dumps(_orders({})))
+    for multi_line in (True, False):
+        path = _write(tmp_path, "raw.csv", "\n".join([head, *rows]) + "\n")
+        with pytest.raises(ValueError, match="1 and"):
+            ingest.run_load(spark, path, js, str(tmp_path / "tables"), raw=True, multi_line=multi_line)
+        report = ingest.run_load(spark, path, js, str(tmp_path / "tables"), raw=True, multi_line=multi_line, max_rejected=1).collect()
+        assert [tuple(r) for r in report] == [("restaurants", 1, 1), ("orders", 1, 0)]
+    with pytest.raises(ValueError, match="header"):
+        ingest.scan_listings(spark, _write(tmp_path, "none.csv", ""))
+
+
+def test_files_of_another_header_fail_the_load(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    _write(tmp_path / "l", "a.csv", HEADER + "\n" + CSV_ROWS[2] + "\n")
+    _write(tmp_path / "l", "b.csv", HEADER.replace("votes,location", "location,votes") + "\n" + CSV_ROWS[2] + "\n")
+    with pytest.raises(Exception, match="header does not conform"):
+        ingest.load_listings_csv(spark, str(tmp_path / "l")).collect()
+
+
+def test_an_orders_folder_of_both_forms_is_read_in_full(spark, tmp_path):
+    import gzip
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    many = _orders(*[{} for _ in range(50)])
+    _write(folder, "array.json", "\n \t" + json.dumps(many, indent=2))
+    _write(folder, "one_line.json", "\ufeff" + json.dumps(_orders({}, {})))
+    _write(folder, "lines.jsonl", "\n".join(json.dumps(r) for r in _orders({}, {}, {}, {}, {})))
+    (folder / "packed.json.gz").write_bytes(gzip.compress(json.dumps(_orders({}, {}, {}), indent=1).encode()))
+    _write(folder, "empty.json", "")
+    forms = ingest.json_forms(spark, str(folder))
+    assert [len(forms[True]), len(forms[False])] == [1, 3]
+    assert ingest.load_orders_json(spark, str(folder)).count() == 60
+    with pytest.raises(ValueError, match="JSON Lines"):
+        ingest.read_orders(spark, str(folder), json_lines=False)
+    _write(folder, "other.json", "order_id\n1\n")
+    with pytest.raises(ValueError, match="neither"):
+        ingest.read_orders(spark, str(folder))
+    assert ingest.load_orders_json(spark, _write(tmp_path, "blank.json", " \n")).count() == 0
+
+
+def test_a_failed_load_leaves_the_old_pair(spark, tmp_path, monkeypatch):
+    csv = _write(tmp_path, "l.csv", HEADER + "\n" + "\n".join(CSV_ROWS) + "\n")
+    js = _write(tmp_path, "o.json", json.dumps(_orders({}, {})))
+    out = str(tmp_path / "tables")
+    ingest.run_load(spark, csv, js, out)
+    read = lambda: (ingest.load_listings(spark, f"{out}/restaurants").count(), ingest.load_orders(spark, f"{out}/orders/").count())
+    assert read() == (3, 2)
+    fewer = _write(tmp_path, "l2.csv", HEADER + "\n" + CSV_ROWS[2] + "\n")
+    write = ingest.write_table
+
+    def failing(df, path, partition_by=None):
+        if path.endswith("/orders"):
+            raise RuntimeError("disk full")
+        write(df, path, partition_by)
+
+    monkeypatch.setattr(ingest, "write_table", failing)
+    with pytest.raises(RuntimeError):
+        ingest.run_load(spark, fewer, js, out)
+    assert read() == (3, 2)
+    monkeypatch.setattr(ingest, "write_table", write)
+    ingest.run_load(spark, fewer, js, out)
+    assert read() == (1, 2)
+    write(ingest.load_orders(spark, f"{out}/orders"), str(tmp_path / "plain/orders"))  # a table without versions
+    assert ingest.load_orders(spark, str(tmp_path / "plain/orders")).count() == 2
