@@ -1,37 +1,46 @@
 """Main text of web pages by removing the templates of their site.
 
-Every page is parsed once into its text blocks. Each block carries the hashes
-of all element subtrees it lies in, inside and outside an article. The hashes
-are counted per host over pages of distinct main text; a subtree that recurs on
-``PAGES`` of them (a single paragraph, item or heading: on ``LINE_PAGES``) is
-template, and blocks inside one are deleted by a join. After that, what a page
-marks itself as furniture (navigation, footers, forms, scripts, adverts,
-comments and the like) is left out, and where it marks an article (or else a
-main part), only that is read.
+1. Every page is parsed once into its element tree and text blocks. Each
+   element with text has a mark: the hash of its subtree, made of its own tag
+   and text and the hashes of its children, and of whether it lies in an
+   article.
+2. Marks are counted per host over pages of distinct main text. A subtree that
+   recurs on ``PAGES`` of them (a single paragraph, item or heading: on
+   ``LINE_PAGES``) is template of that host. What stands in articles of other
+   hosts too is content that is quoted, not a host's template, and stays.
+3. Each page gets the templates it holds, by a join of marks alone, is parsed
+   again, and loses the blocks below them. No text is written, and none is
+   shuffled unless those lists are too large to broadcast; then it goes packed.
+4. After that, what a page marks itself as furniture (navigation, footers,
+   forms, scripts, adverts, comments and the like) is left out, and where it
+   marks an article (or else a main part), only that is read.
 
 Guards of the content: no subtree goes that holds half of a page's main text,
 and an article whose recurring subtrees hold half of its text together is a
 copy and stays whole. Words of class, id and role take out no article or main
 part, nothing that contains one and nothing that holds most of a page's text.
 
+A page is worked through in time linear in its length, however deep it nests.
 Defined results: a null or empty page has the text ''. A null or odd URL has
 the host ''. Repeated rows, and pages of the same main text, are extracted each
-and count as one page.
+and count as one page. Other columns are not looked at; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tavola.llm.common import written
+from tavola.llm.common import in_slices, written
 
 #: A container is template from so many pages of its host on; a single paragraph from more.
 PAGES, LINE_PAGES = 3, 5
@@ -80,91 +89,99 @@ def _has_mark(rest: str) -> bool:
 class _Marked:
     """An element with a word of ``MARKS``: furniture if it turns out to hold no article or main part and not most of the text."""
 
-    __slots__ = ("above", "chars", "region")
+    __slots__ = ("above", "chars", "region", "out")
 
     def __init__(self, above: _Marked | None) -> None:
-        self.above, self.chars, self.region = above, 0, False
+        self.above, self.chars, self.region, self.out = above, 0, False, False
 
 
 class _Element:
-    __slots__ = ("name", "start", "furniture", "marked", "first", "inside")
+    __slots__ = ("name", "index", "furniture", "marked", "first", "inside", "hash")
 
-    def __init__(self, name: str, start: int, furniture: bool, marked: _Marked | None, first: int, inside: int) -> None:
-        self.name, self.start, self.furniture, self.marked, self.first, self.inside = name, start, furniture, marked, first, inside
+    def __init__(self, name: str, index: int, furniture: bool, marked: _Marked | None, first: int, inside: int, tag: str) -> None:
+        self.name, self.index, self.furniture, self.marked, self.first, self.inside = name, index, furniture, marked, first, inside
+        self.hash = xxhash.xxh3_64(tag.encode("utf-8", "surrogatepass"))
 
 
 class _Page:
-    """One pass over the markup: blocks of text, and the subtrees they lie in."""
+    """One pass over the markup: blocks of text, and the tree of elements they lie in."""
 
     def __init__(self, source: str) -> None:
         self.source = source
-        self.found: list[tuple] = []  # pieces with the marked element of each, the marked part, furniture, subtree hashes
-        self.open: list[_Element] = [_Element("", 0, False, None, 0, 0)]
+        self.found: list[tuple] = []  # pieces with the marked element of each, the marked part, furniture, element
+        self.parents, self.marks = [0], [0]  # by element; mark 0: none. An element comes after its parent.
+        self.open: list[_Element] = [_Element("", 0, False, None, 0, 0, "")]
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements, by name
+        self.classed: list[_Marked] = []  # outer ones first
         self.buffer: list[tuple[str, _Marked | None]] = []
         self.chars = 0
         self.scan()
-        self.blocks = [block for own in self.found for block in self.settled(*own)]  # text, the marked part it is in, furniture, subtree hashes
+        for marked in self.classed:
+            marked.out = (not marked.region and 2 * marked.chars <= self.chars) or (marked.above is not None and marked.above.out)
+        self.blocks = [block for own in self.found for block in self.settled(*own)]  # text, the marked part it is in, furniture, element
         self.main = max((b[1] for b in self.blocks if not b[2]), default=0)  # 2 when the page marks an article, 1 when only a main part
 
-    def out(self, marked: _Marked | None) -> bool:
-        while marked is not None:
-            if not marked.region and 2 * marked.chars <= self.chars:
-                return True
-            marked = marked.above
-        return False
-
-    def settled(self, pieces: list, inside: int, furniture: bool, marks: list[int]):
-        kept = [text for text, marked in pieces if marked is None or not self.out(marked)]
+    def settled(self, pieces: list, inside: int, furniture: bool, element: int):
+        kept = [text for text, marked in pieces if marked is None or not marked.out]
         text = " ".join(html.unescape("".join(kept or [p[0] for p in pieces])).split())
         if text:
-            yield text, inside, furniture or not kept, marks
+            yield text, inside, furniture or not kept, element
 
     def flush(self) -> None:
         if self.buffer:
             if any(not text.isspace() for text, _ in self.buffer):
                 top = self.open[-1]
-                self.found.append((self.buffer, top.inside, top.furniture, []))
+                self.found.append((self.buffer, top.inside, top.furniture, top.index))
             self.buffer = []
 
     def read(self, text: str) -> None:
         top = self.open[-1]
         self.buffer.append((text, top.marked))
+        top.hash.update(text.encode("utf-8", "surrogatepass"))
         if not top.furniture:
-            chars, marked = len(text.strip()), top.marked
+            chars = len(text.strip())
             self.chars += chars
-            while marked is not None:
-                marked.chars += chars
-                marked = marked.above
+            if top.marked is not None:
+                top.marked.chars += chars
 
-    def push(self, name: str, rest: str, start: int) -> None:
+    def push(self, name: str, rest: str) -> None:
         top = self.open[-1]
         region = 2 if name == "article" else 1 if name == "main" or "role=\"main\"" in rest else 0
         furniture = top.furniture or (name not in ("html", "body", "main") and _is_furniture(name, rest, top.inside == 2))
         inside, marked = 0 if furniture else max(top.inside, region), top.marked
         if region and not furniture:
-            while marked is not None:
+            while marked is not None and not marked.region:
                 marked.region, marked = True, marked.above
             marked = top.marked
         elif rest and not furniture and name not in ("html", "body") and _has_mark(rest):
             marked = _Marked(marked)
-        self.open.append(_Element(name, start, furniture, marked, len(self.found), inside))
+            self.classed.append(marked)
+        self.depths[name].append(len(self.open))
+        self.open.append(_Element(name, len(self.parents), furniture, marked, len(self.found), inside, f"{name} {rest}"))
+        self.parents.append(top.index)
+        self.marks.append(0)
 
-    def pop(self, end: int) -> None:
+    def pop(self) -> None:
         own = self.open.pop()
-        if own.first == len(self.found) or own.name in ("html", "body"):
-            return
-        line = own.name not in CONTAINERS
-        mark = xxhash.xxh3_64_intdigest(self.source[own.start : end]) >> 2 << 1 | line
-        for block in self.found[own.first :]:
-            block[3].append(mark)
-
-    def close_to(self, depth: int, end: int) -> None:
+        self.depths[own.name].pop()
+        top, digest = self.open[-1], own.hash.intdigest()
+        top.hash.update(digest.to_bytes(8, "big"))
+        if own.marked is not top.marked and own.marked.above is not None:
+            own.marked.above.chars += own.marked.chars
+        if own.first != len(self.found) and own.name not in ("html", "body"):
+            self.marks[own.index] = digest >> 3 << 2 | (own.inside == 2) << 1 | (own.name not in CONTAINERS)
+
+    def close_to(self, depth: int) -> None:
         if any(e.name not in INLINE for e in self.open[depth:]):
             self.flush()
         while len(self.open) > depth:
-            self.pop(end)
+            self.pop()
 
-    def implied(self, name: str, at: int) -> None:
+    def last(self, names: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of one of the names, 0 for none."""
+        return max((self.depths[n][-1] for n in names if self.depths[n]), default=0)
+
+    def implied(self, name: str) -> None:
         """Close what the start of ``name`` ends: a paragraph, or an item of the same list or row."""
         if name in CLOSES_P:
             ends, walls = ("p",), ("td", "th", "button", "table")
@@ -180,16 +197,14 @@ class _Page:
             ends, walls = ("option",), ("select",)
         else:
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name in ends:
-                return self.close_to(depth, at)
-            if self.open[depth].name in walls:
-                return None
+        depth = self.last(ends)
+        if depth > self.last(walls):
+            self.close_to(depth)
 
     def scan(self) -> None:
         source, at = self.source, 0
         while (token := _TOKEN.match(source, at)) is not None:
-            start, at = at, token.end()
+            at = token.end()
             name = token["name"] or token["name2"]
             if name is None:
                 text = token[0]
@@ -198,96 +213,132 @@ class _Page:
                 continue
             name, rest = name.lower(), token["rest"] or token["rest2"] or ""
             if token["end"] or token["end2"]:
-                for depth in range(len(self.open) - 1, 0, -1):
-                    if self.open[depth].name == name:
-                        self.close_to(depth, at)
-                        break
+                if depth := self.last((name,)):
+                    self.close_to(depth)
                 continue
             if name in RAW:
                 if not rest.endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
-            self.implied(name, start)
+            self.implied(name)
             if name not in INLINE:
                 self.flush()
             elif name == "br":
                 self.read("\n")
             if name not in VOID and not rest.endswith("/"):
-                self.push(name, rest, start)
+                self.push(name, rest)
         self.flush()
         while len(self.open) > 1:
-            self.pop(len(source))
-
+            self.pop()
+
+
+    def main_text(self) -> str:
+        return "\n\n".join(b[0] for b in self.blocks if not b[2] and b[1] == self.main)
+
+    def subtrees(self) -> list[int]:
+        """The marks, without those that hold half of the main text."""
+        chars = [0] * len(self.parents)
+        for text, inside, furniture, element in self.blocks:
+            if not furniture and inside == self.main:
+                chars[element] += len(text)
+        for i in range(len(chars) - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+        held: defaultdict[int, int] = defaultdict(int)
+        for mark, n in zip(self.marks, chars):
+            held[mark] += n
+        return [m if m and 2 * held[m] < chars[0] or not chars[0] else 0 for m in self.marks]
+
+
+def left_of(page: dict, gone: set[int]) -> str:
+    """The main text that the page's blocks give without the subtrees whose marks are ``gone``."""
+    dead = [False]
+    for parent, mark in zip(page["parents"][1:], page["marks"][1:]):
+        dead.append(dead[parent] or mark in gone)
+    blocks = page["blocks"]
+    article = sum(len(t) for t, inside, _ in blocks if inside == 2)
+    copied = 2 * sum(len(t) for t, inside, e in blocks if inside == 2 and not dead[e]) <= article
+    left = [(t, inside) for t, inside, e in blocks if not dead[e] or (copied and inside == 2)]
+    main = max((inside for _, inside in left), default=0)
+    return "\n\n".join(t for t, inside in left if inside == main)
+
+
+def page_of(source: str | None) -> dict:
+    """Parents and marks of the elements, and (text, marked part, element) of the blocks that are not furniture."""
+    page = _Page(source or "")
+    return {"parents": page.parents, "marks": page.subtrees(), "blocks": [(t, i, e) for t, i, f, e in page.blocks if not f]}
 
-def page_subtrees(source: str | None) -> tuple[list[tuple[str, int, bool, list[int]]], str]:
-    """Blocks (text, the marked part it is in, furniture, marks) and the main text.
 
-    Marks name the subtrees that hold less than half of the main text, odd ones
-    single paragraphs."""
-    page = _Page(source or "")
-    main = [b for b in page.blocks if not b[2] and b[1] == page.main]
-    total = sum(len(b[0]) for b in main)
-    held: dict[int, int] = {}
-    for text, _, _, marks in main:
-        for mark in marks:
-            held[mark] = held.get(mark, 0) + len(text)
-    large = {m for m, n in held.items() if 2 * n >= total}
-    return [(t, i, f, [m for m in marks if m not in large]) for t, i, f, marks in page.blocks], "\n\n".join(b[0] for b in main)
-
-
-def page_blocks(source: str | None) -> list[tuple[str, list[int]]]:
-    """(text, marks) of the blocks that the page's own marks leave."""
-    blocks = [b for b in page_subtrees(source)[0] if not b[2]]
+def page_blocks(source: str | None) -> list[str]:
+    """The blocks that the page's own marks leave."""
+    blocks = page_of(source)["blocks"]
     main = max((b[1] for b in blocks), default=0)
-    return [(b[0], b[3]) for b in blocks if b[1] == main]
+    return [b[0] for b in blocks if b[1] == main]
+
+
+def _row_key(*values) -> tuple[int, int]:
+    """128 bits of a row's content: what it is found by after the second reading."""
+    raw = xxhash.xxh3_128_digest(repr(values).encode("utf-8", "surrogatepass"))
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
+_MARKED_ROW = "hi long, lo long, host string, print long, marks array<long>"
+_PACKED_ROW = "page_id long, url string, hi long, lo long, packed binary"
+
+
+def _marked(batches):
+    """Key, host, print of the main text and distinct marks of every page."""
+    for batch in in_slices(batches, 256):
+        rows = []
+        for page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            page = _Page(source or "")
+            print_ = xxhash.xxh3_64_intdigest(page.main_text().encode("utf-8", "surrogatepass")) >> 1
+            rows.append((*_row_key(page_id, url, source), host_of(url), print_, sorted(set(page.subtrees()) - {0})))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["hi", "lo", "host", "print", "marks"])
+
+
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in in_slices(batches, 256):
+        ids, urls, sources = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+        keys = [_row_key(*row) for row in zip(ids, urls, sources)]
+        made = [pack.compress(json.dumps(page_of(source)).encode()) for source in sources]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(made, pa.binary())],
+                                         ["page_id", "url", "hi", "lo", "packed"])
 
 
-_BLOCKS = "array<struct<text:string,inside:int,furniture:boolean,marks:array<bigint>>>"
+def _extracted(batches):
+    unpack = zstandard.ZstdDecompressor()
+    for batch in in_slices(batches, 256):
+        texts = [left_of(json.loads(unpack.decompress(p)), set(g or ())) for p, g in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                                         ["page_id", "url", "text", "n_chars"])
 
 
-def _parsed(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.int32()), ("furniture", pa.bool_()), ("marks", pa.list_(pa.int64()))]))
-    for batch in batches:
-        blocks, prints = [], []
-        for source in batch.column("html").to_pylist():
-            found, main = page_subtrees(source)
-            blocks.append([{"text": None if f else t, "inside": i, "furniture": f, "marks": m} for t, i, f, m in found])
-            prints.append(xxhash.xxh3_64_intdigest(main.encode("utf-8", "surrogatepass")) >> 1)
-        hosts = [host_of(u) for u in batch.column("url").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(blocks, kind)],
-            ["page_id", "url", "host", "print", "blocks"])
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """uid, page_id, url, host, print of the main text and blocks of every row, as a written table."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = rows.mapInArrow(_parsed, f"page_id long, url string, host string, print long, blocks {_BLOCKS}")
-    return written(found.withColumn("uid", F.monotonically_increasing_id()), "html-blocks")
+def marks_of(pages: DataFrame) -> DataFrame:
+    """Key, host, print of the main text and marks of every row, as a written table."""
+    return written(_pages(pages).mapInArrow(_marked, _MARKED_ROW), "html-marks")
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """(host, mark) of the subtrees that recur on several pages of their host."""
-    marks = parsed.select("host", "print", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark"))
+def templates(marked: DataFrame) -> DataFrame:
+    """(host, mark) of the subtrees that recur on several pages of their host and in no other host's articles."""
+    marks = marked.select("host", "print", F.explode("marks").alias("mark"))
     counted = marks.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= F.when(F.col("mark") % 2 != 0, LINE_PAGES).otherwise(PAGES)).select("host", "mark")
+    found = counted.where(F.col("n") >= F.when(F.col("mark") % 2 != 0, LINE_PAGES).otherwise(PAGES)).select("host", "mark")
+    quoted = counted.where("mark & 2 <> 0").groupBy("mark").agg(F.count(F.lit(1)).alias("hosts")).where("hosts > 1")
+    return found.join(quoted, "mark", "left_anti").select("host", "mark")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
-    parsed = parse(pages)
-    # Furniture goes anyway, so only the other blocks meet the templates.
-    shown = F.expr("array_distinct(flatten(filter(blocks, b -> not b.furniture).marks))")
-    own = parsed.select("uid", "host", F.explode(shown).alias("mark"))
-    gone = own.join(templates(parsed), ["host", "mark"]).groupBy("uid").agg(F.collect_set("mark").alias("gone"))  # at most the marks of one page
-    gone = written(gone, "html-gone")  # of known size: texts are shuffled only where it is large
-    rows = parsed.join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
-    rows = rows.withColumn("left", F.expr("filter(blocks, b -> not arrays_overlap(b.marks, gone))"))
-    article = "aggregate(filter({0}, b -> b.inside = 2 and not b.furniture), 0L, (n, b) -> n + length(b.text))"
-    rows = rows.withColumn("copied", F.expr(f"2 * {article.format('left')} <= {article.format('blocks')}"))
-    rows = rows.withColumn("left", F.expr("filter(if(copied, filter(blocks, b -> b.inside = 2 or not arrays_overlap(b.marks, gone)), left), b -> not b.furniture)"))
-    rows = rows.withColumn("main", F.expr("array_max(transform(left, b -> b.inside))"))
-    text = F.expr("array_join(transform(filter(left, b -> b.inside = main), b -> b.text), '\n\n')")
-    out = rows.select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    marked = marks_of(pages)
+    own = marked.select("hi", "lo", "host", F.explode("marks").alias("mark"))
+    gone = own.join(templates(marked), ["host", "mark"]).groupBy("hi", "lo").agg(F.collect_set("mark").alias("gone"))  # at most the marks of one page
+    gone = written(gone, "html-gone")  # of known size: pages are shuffled only where it is large
+    packed = _pages(pages).mapInArrow(_packed, _PACKED_ROW)
+    return packed.join(gone, ["hi", "lo"], "left").select("page_id", "url", "packed", "gone").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -47,7 +47,7 @@ def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products for every fiftieth vector."""
     rows = read(spark, sf_dir, "embeddings")
-    return vector_search.inner_products(rows, rows.where("vec_id % 50 = 0"), 5)
+    return vector_search.inner_products(rows, rows.where("vec_id % 50 = 0"), 5).withColumn("score", F.col("score").cast("long"))
 
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

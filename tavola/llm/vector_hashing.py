@@ -10,11 +10,12 @@ What is retrieved is filtered by the whole code and ranked by the exact
 distance of the original vectors. The radius is the least that holds the
 nearest neighbours of sampled queries for ``RECALL`` of them, measured by
 brute force within the sample; fewer rows mean farther neighbours, so it errs
-on the wide side. A query that retrieves fewer than k rows of a task's share
-is ranked over that whole share, so results are never short.
+on the wide side. A query that retrieves fewer than k rows of a block is
+ranked over that whole block, so results are never short.
 
-Queries are taken in blocks of bounded size; a block is broadcast, every task
-searches its own rows for it and keeps k per query, and the best k remain.
+Rows and queries meet in blocks on the executors (see ``vector_blocks``): a
+block's substring indexes are built once and probed by every query, and the
+best k of all blocks remain.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part. Vectors of another length than the sample's take no part either.
@@ -25,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.llm.vector_blocks import BLOCK_ROWS, met, searched, top_k, vectors_of
+
 SAMPLE_ROWS = 4096
 SAMPLE_QUERIES = 256
 RECALL = 0.985
-BLOCK_QUERIES = 8192
 BITS = 8
 _SCHEMA = "query_id long, vec_id long, score double"
 
@@ -120,62 +122,49 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], scores[near]))[:k]]
 
 
+class Block:
+    """The rows of a block, their codes' substring indexes, and the queries' distances."""
+
+    def __init__(self, rows: pa.Table, model: dict) -> None:
+        self.model, self.ids, self.vectors = model, rows.column("vec_id").to_numpy(), matrix(rows.column("embedding").combine_chunks())
+        self.index = SubstringIndex(codes(self.vectors, model["mean"], model["rotation"]))
+
+    def best(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.index.within(code, self.model["radius"])
+        at = at[self.ids[at] != query_id]
+        if len(at) < k:
+            at = np.flatnonzero(self.ids != query_id)
+        score = distances(self.vectors[at], query)
+        best = _best(self.ids[at], score, k)
+        return self.ids[at][best], score[best]
+
+
 def _searched(shared, k: int):
     def run(batches):
         model = shared.value
-        for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
-            if not len(ids):
-                continue
-            vectors = matrix(batch.column("embedding"))
-            index = SubstringIndex(codes(vectors, model["mean"], model["rotation"]))
-            out: list[tuple[np.ndarray, ...]] = []
-            for query_id, query, code in zip(model["ids"], model["vectors"], model["codes"]):
-                at = index.within(code, model["radius"])
-                at = at[ids[at] != query_id]
-                if len(at) < k:
-                    at = np.flatnonzero(ids != query_id)
-                score = distances(vectors[at], query)
-                best = _best(ids[at], score, k)
-                out.append((np.full(len(best), query_id), ids[at][best], score[best]))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+        for block, asked in searched(batches, lambda rows: Block(rows, model)):
+            queries = matrix(asked.column("embedding"))
+            found = [block.best(i, q, c, k) for i, q, c in zip(asked.column("vec_id").to_numpy(), queries, codes(queries, model["mean"], model["rotation"]))]
+            owner = np.repeat(asked.column("vec_id").to_numpy(), [len(ids) for ids, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([ids for ids, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, s in found]), pa.float64())],
+                                             ["query_id", "vec_id", "score"])
     return run
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = SAMPLE_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found
     for every row of ``queries``; both tables have ``vec_id`` and ``embedding``."""
     spark = corpus.sparkSession
-    rows = corpus.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows, asked = vectors_of(corpus, usable()), vectors_of(queries, usable())
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()  # the bounded sample
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sample.num_rows == 0:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = sample.column("embedding").combine_chunks()
     lengths = np.diff(first.offsets.to_numpy())
     dim = int(np.bincount(lengths).argmax())
     known = matrix(first.filter(pa.array(lengths == dim)))
     mean, rotation = learn_rotation(known)
-    radius = choose_radius(known, codes(known, mean, rotation), k)
+    model = {"mean": mean, "rotation": rotation, "radius": choose_radius(known, codes(known, mean, rotation), k)}
     rows, asked = (x.where(F.size("embedding") == dim) for x in (rows, asked))
-    blocks = -(-asked.count() // block_queries)
-    if not blocks:
-        return empty
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()  # block_queries rows on average
-        vectors = matrix(own.column("embedding").combine_chunks())
-        model = {"mean": mean, "rotation": rotation, "radius": radius, "ids": own.column("vec_id").to_numpy(), "vectors": vectors,
-                 "codes": codes(vectors, mean, rotation) if len(vectors) else np.zeros((0, 1), np.uint8)}
-        part = rows.mapInArrow(_searched(spark.sparkContext.broadcast(model), k), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
+    found = met(rows, asked, block_rows).mapInArrow(_searched(spark.sparkContext.broadcast(model), k), _SCHEMA)
     return top_k(found, k, F.col("score").asc())
-
-
-def top_k(found: DataFrame, k: int, order: Column) -> DataFrame:
-    """The first k of each query, by ``order`` and then the smaller vec_id. Tasks
-    keep k of their own rows first, so no query's candidates meet whole."""
-    by = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.compare import compare
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.conftest import ODD, frame
@@ -27,8 +30,9 @@ def article_of(source):
     return "\n\n".join(t for t in texts if t)
 
 
-def test_provided_pages_give_their_articles(shared):
-    pages = read(shared, SF_ORACLE, "pages")
+@pytest.mark.parametrize("sf_dir", [SF_ORACLE, "/root/testdata/sf0.1"])
+def test_provided_pages_give_their_articles(shared, sf_dir):
+    pages = read(shared, sf_dir, "pages")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
     for r in pages.collect():
         assert got[r["page_id"]] == (article_of(r["html"]), len(article_of(r["html"])))
@@ -47,7 +51,7 @@ def test_recurring_subtrees_go_and_content_stays(shared):
 
 
 def test_marked_furniture_and_broken_markup():
-    text = lambda s: [t for t, _ in html_text.page_blocks(s)]
+    text = html_text.page_blocks
     assert text("<article><header><h1>T</h1></header><p>x<a href='a>b'>y</a>z<p>a &lt; b&nbsp;&amp c<br>d<div class=comments>no</div></article><main>q</main>") == ["T", "xyz", "a < b & c d"]
     assert text("<div class='side-menu'>m</div><form>f</form><aside>n</aside><script>if (a<b) '</p>'</script><ul><li>1<li>2</ul><footer>z</footer><!-- c") == ["1", "2"]
     assert text("<div hidden>h</div><p style='display:none'>n</p><p>a <b>bold</i> text</b></p><a hre") == ["a bold text"] and text(None) == []
@@ -55,19 +59,46 @@ def test_marked_furniture_and_broken_markup():
 
 
 def test_what_a_host_repeats_inside_its_articles_goes(shared):
-    page = "<body><nav>menu</nav><article><h1>T{i}</h1><p>text {i} of some length, all of it its own</p><p>read our other news</p></article><div>foot</div></body>"
-    pages = [(i, "http://h.example/x", page.format(i=i)) for i in range(6)] + [(50 + i, f"http://h{i}.example/x", page.format(i=i)) for i in range(6)]
-    pages += [(200 + i, "http://big.example/x", page.format(i=i) if i < 6 else f"<article><p>only {i}</p></article>") for i in range(60)]
-    pages += [(300 + i, "http://copy.example/x", page.format(i=7)) for i in range(6)]
+    page = "<body><nav>menu</nav><article><h1>T{i}</h1><p>text {i} of some length, all of it its own</p><p>{note}</p></article><div>foot</div></body>"
+    note, quoted = "read our other news", "released under a licence"
+    pages = [(i, "http://h.example/x", page.format(i=i, note=note)) for i in range(6)] + [(50 + i, f"http://h{i}.example/x", page.format(i=i, note=f"note {i}")) for i in range(6)]
+    pages += [(200 + i, "http://big.example/x", page.format(i=i, note="all our news") if i < 6 else f"<article><p>only {i}</p></article>") for i in range(60)]
+    pages += [(300 + i, "http://copy.example/x", page.format(i=7, note="a copied note")) for i in range(6)]
     pages += [(400 + i, "http://near.example/x", f"<article><h1>{i}</h1><p>one of two paragraphs</p><p>two of two paragraphs</p></article>") for i in range(6)]
+    # What articles of two hosts hold is quoted, however often; outside of articles it says nothing of another host.
+    pages += [(500 + 10 * h + i, f"http://q{h}.example/x", page.format(i=f"{h}-{i}", note=quoted)) for h in range(2) for i in range(6)]
+    pages += [(600 + i, "http://plain.example/x", f"<body><div><h1>P{i}</h1><p>text {i} of some length, all of it its own</p></div><div><p>{quoted}</p></div></body>") for i in range(6)]
     text = {r["page_id"]: r["text"] for r in html_text.extract(shared.createDataFrame(pages, PAGE)).collect()}
     own = lambda i: f"T{i}\n\ntext {i} of some length, all of it its own"
-    assert text[3] == text[203] == own(3) and text[53] == own(3) + "\n\nread our other news" and text[210] == "only 10"
-    assert text[302] == own(7) + "\n\nread our other news" and text[404] == "4\n\none of two paragraphs\n\ntwo of two paragraphs"
+    assert text[3] == text[203] == own(3) and text[53] == own(3) + "\n\nnote 3" and text[210] == "only 10"
+    assert text[302] == own(7) + "\n\na copied note" and text[404] == "4\n\none of two paragraphs\n\ntwo of two paragraphs"
+    assert text[503] == own("0-3") + "\n\n" + quoted and text[512] == own("1-2") + "\n\n" + quoted
+    assert text[603] == "P3\n\ntext 3 of some length, all of it its own"
+
+
+def test_pages_are_the_same_where_the_templates_are_not_broadcast(shared):
+    pages = read(shared, SF_SMALL, "pages")
+    want = sorted(tuple(r) for r in html_text.extract(pages).collect())
+    held = {k: shared.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in held:
+            shared.conf.set(k, "-1")
+        assert sorted(tuple(r) for r in html_text.extract(pages.withColumn("hi", F.lit(1)).withColumn("gone", F.lit(1)).withColumn("host", F.lit(1))).collect()) == want
+    finally:
+        for k, v in held.items():
+            shared.conf.unset(k) if v is None else shared.conf.set(k, v)
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    started = time.process_time()
+    for source in ("<div class=x>a" * n, "<p>" * n + "x", "<ul><li class=ad>b" * n, "<td>a" * n, "<b>" * n + "x" + "</i>" * n):
+        assert html_text.page_of(source)["blocks"]
+    assert time.process_time() - started < 60
 
 
 def test_class_words_do_not_take_out_the_main_text():
-    text = lambda s: [t for t, _ in html_text.page_blocks(s)]
+    text = html_text.page_blocks
     own = "<p>a text of some length</p>"
     for page in (f"<div class='layout has-sidebar'><article>{own}</article></div>", f"<article class='post comments-open'>{own}</article>",
                  f"<article class=commentary>{own}</article>", f"<div id='search-results'><h1></h1>{own}</div><p>end</p>", f"<div class=menu><main role=\"main\" class=overlay>{own}</main></div>"):
@@ -90,7 +121,7 @@ def test_inner_products_are_exact(shared):
     df, rows, odd = vectors(shared)
     every = rows + [o for o in odd if o[0] in (-200, -800, -900)]
     ids, own = np.array([r[0] for r in every]), np.floor(256 * np.array([r[1] for r in every], np.float64)).astype(np.int64)
-    got = vector_search.inner_products(df, df.where("vec_id % 50 = 0"), 5, block_queries=5)
+    got = vector_search.inner_products(df, df.where("vec_id % 50 = 0"), 5, block_rows=90)
     found = {}
     for r in got.collect():
         found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -101,12 +132,42 @@ def test_inner_products_are_exact(shared):
     assert set(found) == set(ids[ids % 50 == 0].tolist()) and vector_search.inner_products(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_small_remainders_and_large_vectors_keep_their_place(shared):
+    x = 2.0**19
+    rows = [(50, [2.0**13] * 8 + [2.0**12] * 8), (1, [x] * 8 + [1 / 256] * 8), (2, [x + 1 / 256] + [x] * 7 + [0.0] * 8)]
+
+    def best(own):
+        df = shared.createDataFrame(own, "vec_id long, embedding array<double>").coalesce(1)
+        return [(int(r["vec_id"]), int(r["score"])) for r in vector_search.inner_products(df, df.where("vec_id = 50"), 1).collect()]
+
+    assert best(rows) == [(1, 2251799822073856)]
+    assert best(rows + [(3, [2.0**20] * 16)]) == [(3, 24 * 2**21 * 2**20 * 256 // 2)]
+
+
+@pytest.mark.parametrize("power", [0, 5, 12, 15])
+def test_inner_products_of_any_magnitude(shared, power):
+    rng = np.random.default_rng(power)
+    size = 10.0 ** rng.uniform(-3, power, (400, 1))
+    vectors = rng.standard_normal((400, 24)) * size * 10.0 ** rng.uniform(-6, 0, (400, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(i, [0.0] * 24) for i in (1000, 1050)] + [(7, vectors[7].tolist())]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    df = shared.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.inner_products(df, df.where("vec_id % 50 = 0"), 5, block_rows=150).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], int(r["vec_id"]), int(r["score"])))
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
+    for q, own in whole:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:5]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
 def test_hashing_finds_the_nearest(shared):
     df, rows, odd = vectors(shared)
     every = rows + [o for o in odd if o[0] in (-800, -900)]
     ids, own = np.array([r[0] for r in every]), np.array([r[1] for r in every], np.float64)
     found = {}
-    for r in vector_hashing.nearest(df, df.where("vec_id % 100 = 0"), 10, block_queries=2).collect():
+    for r in vector_hashing.nearest(df, df.where("vec_id % 100 = 0"), 10, block_rows=1000).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = total = 0
     for i in np.flatnonzero(ids % 100 == 0):
