@@ -8,10 +8,14 @@ same on any engine that does exact decimal arithmetic.
 
 Types
 -----
-- inputs are exact to six decimal places (ratings have one, money has two);
+- inputs have at most six decimal places (ratings have one, money has two). A
+  double holds such a value to half its last bit, 2^-53 of it, and the split
+  into parts keeps what the double holds. The millionths are exact while that
+  is below half a millionth, i.e. for values under 4e9 (2^32 units); above,
+  each value may err by 2^-53 of itself, e.g. by 1e-6 at 1e10 and 1e-5 at
+  1e11, and a sum of n values by n times that;
 - a sum is accumulated as two BIGINT sums, the integer parts and the
-  fractional parts in millionths (``rint`` of the fraction, which is exact
-  for any value with at most six decimals), and turned into a
+  fractional parts in millionths (``rint`` of the fraction), and turned into a
   ``decimal(28,6)`` once per group. Long sums run in the code-generated
   hash aggregate; casting every double to a decimal and summing decimals
   costs about ten times as much per row. With ANSI on, an overflow raises

@@ -32,8 +32,8 @@ BEST_CUISINES_LIMIT = 20                 # Q8
 NICHE_CUISINES_COUNT = (2, 15)           # Q9, inclusive
 NICHE_CUISINES_MIN_AVG = 4.0             # Q9, on the raw average
 NICHE_CUISINES_LIMIT = 20                # Q9
-# Q10: lowest and highest cost of a bracket, and its label; anything else has the last label.
-COST_BRACKETS = ((-2147483648, 300, "0 - 300"), (301, 700, "301 - 700"), (701, 1500, "701 - 1500"))
+# Q10: lowest (None: no lowest) and highest cost of a bracket, and its label; anything else has the last label.
+COST_BRACKETS = ((None, 300, "0 - 300"), (301, 700, "301 - 700"), (701, 1500, "701 - 1500"))
 COST_BRACKET_TOP = "1500+"
 PREMIUM_PRICE_CATEGORIES = ("High", "Very High")   # Q11
 PREMIUM_MIN_AVG = 4.0                    # Q11, on the rounded average
@@ -43,6 +43,8 @@ BUSY_MIN_COUNT = 20                      # Q12
 BUSY_MAX_AVG = 3.9                       # Q12, on the rounded average, strict
 SUCCESS_MIN_COUNT = 10                   # Q14
 SUCCESS_LIMIT = 20                       # Q14
+#: Q15: price categories whose maxima fit a map that every task holds.
+MAX_PRICE_CATEGORIES = 1000
 
 
 def _key(col: str, alias: str) -> Column:
@@ -178,7 +180,8 @@ def q9_niche_cuisines(r: DataFrame, count_range: tuple[int, int] = NICHE_CUISINE
 
 def cost_bracket_sql(cost: str = "approx_cost_for_two") -> str:
     """Q10's bracket of a cost. Fractional costs between brackets fall to the top label."""
-    tests = " ".join(f"WHEN {cost} >= {low} AND {cost} <= {high} THEN {sql_string(label)}" for low, high, label in COST_BRACKETS)
+    above = lambda low: "" if low is None else f"{cost} >= {low} AND "
+    tests = " ".join(f"WHEN {above(low)}{cost} <= {high} THEN {sql_string(label)}" for low, high, label in COST_BRACKETS)
     return f"CASE {tests} ELSE {sql_string(COST_BRACKET_TOP)} END"
 
 
@@ -240,18 +243,19 @@ def q14_success_factors(r: DataFrame, min_count: int = SUCCESS_MIN_COUNT,
 def q15_top_per_price(r: DataFrame) -> DataFrame:
     """Q15: every listing whose rating equals its price category's maximum (ties kept).
 
-    The maximum per category is a tiny aggregate (one row per category). Its
-    smallest value, a scalar, bounds every answer from below, so listings under
-    it are dropped before the join on (category, rate) and its shuffle. A
+    The maxima are one small map (a row per category), taken as a scalar: every
+    listing is held against its own category's entry where it is scanned, so
+    there is no join, and only the answer is shuffled, for the sort. A
     ``rank()`` window instead would sort every listing inside a handful of
-    partitions, one per category.
+    partitions, one per category. Price categories are labels; more than
+    ``MAX_PRICE_CATEGORIES`` of them are an error, so the map stays small.
     """
     base = r.where(not_null("rate", "price_category")).selectExpr(
         "price_category AS Price_Category", "name AS Restaurant", "location AS Location",
         "rate AS Rating", "votes AS Votes", "approx_cost_for_two AS Cost_for_Two")
-    best = base.groupBy("Price_Category").agg(e("max(Rating)", "Rating"))
-    near = base.where(F.col("Rating") >= best.agg(e("min(Rating)", "floor")).scalar())
-    return (near.join(best, on=["Price_Category", "Rating"], how="inner")
-                .selectExpr("Price_Category", "Restaurant", "Location", "Rating", "Votes",
-                            "Cost_for_Two")
+    best = base.groupBy("Price_Category").agg(e("max(Rating)", "top"))
+    tops = best.agg(F.expr(f"""if(count(1) <= {MAX_PRICE_CATEGORIES},
+        map_from_entries(collect_list(struct(Price_Category, top))),
+        raise_error('more than {MAX_PRICE_CATEGORIES} price categories'))""").alias("tops")).scalar()
+    return (base.where(F.col("Rating") == tops[F.col("Price_Category")])
                 .orderBy(asc("Price_Category"), desc("Votes"), asc("Restaurant"), asc("Location")))

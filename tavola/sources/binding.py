@@ -27,7 +27,9 @@ ORDERS_SCHEMA = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
 # The rules of the binding (see FIXTURES.md).
 #   rate     = (18 + least(31, (brand number % 8) * 4 + key % 8)) / 10, NULL every 13th key
 #   cost     = 40 + (key * 37) % 5961, NULL every 89th key
-#   location = brand, NULL every 101st key; cuisines NULL every 103rd key
+#   location = brand, NULL every 101st key; cuisines NULL every 103rd key,
+#   type every 107th, listed type every 109th
+#   order value NULL every 211th order, date every 223rd, restaurant every 227th
 #   discount = text 'maybe' (unmapped) every 97th order, 'Yes' when key % 10 < 4
 #   payment  = F -> Card, O -> Cash, P -> UPI
 _LISTING_EXPRS = {
@@ -39,21 +41,21 @@ _LISTING_EXPRS = {
              " / 10.0D END"),
     "votes": "CAST((p_partkey * 31) % 1000 AS INT)",
     "location": "CASE WHEN p_partkey % 101 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END",
-    "rest_type": "p_type",
+    "rest_type": "CASE WHEN p_partkey % 107 = 0 THEN CAST(NULL AS STRING) ELSE p_type END",
     "dish_liked": "CAST(NULL AS STRING)",
     "cuisines": ("CASE WHEN p_partkey % 103 = 0 THEN CAST(NULL AS STRING) "
                  "ELSE concat(p_name, ', ', p_type) END"),
     "approx_cost_for_two": ("CASE WHEN p_partkey % 89 = 0 THEN CAST(NULL AS INT) "
                             "ELSE CAST(40 + (p_partkey * 37) % 5961 AS INT) END"),
-    "listed_type": "p_type",
+    "listed_type": "CASE WHEN p_partkey % 109 = 0 THEN CAST(NULL AS STRING) ELSE p_type END",
     "listed_city": "p_brand",
 }
 
 _RAW_ORDER_EXPRS = {
     "order_id": "o_orderkey",
-    "restaurant_name": "concat('R', CAST(o_custkey AS STRING))",
-    "order_date": "o_orderdate",
-    "order_value": "o_totalprice",
+    "restaurant_name": "CASE WHEN o_orderkey % 227 = 0 THEN CAST(NULL AS STRING) ELSE concat('R', CAST(o_custkey AS STRING)) END",
+    "order_date": "CASE WHEN o_orderkey % 223 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) ELSE o_orderdate END",
+    "order_value": "CASE WHEN o_orderkey % 211 = 0 THEN CAST(NULL AS DOUBLE) ELSE o_totalprice END",
     "discount_used": ("CASE WHEN o_orderkey % 97 = 0 THEN 'maybe' "
                       "WHEN o_orderkey % 10 < 4 THEN 'Yes' ELSE 'No' END"),
     "payment_method": ("CASE o_orderstatus WHEN 'F' THEN 'Card' WHEN 'O' THEN 'Cash' "
@@ -83,13 +85,17 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as a raw listings file would read: text rating and cost,
     bracketed column names, no categories.
 
-    Rating ``4.1`` -> ``"4.1/5"`` (missing -> ``"NEW"``); cost ``1200`` ->
-    ``"1,200"`` (missing -> NULL).
+    Rating ``4.1`` -> ``"4.1/5"`` or ``"4.1 /5"`` (missing -> ``"NEW"``, ``"-"``,
+    ``"NaN/5"`` or empty); cost ``1200`` -> ``"1,200"``, ``" 1200 "`` or
+    ``"1200.0"`` (missing -> NULL, ``"on request"`` or empty).
     """
     exprs = dict(_LISTING_EXPRS)
     rate, cost = exprs.pop("rate"), exprs.pop("approx_cost_for_two")
-    exprs["rate"] = f"coalesce(concat(format_string('%.1f', {rate}), '/5'), 'NEW')"
-    exprs["approx_cost_for_two"] = f"format_number({cost}, 0)"
+    exprs["rate"] = (f"coalesce(concat(format_string('%.1f', {rate}), CASE WHEN p_partkey % 2 = 0 THEN ' /5' ELSE '/5' END),"
+                     " elt(CAST(p_partkey % 4 + 1 AS INT), 'NEW', '-', 'NaN/5', ''))")
+    exprs["approx_cost_for_two"] = (f"coalesce(CASE p_partkey % 3 WHEN 0 THEN concat(' ', CAST({cost} AS STRING), ' ')"
+                                    f" WHEN 1 THEN concat(CAST({cost} AS STRING), '.0') ELSE format_number({cost}, 0) END,"
+                                    " elt(CAST(p_partkey % 3 + 1 AS INT), NULL, 'on request', ''))")
     exprs["listed_in(type)"] = exprs.pop("listed_type")
     exprs["listed_in(city)"] = exprs.pop("listed_city")
     return _project(_read(spark, sf_dir, "part", PART_SCHEMA), exprs)
@@ -108,7 +114,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw orders with the date rendered as ISO text, for the date-parsing step."""
+    """Raw orders with the date rendered as text for the date-parsing step: ISO, with an offset in
+    every fifth; a missing one as text that is no date, in four ways."""
     exprs = dict(_RAW_ORDER_EXPRS)
-    exprs["order_date"] = "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    date = exprs["order_date"]
+    exprs["order_date"] = (f"coalesce(concat(date_format({date}, \"yyyy-MM-dd'T'HH:mm:ss\"), CASE WHEN o_orderkey % 5 = 0 THEN '+00:00' ELSE '' END),"
+                           " elt(CAST(o_orderkey % 4 + 1 AS INT), '05/01/2024', '', 'soon', '2023-02-31'))")
     return _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs)

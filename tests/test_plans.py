@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import __spark_entry__ as entry_module
 from tavola.plans.registry import QUERIES as OWN
 from tavola.operators import listings as L, orders as O
@@ -64,19 +66,27 @@ def test_dedup_checks_see_both_copies(spark):
         assert plan.count("FileScan") == 2, name
 
 
-def test_q15_shuffles_only_listings_at_the_bound(spark, tmp_path):
-    """Over a stored table with static broadcasts off, the bound is below the listings' exchange."""
+def test_q15_shuffles_only_its_answer(spark, tmp_path):
+    """Over a stored table: no join, and one exchange of listings, above the filter, for the sort."""
     from tavola.operators.listings import q15_top_per_price
 
     rows = [(f"R{i}", f"L{i % 7}", (18 + i % 32) / 10, i, 100, ("Cheap", "Low", "High")[i % 3]) for i in range(600)]
     path = str(tmp_path / "t")
-    spark.createDataFrame(rows, "name string, location string, rate double, votes int, approx_cost_for_two int, price_category string").write.parquet(path)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = q15_top_per_price(spark.read.parquet(path))
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Subquery" in plan and "rate" in plan.split(">= Subquery")[0].splitlines()[-1] or ">= Subquery" in plan
-        assert {r["Rating"] for r in df.collect()} == {4.9}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    schema = "name string, location string, rate double, votes int, approx_cost_for_two int, price_category string"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    df = q15_top_per_price(spark.read.parquet(path))
+    plan = _plan(df)
+    assert "Join" not in plan
+    main = plan.split("Subquery")[0] + plan.split("Subquery")[-1]
+    assert {r["Rating"] for r in df.collect()} == {4.9}
+    assert main.count("Exchange rangepartitioning") == 1
+
+
+def test_q15_holds_a_bounded_number_of_categories(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_PRICE_CATEGORIES", 2)
+    rows = [("A", "L", 4.0, 1, 100, c) for c in ("Cheap", "Low", "High")]
+    df = spark.createDataFrame(rows, "name string, location string, rate double, votes int, approx_cost_for_two int, price_category string")
+    with pytest.raises(Exception, match="more than 2 price categories"):
+        L.q15_top_per_price(df).collect()
+    assert L.q15_top_per_price(df.where("price_category <> 'Low'")).count() == 2
+    assert L.q15_top_per_price(df.limit(0)).count() == 0
