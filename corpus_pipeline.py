@@ -2,8 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read back as the next stage's ``docs``. All but the last return
-the columns they were given; where a stage changes ``text``, ``n_chars`` (if
-there) follows. Rows without a ``doc_id`` pass the stages that decide by id.
+the columns they were given, whatever their names; where a stage changes
+``text``, ``n_chars`` (if there) follows. Rows without a ``doc_id`` pass the
+stages that decide by id. A text all of whose lines stand in documents of
+smaller ids is left empty by line dedup; its row stays, links with nothing,
+and is packed as its closing id alone. An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -44,7 +47,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 1024 tokens (operator 10)."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 STAGES = [
