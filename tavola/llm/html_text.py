@@ -172,7 +172,7 @@ class _Page:
             self.marks[own.index] = digest >> 3 << 2 | (own.inside == 2) << 1 | (own.name not in CONTAINERS)
 
     def close_to(self, depth: int) -> None:
-        if any(e.name not in INLINE for e in self.open[depth:]):
+        if self.open[depth].name not in INLINE or any(e.name not in INLINE for e in self.open[depth + 1 :]):
             self.flush()
         while len(self.open) > depth:
             self.pop()
@@ -213,8 +213,8 @@ class _Page:
                 continue
             name, rest = name.lower(), token["rest"] or token["rest2"] or ""
             if token["end"] or token["end2"]:
-                if depth := self.last((name,)):
-                    self.close_to(depth)
+                if self.depths[name]:
+                    self.close_to(self.depths[name][-1])
                 continue
             if name in RAW:
                 if not rest.endswith("/"):

@@ -26,11 +26,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tavola.llm.common import ASCII_SPACE, with_fields, without, written
+from tavola.llm.common import ASCII_SPACE, fresh, with_fields, without, written
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 18
@@ -140,21 +140,21 @@ class CuckooFilter:
 
 
 def _postings(min_chars: int):
+    """The distinct line keys of every row, each with the row's other columns."""
     def run(batches):
         for batch in batches:
-            ids, hi, lo = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            rows, pairs = [], [np.zeros((0, 2), np.int64)]
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
                 if doc is None:
                     continue
                 keys = {line_key(x, min_chars) for x in _utf8(text).split(b"\n")}
                 keys.discard(None)
                 if keys:
-                    pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                    ids.append(np.full(len(pair), doc, np.int64))
-                    hi.append(pair[:, 0])
-                    lo.append(pair[:, 1])
-            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(x)) for x in (ids, hi, lo)], ["doc_id", "hi", "lo"])
+                    pairs.append(np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2))
+                    rows.append(np.full(len(keys), i))
+            at, found = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), np.concatenate(pairs)
+            own = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(n).take(at) for n in own] + [pa.array(found[:, 0]), pa.array(found[:, 1])], [*own, *_KEY])
     return run
 
 
@@ -164,6 +164,10 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.mapInArrow(_postings(min_chars), "doc_id long, hi long, lo long")
 
 
+def _text_print(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
@@ -177,17 +181,20 @@ class LineIndex:
     filters: DataFrame
     shards: int
     min_chars: int = MIN_CHARS
+    keys_per_shard: int = KEYS_PER_SHARD
+    repeats: bool = False  # whether a doc_id was on several rows
 
     @staticmethod
     def build(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
         """Index of all of ``docs``; the number of shards follows the number of shared keys."""
         refs = written(postings(docs, min_chars), "line-refs")
-        single = refs.groupBy("doc_id", *_KEY).agg(F.lit(1).alias("one")) if _has_repeats(docs) else refs
+        repeats = _has_repeats(docs)
+        single = refs.groupBy("doc_id", *_KEY).agg(F.lit(1).alias("one")) if repeats else refs
         counts = written(_counted(single), "line-counts")
         shared = counts.where("n_docs >= 2")
         shards = max(1, -(-shared.count() // keys_per_shard))
         filters = written(_in_shards(shared, shards).groupBy("shard").applyInArrow(_built, _FILTER), "line-filters")
-        return LineIndex(refs if single is refs else written(single.select("doc_id", *_KEY), "line-refs"), counts, filters, shards, min_chars)
+        return LineIndex(written(single.select("doc_id", *_KEY), "line-refs") if repeats else refs, counts, filters, shards, min_chars, keys_per_shard, repeats)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index after adding documents; postings it already has are left alone."""
@@ -214,6 +221,10 @@ class LineIndex:
         counts = self.counts.join(delta, _KEY, "left_anti").unionByName(
             delta.where("n_docs > 0").select(*_KEY, "n_docs", "first_doc"))
         counts = written(counts, "line-counts")
+        shards = -(-counts.where("n_docs >= 2").count() // self.keys_per_shard)
+        if shards > 2 * self.shards:  # the shards have outgrown their size: deal all shared keys anew
+            filters = _in_shards(counts.where("n_docs >= 2"), shards).groupBy("shard").applyInArrow(_built, _FILTER)
+            return replace(self, refs=written(refs, "line-refs"), counts=counts, filters=written(filters, "line-filters"), shards=shards)
         shared = _in_shards(counts.where("n_docs >= 2"), self.shards)
         room = self.filters.select("shard", (F.length("cells") / 2 * CuckooFilter.LOAD).alias("room"))
         full = shared.groupBy("shard").count().join(room, "shard", "left").where("room is null or count > room").select("shard")
@@ -224,8 +235,8 @@ class LineIndex:
         rebuilt = shared.join(full, "shard", "left_semi").select("shard", *_KEY).groupBy("shard").applyInArrow(_built, _FILTER)
         return replace(self, refs=written(refs, "line-refs"), counts=counts, filters=written(changed.unionByName(rebuilt), "line-filters"))
 
-    def drops(self, refs: DataFrame | None = None) -> DataFrame:
-        """(doc_id, keys): the line keys each document loses, 16 bytes each, joined."""
+    def lost(self, refs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, hi, lo): the line keys that documents lose."""
         refs = self.refs if refs is None else refs
         salts = salts_for(refs.count(), self.shards)
         salt = F.pmod(F.xxhash64("doc_id", *_KEY), F.lit(salts)).cast("int").alias("salt")
@@ -236,9 +247,20 @@ class LineIndex:
         dealt = rows.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
         hits = dealt.mapInArrow(_probed, "doc_id long, hi long, lo long")
         shared = self.counts.where("n_docs >= 2").select(*_KEY, "first_doc")
-        lost = hits.join(shared, _KEY).where(F.col("doc_id") > F.col("first_doc"))
-        pair = F.struct(*_KEY)
-        return lost.groupBy("doc_id").agg(F.collect_list(pair).alias("keys"))  # at most the lines of one document
+        return hits.join(shared, _KEY).where(F.col("doc_id") > F.col("first_doc")).select("doc_id", *_KEY)
+
+    def drops(self, docs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, print, keys): the line keys that documents lose; a null ``print`` is for all rows of the id.
+
+        Given ``docs`` whose ids repeat, each text has a list of its own, no longer than its lines.
+        """
+        lost, own = self.lost(), F.lit(None).cast("long").alias("print")
+        if docs is not None and self.repeats:
+            rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            rows = rows.withColumn("print", _text_print(F.col("text"))).select("doc_id", "print", "text")
+            each = rows.mapInArrow(_postings(self.min_chars), "doc_id long, print long, hi long, lo long").distinct()
+            lost, own = each.join(lost, ["doc_id", *_KEY]), F.col("print")
+        return lost.groupBy("doc_id", own).agg(F.collect_list(F.struct(*_KEY)).alias("keys"))
 
 
 _FILTER = "shard int, cells binary"
@@ -334,9 +356,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: int
     """
     docs = without(docs, "n_lines", "n_dropped")
     index = LineIndex.build(docs, min_chars, keys_per_shard)
-    drop = "__dropped_keys"
-    lost = index.drops().select(F.col("doc_id").alias("__of_doc"), F.col("keys").alias(drop))
+    drop, of_doc, of_text = (fresh(n, docs) for n in ("dropped_keys", "of_doc", "of_text"))
+    lost = index.drops(docs).select(F.col("doc_id").alias(of_doc), F.col("print").alias(of_text), F.col("keys").alias(drop))
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    joined = rows.join(lost, rows["doc_id"].cast("long") == lost["__of_doc"], "left").drop("__of_doc")
+    same = rows["doc_id"].cast("long") == lost[of_doc]
+    if index.repeats:
+        same = same & (_text_print(rows["text"]) == lost[of_text])
+    joined = rows.join(lost, same, "left").drop(of_doc, of_text)
     schema = with_fields(docs.schema, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()))
     return joined.mapInArrow(_rewritten(min_chars, drop), schema)

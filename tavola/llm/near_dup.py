@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import hashed_words, in_slices, mixed, written
+from tavola.llm.common import fresh, hashed_words, in_slices, mixed, written
 from tavola.llm.components import components, stars
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 4, 8
@@ -524,5 +524,6 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
 def without_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of every component; rows without a ``doc_id`` stay."""
     found = near_duplicates(docs, words, similarity)
-    gone = found.where(~F.col("kept")).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    name = fresh("gone", docs)
+    gone = found.where(~F.col("kept")).where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -16,6 +16,8 @@ document that meet in a window are put together again.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -125,6 +127,27 @@ def _chunk_ids(chunks: pa.Array, encode, lengths: np.ndarray) -> tuple[np.ndarra
     return np.concatenate([ids, *others]), np.stack([starts, counts])
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The tokens that a tokenizer file adds to its vocabulary, which it finds in any text."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def with_added(texts: pa.Array, ranks_path: str, pattern: str, added: dict[str, int]) -> list[np.ndarray]:
+    """The ids of every text, in which each of the ``added`` tokens has its own id; what is between them is encoded apart."""
+    if not added:
+        return batch_ids(texts, ranks_path, pattern)
+    any_of = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    has = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), any_of.pattern), False).to_numpy(zero_copy_only=False)
+    out = batch_ids(pc.if_else(pa.array(~has), texts, pa.scalar(None, texts.type)), ranks_path, pattern)
+    for i in np.flatnonzero(has):
+        parts = any_of.split(texts[i].as_py())
+        plain = batch_ids(pa.array(parts[::2], texts.type), ranks_path, pattern)
+        marks = [np.array([added[t]], np.uint32) for t in parts[1::2]] + [np.zeros(0, np.uint32)]
+        out[i] = np.concatenate([x for pair in zip(plain, marks) for x in pair])
+    return out
+
+
 def batch_ids(texts: pa.Array, ranks_path: str, pattern: str) -> list[np.ndarray]:
     """The ids of every text; each distinct space-delimited chunk of the batch is encoded once.
 
@@ -209,11 +232,12 @@ class _Packer:
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, window: int = WINDOW,
-         piece_tokens: int = PIECE_TOKENS, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+         piece_tokens: int = PIECE_TOKENS, group_windows: int = GROUP_WINDOWS, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of a document: where it comes from and where it lies.
 
     ``start`` and ``length`` place it in its document's ``doc_tokens`` ids
     (``end_id`` closes each), ``sequence_id`` and ``offset`` in its window.
+    ``added`` tokens (see ``added_tokens``) have their own ids wherever they stand.
     A null or empty text is the end id alone; a null ``doc_id`` stays null;
     repeated rows are packed each. Sequence ids are unique, not dense. A lost
     task is repeated over the same split and gives the same rows.
@@ -225,7 +249,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, window
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 some = batch.slice(at, BATCH_ROWS)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), batch_ids(some.column("text"), ranks_path, pattern)):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), with_added(some.column("text"), ranks_path, pattern, added or {})):
                     packer.add(doc_id, ids.astype("<u4", copy=False).tobytes() + end)
                 yield packer.take()
         packer.flush()

@@ -12,7 +12,7 @@ import corpus_pipeline
 from tavola.llm import byte_bpe, divergence, html_text, importance, line_dedup, lm_scoring, near_dup, packing, secrets, simhash, toxicity, vector_hashing, vector_search
 from tavola.llm.common import read
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Words of a shingle in the queries of operators 9 and 13.
 QUERY_SHINGLE_WORDS = 4
 
@@ -67,7 +67,8 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document is packed."""
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path(TOKENIZER))
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, added=added)
 
 
 def op11_cube_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,22 +98,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
               op13_covering_hashing, pipeline)
 }
 
-_OP1 = rf"""
+_OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS t FROM documents),
-p(kind, pat) AS (VALUES (0, '{secrets.ASSIGN.replace("'", "''")}'), (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_-]+')),
+p(kind, pat) AS (VALUES (0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_-]+')),
 m AS (SELECT uid, doc_id, source, kind, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS ss FROM d, p WHERE regexp_matches(t, pat)),
 u AS (SELECT uid, doc_id, source, kind, unnest(ms) AS v, unnest(ss[1:len(ms)]) AS s, generate_subscripts(ms, 1) AS i FROM m),
 w AS (SELECT *, sum(length(s)) OVER a + sum(length(v)) OVER a - length(v) AS lo,
-      CASE WHEN kind = 0 THEN regexp_extract(v, '{secrets.ASSIGN.replace("'", "''")}', 2) ELSE v END AS val
+      CASE WHEN kind = 0 THEN regexp_extract(v, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE v END AS val
       FROM u WINDOW a AS (PARTITION BY uid, kind ORDER BY i)),
 k AS (SELECT uid, doc_id, source, kind, lo::BIGINT AS lo, (lo + length(v))::BIGINT AS hi, val FROM w
       WHERE length(val) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 ELSE 20 END
       AND (kind < 3 OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')))),
 c AS (SELECT * FROM k x WHERE kind < 3 OR NOT EXISTS (
       SELECT 1 FROM k b WHERE b.uid = x.uid AND b.kind < 3 AND b.lo < x.hi AND x.lo < b.hi)),
-f AS (SELECT val, count(DISTINCT source) >= {secrets.COPIED_OWNERS} OR count(DISTINCT doc_id) >= {secrets.COPIED_REPOSITORIES} AS copied FROM c GROUP BY val),
+f AS (SELECT val, count(DISTINCT source) >= 3 OR count(DISTINCT doc_id) >= 25 AS copied FROM c GROUP BY val),
 j AS (SELECT c.*, copied, NOT copied AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
-      AND len(list_distinct(string_split(val, ''))) >= {secrets.LIVE_DISTINCT} AS live,
+      AND len(list_distinct(string_split(val, ''))) >= 8 AS live,
       (CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'opaque' END) || ':' || lo || ':' || hi AS span
       FROM c JOIN f USING (val))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

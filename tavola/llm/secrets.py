@@ -17,10 +17,10 @@ of the input other than the four named are not used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.llm.common import text_or_empty, written
+from tavola.llm.common import fresh, text_or_empty, written
 
 # Kinds in the order in which ties at one start are listed, their patterns and least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,22 +56,36 @@ def _matches(kind: str) -> tuple[Column, Column]:
             F.when(has, F.split("text", pattern, -1)).otherwise(none))
 
 
-def _spans(kind: str, found: Column, between: Column) -> Column:
-    """Each match with its place in code points: lengths of what stands before it, summed."""
-    pairs = F.zip_with(found, between, lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+def _cuts(kind: str, found: Column, between: Column) -> Column:
+    """Each match as a struct: code points between it and the one before, its own, and what becomes of it."""
+    pairs = F.zip_with(found, between, lambda m, s: F.struct(m.alias("m"), F.length(s).alias("gap")))
     pairs = F.filter(pairs, lambda p: p["m"].isNotNull())  # the last segment has no match after it
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        lo = acc["at"] + F.length(pair["s"])
-        hi = lo + F.length(pair["m"])
+    def cut(pair: Column) -> Column:
         value = F.regexp_extract(pair["m"], ASSIGN, 2) if kind == "assign" else pair["m"]
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), lo.alias("start"), hi.alias("end"),
-                        F.sha2(value, 256).alias("hash"), _looks_live(value).alias("live")).cast(_SPAN)
         keep = F.length(value) >= ASSIGN_CHARS if kind == "assign" else _mixed(value) if kind == "opaque" else F.lit(True)
-        return F.struct(hi.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), pair["gap"].alias("gap"), F.length(pair["m"]).alias("chars"),
+                        F.sha2(value, 256).alias("hash"), _looks_live(value).alias("live"), keep.alias("keep"))
+
+    return F.transform(pairs, cut)
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """(uid, base, opaque): spans of the rows that have any, in order. A span's place is a running sum over
+    its row's matches of the kind; opaque runs that overlap a base span are left out."""
+    own = found.where(F.size("cuts") > 0).select("uid", F.posexplode("cuts").alias("pos", "c")).select("uid", "pos", "c.*").repartition("uid")
+    before = Window.partitionBy("uid", "kind").orderBy("pos")
+    end = F.sum((F.col("gap") + F.col("chars")).cast("long")).over(before)
+    own = own.withColumn("end", end).withColumn("start", F.col("end") - F.col("chars")).where("keep")
+    # A base span that overlaps a run begins before the run's end, at or before its start or after it.
+    base, kind = F.col("kind") < KINDS.index("opaque"), F.col("kind")
+    up = Window.partitionBy("uid").orderBy("start", kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("uid").orderBy(F.col("start").desc(), kind.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("reached", F.max(F.when(base, F.col("end"))).over(up)).withColumn("next", F.min(F.when(base, F.col("start"))).over(down))
+    met = F.coalesce((F.col("reached") > F.col("start")) | (F.col("next") < F.col("end")), F.lit(False))
+    span = F.struct("start", "kind", "end", "hash", "live")  # sorts by start, then kind
+    in_order = lambda of: F.transform(F.sort_array(F.collect_list(F.when(of, span))), lambda s: F.struct(*[s[n].alias(n) for n in ("kind", "start", "end", "hash", "live")]).cast(_SPAN))
+    return own.groupBy("uid").agg(in_order(base).alias("base"), in_order(~base & ~met).alias("opaque"))
 
 
 def _mixed(value: Column) -> Column:
@@ -86,8 +100,7 @@ def _looks_live(value: Column) -> Column:
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: uid, doc_id, text_hash, owner, repository, and its ``base`` and ``opaque`` spans.
 
-    Opaque runs that overlap a base span are left out. The result is a
-    written table, so ``uid`` stays what it is.
+    The result is a written table, so ``uid`` stays what it is.
     """
     repo = F.col(repository) if repository in docs.columns else F.col("doc_id")
     own = F.col(owner) if owner in docs.columns else F.lit(None)
@@ -101,12 +114,11 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     for kind in KINDS:
         found[f"m_{kind}"], found[f"s_{kind}"] = _matches(kind)
     rows = rows.select(*columns, *[c.alias(n) for n, c in found.items()])
-    rows = rows.select(*columns, *[_spans(k, F.col(f"m_{k}"), F.col(f"s_{k}")).alias(k) for k in KINDS])
-    # Ties at one start stand in the order of the kinds: the struct sorts by (start, kind).
-    base = F.array_sort(F.concat("assign", "access", "hex"), _by_start)
-    rows = rows.select(*columns, base.alias("base"), "opaque")
-    clear = F.filter("opaque", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return written(rows.select(F.monotonically_increasing_id().alias("uid"), *columns, "base", clear.alias("opaque")), "secret-candidates")
+    cuts = F.concat(*[_cuts(k, F.col(f"m_{k}"), F.col(f"s_{k}")) for k in KINDS])
+    rows = written(rows.select(F.monotonically_increasing_id().alias("uid"), *columns, cuts.alias("cuts")), "secret-matches")
+    none = F.array().cast(f"array<{_SPAN}>")
+    spans = rows.drop("cuts").join(_placed(rows), "uid", "left")
+    return written(spans.select("uid", *columns, F.coalesce("base", none).alias("base"), F.coalesce("opaque", none).alias("opaque")), "secret-candidates")
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -158,9 +170,10 @@ def masked(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
     """
     found = scan(docs, owner, repository).where(F.size("spans") > 0)
     # Equal ids with equal texts have equal base spans; opaque ones are judged by value, so these agree as well.
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_or_empty()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    own_id, own_hash, own_spans, text_hash = (fresh(n, docs) for n in ("found_id", "found_hash", "found_spans", "text_hash"))
+    found = found.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.first("spans").alias(own_spans))
+    rows = docs.withColumn(text_hash, F.xxhash64(text_or_empty()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
     joined = rows.join(found, same, "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -170,5 +183,5 @@ def masked(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], cut, F.lit(MASK))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))
+    text = F.when(F.col(own_spans).isNull(), F.col("text")).otherwise(F.aggregate(own_spans, start, step, rest))
     return joined.withColumn("text", text).select(*docs.columns)

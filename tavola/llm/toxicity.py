@@ -8,13 +8,16 @@ training text the identity terms are swapped for others of their group, and
 the squared change of the score is added to the loss, so that a mention of a
 group cannot carry weight of its own even where the sample is biased.
 
-The fit uses a bounded sample of labelled rows, ``SAMPLE_ROWS`` of them, those
-of the smallest hash of their id. Its features are counted in Spark; the
-``FEATURES`` most telling ones go into the fit. Every whole text is scored.
+The fit uses a bounded sample of labels, ``SAMPLE_ROWS`` distinct pairs of id
+and label, those of the smallest hash of their id; an id that many rows hold
+gives the text of the smallest hash. Its features are counted in Spark; the
+``FEATURES`` most telling ones go into the fit, which bounds the model's width
+and no rows. Every whole text is scored.
 
 Defined results: a null or empty text scores as the base rate; a null label or
 a label of an unknown document teaches nothing; without labelled rows of both
-kinds every score is 0.
+kinds every score is below 1e-15. Repeated rows are scored each; other columns
+are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import in_slices
+from tavola.llm.common import in_slices, written
 
 SAMPLE_ROWS = 12_000
 FEATURES = 20_000
@@ -173,9 +176,11 @@ def fit(x: _Sparse, shift: _Sparse, y: np.ndarray, counterfactual: float = COUNT
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, width: int = FEATURES) -> tuple[dict[int, float], float]:
     """Feature weights and intercept from the labelled rows that are not held out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "toxic").limit(sample_rows)  # the bounded sample
+    sample = known.where(~held_out("id")).distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(sample_rows)  # the bounded sample
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = text.join(F.broadcast(sample), "id").select("id", "toxic", "text")  # at most sample_rows rows of two numbers
+    # An id on many rows gives one row, the text of the smallest hash, so the fit is bounded whatever repeats.
+    rows = written(rows.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "toxicity-sample")
     counts = rows.mapInArrow(_feature_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = rows.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sizes}
