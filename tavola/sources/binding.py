@@ -13,9 +13,13 @@ Only this module knows the test tables; the queries take role-shaped frames.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tavola.operators.cleaning import price_category_sql, rating_category_sql
+from tavola.session import shared_dir
 from tavola.sources.ingest import discount_code_sql
 
 # Layouts of the two provided tables that are read.
@@ -121,3 +125,34 @@ def orders_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     exprs["order_date"] = (f"coalesce(concat(date_format({date}, \"yyyy-MM-dd'T'HH:mm:ss\"), CASE WHEN o_orderkey % 5 = 0 THEN '+00:00' ELSE '' END),"
                            " elt(CAST(o_orderkey % 4 + 1 AS INT), '05/01/2024', '', 'soon', '2023-02-31'))")
     return _project(_read(spark, sf_dir, "orders", ORDERS_SCHEMA), exprs)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def listings_file(spark: SparkSession, sf_dir: str, bad_every: int | None = None) -> str:
+    """A folder of CSV files that holds the cleaned listings, quoted and with bracketed names; the cost
+    of every ``bad_every``-th key is no number."""
+    path, cost = _folder(spark, "listings-csv"), "CAST(approx_cost_for_two AS STRING)"
+    if bad_every:
+        cost = f"CASE WHEN CAST(split_part(name, ' ', -1) AS BIGINT) % {int(bad_every)} = 0 THEN 'on request' ELSE {cost} END"
+    rows = listings(spark, sf_dir).withColumn("approx_cost_for_two", F.expr(cost))
+    rows = rows.withColumnsRenamed({"listed_type": "listed_in(type)", "listed_city": "listed_in(city)"})
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("quoteAll", True).csv(path)
+    return path
+
+
+def orders_file(spark: SparkSession, sf_dir: str, bad_every: int | None = None) -> str:
+    """A folder of JSON Lines that holds the raw orders; the value of every ``bad_every``-th key is no number."""
+    path, value = _folder(spark, "orders-json"), "CAST(order_value AS STRING)"
+    if bad_every:
+        value = f"CASE WHEN order_id % {int(bad_every)} = 0 THEN 'many' ELSE {value} END"
+    rows = raw_orders(spark, sf_dir).withColumn("order_value", F.expr(value))
+    rows.withColumn("order_date", F.expr("date_format(order_date, \"yyyy-MM-dd'T'HH:mm:ss\")")).write.json(path)
+    return path
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for stored tables."""
+    return _folder(spark, "tables")

@@ -7,7 +7,9 @@ import pytest
 import __spark_entry__ as entry_module
 from tests.compare import compare
 from tests.conftest import SF_ORACLE, SF_SMALL
-from tavola.plans.registry import QUERIES as OWN
+from tavola.plans.registry import LOAD_QUERIES, QUERIES
+
+OWN = QUERIES | LOAD_QUERIES
 
 QUERIES = {name: fn for name, fn in entry_module.queries().items() if name in OWN}
 ORACLE = entry_module.oracle_sql()
