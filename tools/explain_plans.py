@@ -31,7 +31,7 @@ SELECTED = [
     ("q11_premium_locations", "restaurants", L.q11_premium_locations,
      "IN filter pushed to the scan; HAVING on the rounded average after the final aggregate."),
     ("q15_top_per_price", "restaurants", L.q15_top_per_price,
-     "Per-tier maximum joined back; adaptive execution broadcasts the measured tiny side."),
+     "Per-tier maxima as one map scalar: each listing is held against its own at the scan; no join, one exchange of the answer."),
     ("e1_filter_listings", "restaurants", explore.e1_filter_listings,
      "Filter pushed down; the only whole-row shuffle is the range-partitioned sort."),
     ("oq3_discount_share", "orders", O.oq3_discount_share,
