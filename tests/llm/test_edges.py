@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import ODD, frame
-from tests.llm.test_text_operators import PATTERN, RANKS, base_spans
+from tests.llm.test_text_operators import PATTERN, PATTERNS, RANKS, base_spans
 
 import corpus_pipeline
 from tavola.llm import line_dedup, near_dup, packing, secrets, toxicity
@@ -95,6 +95,44 @@ def test_opaque_runs_that_meet_no_base_span_are_kept(shared, docs):
     assert total > 100
 
 
+def brute_masked(rows):
+    """Texts with every base span, and every opaque one that few own and that looks drawn, masked."""
+    opaque = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+    mixed = lambda v: re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    owners, repositories, found = {}, {}, []
+    for i, text, source in rows:
+        text = text or ""
+        own = [(m.start(), k, m.end(), m[2] if k == 0 else m[0]) for k, (_, pattern, least) in enumerate(PATTERNS) for m in pattern.finditer(text)
+               if len(m[2] if k == 0 else m[0]) >= least]
+        own += [(m.start(), 3, m.end(), m[0]) for m in opaque.finditer(text) if mixed(m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in own)]
+        for *_, value in own:
+            owners.setdefault(value, set()).update([source] if source is not None else [])
+            repositories.setdefault(value, set()).update([i] if i is not None else [])
+        found.append((i, text, sorted(own)))
+    out = Counter()
+    for i, text, own in found:
+        at, made = 0, ""
+        for start, kind, end, value in own:
+            copied = len(owners[value]) >= 3 or len(repositories[value]) >= 25
+            if kind < 3 or (not copied and len(set(value)) >= 8):
+                if start >= at:
+                    made += text[at:start] + "[SECRET]"
+                at = max(at, end)
+        out[i, made + text[at:]] += 1
+    return out
+
+
+def test_masked_texts_are_those_of_brute_force(shared, docs):
+    rng = random.Random(5)
+    token = lambda n: "".join(rng.choices("abcdefXYZ0123456789_", k=n))
+    common = [token(30) + "1a" for _ in range(3)]
+    made = [(10**6 + i, " ".join(rng.choice([token(32), rng.choice(common), "word", f"secret={token(9)}", "AKIA" + "Q7" * 9]) for _ in range(6)), "en", f"src{i % 4}", 1) for i in range(200)]
+    every = docs.unionByName(frame(shared, made))
+    want = brute_masked([(r["doc_id"], r["text"], r["source"]) for r in every.collect()])
+    assert Counter((r["doc_id"], r["text"] or "") for r in secrets.masked(every).collect()) == want
+    assert sum("[SECRET]" in t for _, t in want) > 200
+
+
 # --- line dedup
 
 def test_many_rows_of_one_id_lose_the_lines_of_their_own_text(shared):
