@@ -17,10 +17,11 @@
    then its best-rated one in another component among all neighbours.
 5. What is still apart is settled without a window: in every region, wherever
    its rows lie, each class meets all classes of other components. A region is
-   split into cells of at most two ``BLOCK``s of rows, so that its size bounds
-   no task; a cell with few candidates hands them on as pairs, and in one with
-   many all sets are compared at once. A pair within one component cannot
-   change the result.
+   split into cells of at most two blocks of rows (``BLOCK``; beyond
+   ``MANY_BLOCKS`` of them they grow to ``GROWN`` times that, which keeps the
+   copies of rows down), so that its size bounds no task; a cell with few
+   candidates hands them on as pairs, and in one with many all sets are
+   compared at once. A pair within one component cannot change the result.
 6. Links become components; a component is named by its smallest ``doc_id``.
 
 Recall is that of the forest: with 20 trees and a least depth of 4 two texts
@@ -49,6 +50,8 @@ _VALUES = TREES * DEPTH
 BROADCAST_IDS = 2_000_000
 #: Rows of one side of a cell, and candidates a row from which on a cell compares all its sets at once.
 BLOCK, DENSE = 512, 8
+#: Blocks from which on those of a larger region grow, up to so many times ``BLOCK``: its rows are copied to fewer cells.
+MANY_BLOCKS, GROWN = 64, 16
 #: Values of a chunk of shingles that are hashed together; keeps the working set in cache.
 _CHUNK = 1 << 15
 
@@ -348,7 +351,7 @@ def region_cells(found: DataFrame, classes: DataFrame, roots: DataFrame, block:
     region = ["tree", "prefix"]
     sizes = rows.groupBy(*region, "group").agg(F.count(F.lit(1)).alias("n_rows")).groupBy(*region).agg(
         F.max(F.struct("n_rows", "group")).alias("top"), F.sum("n_rows").alias("n_all"), F.count(F.lit(1)).alias("n_groups"))
-    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    blocks = lambda n: F.greatest(F.least(F.ceil(n / F.lit(block)), F.lit(MANY_BLOCKS)), F.ceil(n / F.lit(GROWN * block))).cast("int")
     sizes = sizes.where("n_groups > 1").select(*region, F.col("top.group").alias("top"), blocks(F.col("top.n_rows")).alias("m"), blocks(F.col("n_all") - F.col("top.n_rows")).alias("k"))
     dealt = rows.join(written(sizes, "near-regions"), region).withColumn("minor", F.col("group") != F.col("top"))
     own = dealt.withColumn("at", F.pmod(F.xxhash64("cid"), F.when(F.col("minor"), F.col("k")).otherwise(F.col("m"))).cast("int"))

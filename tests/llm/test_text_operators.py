@@ -400,6 +400,29 @@ def test_links_inside_a_crowd_of_unlinked_texts_are_found(shared, monkeypatch, d
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("many,grown", [(64, 16), (2, 3)])
+def test_any_two_rows_of_a_region_meet_in_a_cell(shared, monkeypatch, many, grown):
+    monkeypatch.setattr(near_dup, "MANY_BLOCKS", many)
+    monkeypatch.setattr(near_dup, "GROWN", grown)
+    n = 90
+    found = shared.createDataFrame([(i, None, 0, bytes(32)) for i in range(n)], "a long, b long, tree int, key binary")
+    classes = shared.createDataFrame([(i, 5, b"") for i in range(n)], "cid long, n long, bytes binary")
+    roots = shared.createDataFrame([(i, 0) for i in range(1, 40)], "node long, root long")
+    cells = defaultdict(lambda: ([], []))
+    rows = near_dup.region_cells(found, classes, roots, block=8).collect()
+    for r in rows:
+        cells[r["ci"], r["cj"]][r["side"]].append((r["cid"], r["group"]))
+    met = set()
+    for (ci, cj), (first, second) in cells.items():
+        assert len(first) + len(second) <= 2 * 2.5 * 8 * grown
+        for x, g in first:
+            met.update((min(x, y), max(x, y)) for y, h in (first if ci == cj else second) if g != h)
+    group = lambda i: 0 if i < 40 else i
+    assert met == {(x, y) for y in range(n) for x in range(y) if group(x) != group(y)}
+    if many == 2:
+        assert len(rows) < 5 * n
+
+
 def test_more_ids_than_can_be_broadcast_give_the_same_components(shared, monkeypatch):
     rng = random.Random(7)
     base = [f"v{j}" for j in range(60)]
