@@ -144,10 +144,10 @@ def _shift(word: str, place: dict[int, int]) -> dict[int, float]:
 class _Sparse:
     """Rows of (columns, amounts) with products from either side."""
 
-    def __init__(self, columns: list, amounts: list, width: int) -> None:
-        self.row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-        self.column = np.array([i for c in columns for i in c], np.int64)
-        self.amount = np.array([v for a in amounts for v in a], np.float64)
+    def __init__(self, columns: pa.Array, amounts: pa.Array, width: int) -> None:
+        self.row = np.repeat(np.arange(len(columns)), pc.list_value_length(columns).to_numpy(zero_copy_only=False))
+        self.column = pc.list_flatten(columns).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.amount = pc.list_flatten(amounts).to_numpy(zero_copy_only=False).astype(np.float64)
         self.shape = (len(columns), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -192,10 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, wi
     best = counts.where(F.col("toxic") + F.col("clean") >= MIN_ROWS).orderBy(gain.desc(), "feature").limit(width).select("feature")
     chosen = np.sort(best.toArrow().column("feature").to_numpy())
     table = rows.mapInArrow(_design(chosen), "id long, toxic int, columns array<int>, amounts array<double>, shift_columns array<int>, shift_amounts array<double>")
-    got = table.toPandas().sort_values(["id", "toxic"], kind="stable")
-    x = _Sparse(got["columns"].tolist(), got["amounts"].tolist(), len(chosen))
-    shift = _Sparse(got["shift_columns"].tolist(), got["shift_amounts"].tolist(), len(chosen))
-    w, b = fit(x, shift, got["toxic"].to_numpy().astype(np.float64))
+    got = table.toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    column = lambda name: got.column(name).combine_chunks()
+    x = _Sparse(column("columns"), column("amounts"), len(chosen))
+    shift = _Sparse(column("shift_columns"), column("shift_amounts"), len(chosen))
+    w, b = fit(x, shift, got.column("toxic").to_numpy().astype(np.float64))
     return {int(f): float(v) for f, v in zip(chosen, w) if abs(v) > 1e-6}, b
 
 

@@ -208,7 +208,7 @@ def test_masks_cover_every_difference_within_the_radius():
             assert any(int(m) & apart == 0 for m in own)
 
 
-@pytest.mark.parametrize("crowd,task_rows", [(16_384, 1_000_000), (4, 600), (1, 200)])
+@pytest.mark.parametrize("crowd,task_rows", [(16_384, 1_000_000), (4, 2000), (1, 4000)])
 def test_divided_buckets_lose_no_link(shared, crowd, task_rows):
     """Crowds within few bits, so that buckets lie across tasks and are divided again."""
     rng = np.random.default_rng(1)
