@@ -139,7 +139,9 @@ def with_added(texts: pa.Array, ranks_path: str, pattern: str, added: dict[str,
         return batch_ids(texts, ranks_path, pattern)
     any_of = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
     has = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), any_of.pattern), False).to_numpy(zero_copy_only=False)
-    out = batch_ids(pc.if_else(pa.array(~has), texts, pa.scalar(None, texts.type)), ranks_path, pattern)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for i, ids in zip(np.flatnonzero(~has), batch_ids(texts.filter(pa.array(~has)), ranks_path, pattern)):
+        out[i] = ids
     for i in np.flatnonzero(has):
         parts = any_of.split(texts[i].as_py())
         plain = batch_ids(pa.array(parts[::2], texts.type), ranks_path, pattern)

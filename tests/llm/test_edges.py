@@ -204,3 +204,11 @@ def test_near_duplicates_of_rows_with_other_columns(shared):
     text = " ".join(f"w{i}" for i in range(30))
     df = crowded(frame(shared, [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, "en", "s", 1)]))
     assert Counter(r["doc_id"] for r in near_dup.without_near_duplicates(df).collect()) == Counter([1, None])
+
+
+def test_ids_of_a_slice_are_those_of_its_texts():
+    texts = ["wörter und é", None, "a<|endoftext|>b", "tab\t  spaces", "", "日本語 text ü" * 20, "x<|endoftext|>", "plain"] * 3
+    ids = lambda a: [x.tolist() for x in packing.with_added(a, RANKS, PATTERN, packing.added_tokens(public_tokenizers.path(TOKENIZER)))]
+    whole = pa.array(texts)
+    for lo in (1, 5, 13):
+        assert ids(whole.slice(lo, 9)) == ids(pa.array(texts[lo : lo + 9]))
