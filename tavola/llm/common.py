@@ -87,6 +87,15 @@ def in_slices(batches, rows: int = 2048):
             yield batch.slice(at, rows)
 
 
+def in_bytes(batches, limit: int, column: str = "text"):
+    """Arrow batches in slices of about ``limit`` bytes of a column (a row at least), so that long texts make short slices."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(lo, hi - lo)
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets (n + 1) and the 64-bit hash of every word of every text.
 

@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm.byte_bpe import encoding
+from tavola.llm.common import in_bytes
 
 WINDOW = 1024
 PIECE_TOKENS = 256
 GROUP_WINDOWS = 96
-#: Rows whose chunks are encoded together.
-BATCH_ROWS = 10_000
+#: Bytes of text whose chunks are encoded together.
+BATCH_BYTES = 1 << 22
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -248,12 +249,10 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, window
 
     def run(batches):
         packer = _Packer(TaskContext.get().partitionId() << 40, window, piece_tokens, group_windows)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                some = batch.slice(at, BATCH_ROWS)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), with_added(some.column("text"), ranks_path, pattern, added or {})):
-                    packer.add(doc_id, ids.astype("<u4", copy=False).tobytes() + end)
-                yield packer.take()
+        for some in in_bytes(batches, BATCH_BYTES):
+            for doc_id, ids in zip(some.column("doc_id").to_pylist(), with_added(some.column("text"), ranks_path, pattern, added or {})):
+                packer.add(doc_id, ids.astype("<u4", copy=False).tobytes() + end)
+            yield packer.take()
         packer.flush()
         yield packer.take()
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.llm.common import in_slices, written
+from tavola.llm.common import in_bytes, written
 
 SAMPLE_ROWS = 12_000
 FEATURES = 20_000
@@ -37,6 +37,8 @@ MIN_ROWS = 5
 PREFIXES = (3, 4, 5, 6, 7)
 COUNTERFACTUAL, RIDGE, STEPS = 4.0, 3e-5, 500
 FOLDS, HELD_OUT_FOLD = 5, 0
+#: Bytes of text that a task holds as arrays at a time: in the fit, where a word has several features, and in scoring.
+FIT_BYTES, SCORE_BYTES = 1 << 19, 1 << 22
 
 # Groups of identity terms; a term is swapped for the others of its group.
 IDENTITY_GROUPS = (
@@ -88,7 +90,7 @@ def swapped(word: str) -> list[str]:
 
 def _feature_counts(batches):
     """(feature, toxic, clean): documents of the batch by label that have the feature."""
-    for batch in in_slices(batches):
+    for batch in in_bytes(batches, FIT_BYTES):
         words, row, code = _distinct_words(batch.column("text"))
         toxic = batch.column("toxic").to_numpy().astype(np.int64)
         lists = [features(w) for w in words]
@@ -108,9 +110,9 @@ def _feature_counts(batches):
 def _design(chosen: np.ndarray):
     """(id, toxic, columns, values, shift_columns, shift_values): a text over the chosen features, and what the swap changes."""
     def run(batches):
-        for batch in batches:
+        place = {int(f): i for i, f in enumerate(chosen)}
+        for batch in in_bytes(batches, FIT_BYTES):
             words, row, code = _distinct_words(batch.column("text"))
-            place = {int(f): i for i, f in enumerate(chosen)}
             own = [[place[f] for f in features(w) if f in place] for w in words]
             shift = {i: _shift(w, place) for i, w in enumerate(words) if w in _GROUP}
             x: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
@@ -200,16 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, wi
     return {int(f): float(v) for f, v in zip(chosen, w) if abs(v) > 1e-6}, b
 
 
+def _scores(texts: pa.Array, weights: dict[int, float], intercept: float) -> np.ndarray:
+    words, row, code = _distinct_words(texts)
+    own = np.array([sum(weights.get(f, 0.0) for f in features(w)) for w in words]) if words else np.zeros(0)
+    logit = intercept + np.bincount(row, own[code], len(texts))
+    return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
+
+
 def _scored(weights: dict[int, float], intercept: float):
     def run(batches):
-        for batch in in_slices(batches, 4096):
-            words, row, code = _distinct_words(batch.column("text"))
-            own = np.array([sum(weights.get(f, 0.0) for f in features(w)) for w in words]) if words else np.zeros(0)
-            logit = intercept + np.bincount(row, own[code], batch.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
+        for batch in in_bytes(batches, SCORE_BYTES):
+            score = pa.array(_scores(batch.column("text"), weights, intercept))
             at = batch.schema.names.index("text")
             keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(score)], [batch.schema.names[i] for i in keep] + ["score"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [score], [batch.schema.names[i] for i in keep] + ["score"])
     return run
 
 
@@ -226,9 +232,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     weights, intercept = train(docs, labels, sample_rows, width)
 
     def run(batches):
-        for batch in in_slices(batches, 4096):
-            (scored,) = _scored(weights, intercept)([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])])
-            yield batch.filter(pc.less(scored.column("score"), 0.5))
+        for batch in in_bytes(batches, SCORE_BYTES):
+            yield batch.filter(pa.array(_scores(batch.column("text"), weights, intercept) < 0.5))
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(run, rows.schema)

@@ -19,7 +19,7 @@ from tests.llm.test_text_operators import PATTERN, PATTERNS, RANKS, base_spans
 
 import corpus_pipeline
 from tavola.llm import line_dedup, near_dup, packing, secrets, toxicity
-from tavola.llm.common import fresh, read
+from tavola.llm.common import fresh, in_bytes, read
 from tavola.llm.queries import TOKENIZER
 
 #: Names that the operators use inside.
@@ -206,6 +206,28 @@ def test_near_duplicates_of_rows_with_other_columns(shared):
     assert Counter(r["doc_id"] for r in near_dup.without_near_duplicates(df).collect()) == Counter([1, None])
 
 
+@pytest.mark.parametrize("limit", [1, 7, 64, 1 << 20])
+def test_slices_by_bytes_are_the_batch_and_stay_short(limit):
+    texts = ["a" * 5, None, "", "b" * 100, "c", "é" * 9, "", None, "d" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["id", "text"])
+    size = lambda x: len((x or "").encode())
+    for own in (batch, batch.slice(3), batch.slice(9)):
+        slices = list(in_bytes([own], limit))
+        assert [i for s in slices for i in s.column("id").to_pylist()] == own.column("id").to_pylist()
+        for s in slices:
+            held = [size(x) for x in s.column("text").to_pylist()]
+            assert sum(held) - max(held) < limit
+
+
+def test_scores_do_not_depend_on_the_slices():
+    texts = pa.array(["some words here", None, "", "women and men " * 50, "other words", "wörter hier"])
+    weights = {f: 0.5 for w in ("words", "women", "hier") for f in toxicity.features(w)}
+    whole = toxicity._scores(texts, weights, -1.0)
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = np.concatenate([toxicity._scores(s.column("text"), weights, -1.0) for s in in_bytes([batch], 16)])
+    assert np.array_equal(whole, parts)
+
+
 def test_ids_of_a_slice_are_those_of_its_texts():
     texts = ["wörter und é", None, "a<|endoftext|>b", "tab\t  spaces", "", "日本語 text ü" * 20, "x<|endoftext|>", "plain"] * 3
     ids = lambda a: [x.tolist() for x in packing.with_added(a, RANKS, PATTERN, packing.added_tokens(public_tokenizers.path(TOKENIZER)))]
