@@ -8,9 +8,11 @@
    recurs on ``PAGES`` of them (a single paragraph, item or heading: on
    ``LINE_PAGES``) is template of that host. What stands in articles of other
    hosts too is content that is quoted, not a host's template, and stays.
-3. Each page gets the templates it holds, by a join of marks alone, is parsed
-   again, and loses the blocks below them. No text is written, and none is
-   shuffled unless those lists are too large to broadcast; then it goes packed.
+3. Each page gets the templates that hold text it could keep (that of its
+   articles, if it marks any), by a join of marks alone, is parsed again, and
+   loses the blocks below them. No text is written, and none is shuffled unless
+   those lists are too large to broadcast; then only that text goes, packed,
+   and marks go as their places among the page's own.
 4. After that, what a page marks itself as furniture (navigation, footers,
    forms, scripts, adverts, comments and the like) is left out, and where it
    marks an article (or else a main part), only that is read.
@@ -249,6 +251,33 @@ class _Page:
             held[mark] += n
         return [m if m and 2 * held[m] < chars[0] or not chars[0] else 0 for m in self.marks]
 
+    def outline(self) -> tuple[list[int], dict]:
+        """The distinct marks in order, and what of the page decides and makes its text.
+
+        That is the blocks that are not furniture, and only those of articles if there are any, since some of these
+        are always left; of the elements, those with a mark that hold such a block. Marks are places in the first list.
+        """
+        marks = self.subtrees()
+        distinct = sorted(set(marks) - {0})
+        number = {m: k for k, m in enumerate(distinct)}
+        blocks = [(t, i, e) for t, i, f, e in self.blocks if not f]
+        blocks = [b for b in blocks if b[1] == 2] or blocks
+        holds = [False] * len(marks)
+        for _, _, element in blocks:
+            holds[element] = True
+        for i in range(len(marks) - 1, 0, -1):
+            if holds[i]:
+                holds[self.parents[i]] = True
+        place, parents, numbers = [0], [0], [-1]
+        for i in range(1, len(marks)):
+            if holds[i] and marks[i]:
+                place.append(len(parents))
+                parents.append(place[self.parents[i]])
+                numbers.append(number[marks[i]])
+            else:
+                place.append(place[self.parents[i]])
+        return distinct, {"parents": parents, "marks": numbers, "blocks": [(t, i, place[e]) for t, i, e in blocks]}
+
 
 def left_of(page: dict, gone: set[int]) -> str:
     """The main text that the page's blocks give without the subtrees whose marks are ``gone``."""
@@ -264,9 +293,8 @@ def left_of(page: dict, gone: set[int]) -> str:
 
 
 def page_of(source: str | None) -> dict:
-    """Parents and marks of the elements, and (text, marked part, element) of the blocks that are not furniture."""
-    page = _Page(source or "")
-    return {"parents": page.parents, "marks": page.subtrees(), "blocks": [(t, i, e) for t, i, f, e in page.blocks if not f]}
+    """Parents and marks of the elements, and (text, marked part, element) of the blocks that the text is made of."""
+    return _Page(source or "").outline()[1]
 
 
 def page_blocks(source: str | None) -> list[str]:
@@ -282,37 +310,52 @@ def _row_key(*values) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-_MARKED_ROW = "hi long, lo long, host string, print long, marks array<long>"
-_PACKED_ROW = "page_id long, url string, hi long, lo long, packed binary"
+def _host_key(url: str | None) -> int:
+    """64 bits that stand for the host in every shuffle."""
+    return int.from_bytes(xxhash.xxh3_64_digest(host_of(url).encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+_MARKED_ROW = "hi long, lo long, host long, print long, marks array<long>, own array<int>"
+_PACKED_ROW = "hi long, lo long, packed binary"
 
 
 def _marked(batches):
-    """Key, host, print of the main text and distinct marks of every page."""
+    """Key, host, print of the main text and distinct marks of every page, and the places of those that hold text it could keep."""
     for batch in in_slices(batches, 256):
         rows = []
         for page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
             page = _Page(source or "")
             print_ = xxhash.xxh3_64_intdigest(page.main_text().encode("utf-8", "surrogatepass")) >> 1
-            rows.append((*_row_key(page_id, url, source), host_of(url), print_, sorted(set(page.subtrees()) - {0})))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["hi", "lo", "host", "print", "marks"])
+            marks, outline = page.outline()
+            rows.append((*_row_key(page_id, url, source), _host_key(url), print_, marks, sorted(set(outline["marks"][1:]))))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["hi", "lo", "host", "print", "marks", "own"])
 
 
 def _packed(batches):
-    pack = zstandard.ZstdCompressor(level=1)
+    """Key of every page, and its id, URL and outline as one packed value: little but text is left to shuffle."""
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in in_slices(batches, 256):
-        ids, urls, sources = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
-        keys = [_row_key(*row) for row in zip(ids, urls, sources)]
-        made = [pack.compress(json.dumps(page_of(source)).encode()) for source in sources]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(made, pa.binary())],
-                                         ["page_id", "url", "hi", "lo", "packed"])
+        keys, made = [], []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            page = page_of(row[2])
+            texts, parts, places = zip(*page["blocks"]) if page["blocks"] else ((), (), ())
+            whole = json.dumps([*row[:2], page["parents"], page["marks"], parts, places, texts], ensure_ascii=False, separators=(",", ":"))
+            keys.append(_row_key(*row))
+            made.append(pack.compress(whole.encode("utf-8", "surrogatepass")))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(made, pa.binary())], ["hi", "lo", "packed"])
 
 
 def _extracted(batches):
     unpack = zstandard.ZstdDecompressor()
     for batch in in_slices(batches, 256):
-        texts = [left_of(json.loads(unpack.decompress(p)), set(g or ())) for p, g in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+        ids, urls, texts = [], [], []
+        for packed, gone in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist()):
+            page_id, url, parents, marks, parts, places, blocks = json.loads(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
+            ids.append(page_id)
+            urls.append(url)
+            texts.append(left_of({"parents": parents, "marks": marks, "blocks": list(zip(blocks, parts, places))}, set(gone or ())))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
 
@@ -321,8 +364,8 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def marks_of(pages: DataFrame) -> DataFrame:
-    """Key, host, print of the main text and marks of every row, as a written table."""
-    return written(_pages(pages).mapInArrow(_marked, _MARKED_ROW), "html-marks")
+    """Key, host, print of the main text, marks, places of own marks and a number of every row, as a written table."""
+    return written(_pages(pages).mapInArrow(_marked, _MARKED_ROW).withColumn("row", F.monotonically_increasing_id()), "html-marks")
 
 
 def templates(marked: DataFrame) -> DataFrame:
@@ -330,15 +373,17 @@ def templates(marked: DataFrame) -> DataFrame:
     marks = marked.select("host", "print", F.explode("marks").alias("mark"))
     counted = marks.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     found = counted.where(F.col("n") >= F.when(F.col("mark") % 2 != 0, LINE_PAGES).otherwise(PAGES)).select("host", "mark")
-    quoted = counted.where("mark & 2 <> 0").groupBy("mark").agg(F.count(F.lit(1)).alias("hosts")).where("hosts > 1")
+    quoted = marks.where("mark & 2 <> 0").groupBy("mark").agg(F.min("host").alias("low"), F.max("host").alias("high")).where("low < high")  # of two hosts at least
     return found.join(quoted, "mark", "left_anti").select("host", "mark")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
     marked = marks_of(pages)
-    own = marked.select("hi", "lo", "host", F.explode("marks").alias("mark"))
-    gone = own.join(templates(marked), ["host", "mark"]).groupBy("hi", "lo").agg(F.collect_set("mark").alias("gone"))  # at most the marks of one page
+    # Marks travel with the number their row was written with; only what is found takes the longer key, once for equal rows.
+    own = marked.select("row", "host", "marks", F.explode("own").alias("place")).select("row", "host", F.get("marks", F.col("place")).alias("mark"), "place")
+    gone = own.join(templates(marked), ["host", "mark"]).groupBy("row").agg(F.collect_set("place").alias("gone"))  # at most the marks of one page
+    gone = gone.join(marked.groupBy("hi", "lo").agg(F.min("row").alias("row")), "row").select("hi", "lo", "gone")
     gone = written(gone, "html-gone")  # of known size: pages are shuffled only where it is large
     packed = _pages(pages).mapInArrow(_packed, _PACKED_ROW)
-    return packed.join(gone, ["hi", "lo"], "left").select("page_id", "url", "packed", "gone").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return packed.join(gone, ["hi", "lo"], "left").select("packed", "gone").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

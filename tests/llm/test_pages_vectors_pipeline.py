@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 import time
 
@@ -89,6 +90,49 @@ def test_pages_are_the_same_where_the_templates_are_not_broadcast(shared):
             shared.conf.unset(k) if v is None else shared.conf.set(k, v)
 
 
+def whole_left(source, gone):
+    """What is left of a page without the marks ``gone``, from all its elements and blocks."""
+    page = html_text._Page(source)
+    dead = [False]
+    for parent, mark in zip(page.parents[1:], page.subtrees()[1:]):
+        dead.append(dead[parent] or mark in gone)
+    blocks = [(t, i, dead[e]) for t, i, furniture, e in page.blocks if not furniture]
+    copied = 2 * sum(len(t) for t, i, d in blocks if i == 2 and not d) <= sum(len(t) for t, i, _ in blocks if i == 2)
+    left = [(t, i) for t, i, d in blocks if not d or (copied and i == 2)]
+    return "\n\n".join(t for t, i in left if i == max(i for _, i in left))
+
+
+def test_the_outline_of_a_page_decides_as_the_whole_page():
+    rng, seen = random.Random(8), 0
+    pieces = [f"<{t}{a}>" for t in "article main div p nav b header ul li section".split() for a in ("", " class=ad", " hidden")]
+    pieces += [f"</{t}>" for t in "article main div p nav b header ul li section".split()] * 2 + ["a", "two words", "c &amp; \xe9", "a longer text of words "] * 8
+    for _ in range(10_000):
+        source = "".join(rng.choices(pieces, k=rng.randrange(1, 25)))
+        marks, outline = html_text._Page(source).outline()
+        gone = {m for m in marks if rng.random() < 0.4}
+        got = html_text.left_of(outline, {k for k in outline["marks"][1:] if marks[k] in gone})
+        assert got == whole_left(source, gone), source
+        seen += got != whole_left(source, set())
+    assert seen > 100
+
+
+def test_only_what_can_change_a_text_is_joined_and_moved(shared, monkeypatch):
+    steps = {}
+    monkeypatch.setattr(html_text, "written", lambda df, label: steps.setdefault(label, written(df, label)))
+    page = "<body><nav>menu</nav><div>a line of the site</div><article><h1>T{i}</h1><p>\xe9\xe9 {i} of some length, all of it its own</p><p>{note}</p></article><footer>foot</footer></body>"
+    pages = [(i, "http://h.example/x", page.format(i=i, note=f"note {i}")) for i in range(6)] + [(10 + i, "http://n.example/x", page.format(i=i, note="read our news")) for i in range(6)]
+    got = html_text.extract(shared.createDataFrame(pages + pages[5:8], PAGE)).collect()  # a row given twice stays twice
+    text = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 15 and text[3].endswith("own\n\nnote 3") and all(r["text"].endswith("all of it its own") for r in got if r["page_id"] >= 10)
+    # Menu, line and foot recur too, but no text that could be kept hangs on them; marks go as places, not as hashes.
+    gone = [r["gone"] for r in steps["html-gone"].collect()]
+    assert len(gone) == 6 and all(len(g) == 1 and 0 <= g[0] < 10 for g in gone)
+    rows = read(shared, SF_SMALL, "pages")
+    packed = html_text._pages(rows).mapInArrow(html_text._packed, html_text._PACKED_ROW).agg(F.sum(F.length("packed"))).first()[0]
+    sent = sum(len(article_of(r["html"]).encode()) for r in rows.collect())
+    assert packed < 0.5 * sent
+
+
 def test_deep_pages_take_linear_time():
     n = 100_000
     started = time.process_time()
